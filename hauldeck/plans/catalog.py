@@ -1,10 +1,10 @@
 """All registered queries: key -> (function of the fleet's tables, checking SQL or None)."""
 
-from . import cat_loading
+from . import cat_loading, cat_reads
 from .sqltext import with_ctes
 from .store import Fleet, portable
 
-MODULES = [cat_loading]
+MODULES = [cat_loading, cat_reads]
 
 
 def _entries():
