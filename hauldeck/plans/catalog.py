@@ -1,10 +1,10 @@
 """All registered queries: key -> (function of the fleet's tables, checking SQL or None)."""
 
-from . import cat_loading, cat_reads
+from . import cat_forecast, cat_loading, cat_reads, cat_scoring
 from .sqltext import with_ctes
 from .store import Fleet, portable
 
-MODULES = [cat_loading, cat_reads]
+MODULES = [cat_loading, cat_reads, cat_scoring, cat_forecast]
 
 
 def _entries():

@@ -45,7 +45,7 @@ class Fleet:
     def given(self, name: str) -> DataFrame:
         return driver_tables.given(self.spark, self.sf_dir, name)
 
-    def _stored(self, name: str, build, cluster_by: list[str] | None = None) -> DataFrame:
+    def stored(self, name: str, build, cluster_by: list[str] | None = None) -> DataFrame:
         if name not in self._tables:
             df = build()
             if cluster_by:
@@ -100,31 +100,31 @@ class Fleet:
     @property
     def first(self) -> DataFrame:
         """Deduplicated raw rows."""
-        return self._stored("first", lambda: loading.trip_dedup(self.raw, driver_tables.FIRST_ROW_ORDER))
+        return self.stored("first", lambda: loading.trip_dedup(self.raw, driver_tables.FIRST_ROW_ORDER))
 
     @property
     def trips(self) -> DataFrame:
-        return self._stored("trips", lambda: loading.trips_fact(self.first), ["trip_start", "dispatch_entry_no"])
+        return self.stored("trips", lambda: loading.trips_fact(self.first), ["trip_start", "dispatch_entry_no"])
 
     @property
     def driver_summary(self) -> DataFrame:
-        return self._stored("driver_summary", lambda: summaries.driver_summary(self.trips, self.drivers))
+        return self.stored("driver_summary", lambda: summaries.driver_summary(self.trips, self.drivers))
 
     @property
     def route_summary(self) -> DataFrame:
-        return self._stored("route_summary", lambda: summaries.route_summary(self.trips, self.locations))
+        return self.stored("route_summary", lambda: summaries.route_summary(self.trips, self.locations))
 
     @property
     def vehicle_summary(self) -> DataFrame:
-        return self._stored("vehicle_summary", lambda: summaries.vehicle_summary(self.trips, self.vehicles))
+        return self.stored("vehicle_summary", lambda: summaries.vehicle_summary(self.trips, self.vehicles))
 
     @property
     def route_time_patterns(self) -> DataFrame:
-        return self._stored("route_time_patterns", lambda: summaries.route_time_patterns(self.trips, self.locations))
+        return self.stored("route_time_patterns", lambda: summaries.route_time_patterns(self.trips, self.locations))
 
     @property
     def daily_fleet_stats(self) -> DataFrame:
-        return self._stored("daily_fleet_stats", lambda: summaries.daily_fleet_stats(self.trips))
+        return self.stored("daily_fleet_stats", lambda: summaries.daily_fleet_stats(self.trips))
 
 
 def portable(df: DataFrame) -> DataFrame:
