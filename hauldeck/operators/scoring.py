@@ -92,7 +92,8 @@ def driver_score_lookup(predictions: DataFrame, models: DataFrame, model_name: s
     return top_per(rows, ["driver_id"], [F.desc("created_at"), F.desc("model_id")], 1)
 
 
-def driver_score_list(latest: DataFrame, summary: DataFrame, limit: int = 50) -> DataFrame:
-    names = summary.select("driver_id", "driver_name", "total_trips", "eta_success_rate")
+def driver_score_list(latest: DataFrame, drivers: DataFrame, limit: int = 100) -> DataFrame:
+    """Drivers by score with the risk level kept in the JSON parts."""
+    names = drivers.select(F.col("id").alias("driver_id"), F.col("name").alias("driver_name"))
     return latest.orderBy(F.desc("predicted_value"), "driver_id").limit(limit).join(names, "driver_id", "left").select(
-        "driver_id", "driver_name", "predicted_value", "total_trips", "eta_success_rate", "version")
+        "driver_id", "driver_name", F.col("predicted_value").alias("composite_score"), F.get_json_object("input_features", "$.risk_level").alias("risk_level"), "version")

@@ -57,8 +57,8 @@ def prediction_tables(f):
 
 add("driver_score_lookup", lambda f: S.driver_score_lookup(*prediction_tables(f)).select("driver_id", "predicted_value", "version"),
     "select driver_id, composite_score as predicted_value, cast(2 as bigint) as version from scores")
-add("driver_score_list", lambda f: S.driver_score_list(S.driver_score_lookup(*prediction_tables(f)), f.driver_summary),
-    "select s.driver_id, s.driver_name, composite_score as predicted_value, s.total_trips, eta_success_rate, cast(2 as bigint) as version from scores s join driver_summary using (driver_id) order by composite_score desc, driver_id limit 50")
+add("driver_score_list", lambda f: S.driver_score_list(S.driver_score_lookup(*prediction_tables(f)), f.drivers),
+    f"select driver_id, driver_name, composite_score, {RISK} as risk_level, cast(2 as bigint) as version from scores order by composite_score desc, driver_id limit 100")
 
 # ---------------------------------------------------------------- recommendations
 def perf(f):

@@ -1,10 +1,10 @@
 """All registered queries: key -> (function of the fleet's tables, checking SQL or None)."""
 
-from . import cat_forecast, cat_loading, cat_reads, cat_scoring
+from . import cat_forecast, cat_loading, cat_models, cat_reads, cat_rest, cat_scoring
 from .sqltext import with_ctes
 from .store import Fleet, portable
 
-MODULES = [cat_loading, cat_reads, cat_scoring, cat_forecast]
+MODULES = [cat_loading, cat_reads, cat_scoring, cat_forecast, cat_models, cat_rest]
 
 
 def _entries():
