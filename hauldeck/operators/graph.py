@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import avg2, davg, rnd
 from .paging import top_per
+from .staging import shared_folder
 from .summaries import name_routes, reliable, value_median
 
 ROUTE = ["origin_id", "destination_id"]
@@ -48,6 +49,7 @@ def k_best_routes(edges: DataFrame, requests: DataFrame, k: int = 3, max_edges:
     costs more than the k-th best complete path of its request known so far.
     Each round is checkpointed: it cuts the plan and survives lost executors.
     """
+    shared_folder(edges.sparkSession)  # checkpoints need a folder
     e = edges.filter(F.col("origin") != F.col("destination")).select(
         F.col("origin").alias("_at"), F.col("destination").alias("_next"), F.col("avg_duration").cast("decimal(14,2)").alias("_w"))
     pair = ["start", "end"]

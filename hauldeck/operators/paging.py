@@ -13,6 +13,21 @@ def top_per(df: DataFrame, keys: list[str], order: list, k: int, rank: str | Non
     return out.withColumnRenamed("_r", rank) if rank else out.drop("_r")
 
 
+def spread_rank(df: DataFrame, keys: list[str], bucket: Column, tie: list, name: str, descending: bool = False) -> DataFrame:
+    """row_number per key ordered by (bucket, tie) without gathering a key in one task.
+
+    Rows are numbered inside (key, bucket); a small table of bucket counts
+    gives each bucket's offset. The bucket must have a bounded number of
+    values per key (days, rounded scores).
+    """
+    df = df.withColumn("_b", bucket)
+    counts = df.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*tie))
+    return df.withColumn("_i", inside).join(offsets, [*keys, "_b"]).withColumn(name, F.col("_o") + F.col("_i")).drop("_b", "_i", "_o")
+
+
 def page_per(df: DataFrame, keys: list[str], order: list, page: int, limit: int) -> DataFrame:
     """The same page of every key's rows, with the key's total and page count."""
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))

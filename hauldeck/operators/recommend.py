@@ -1,11 +1,11 @@
 """Which drivers suit a route: experienced ones first, then those who know one end of it."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import trips as T
 from ..functions.numeric import avg2, on_time_rate, rnd
-from .paging import top_per
+from .paging import spread_rank, top_per
 from .summaries import reliable
 
 ROUTE = ["origin_id", "destination_id"]
@@ -115,8 +115,7 @@ def recommend_similar(perf: DataFrame, overall: DataFrame, requests: DataFrame,
         "_rank", F.explode(F.sequence(F.lit(1), (F.coalesce("_skip", F.lit(0)) + top_n).cast("int")))).drop("_skip")
     out = scored_both.select(*ROUTE, *SCORED, F.col("n").alias("similar_route_trips"))
     for end, sums in (("origin_id", at_origin), ("destination_id", at_destination)):
-        ranked = _similar_scores(sums, overall, prior).withColumn(
-            "_rank", F.row_number().over(Window.partitionBy(end).orderBy(F.desc("composite_score"), "driver_id")))
+        ranked = spread_rank(_similar_scores(sums, overall, prior), [end], F.col("composite_score"), ["driver_id"], "_rank", descending=True)
         one_end = wanted.join(ranked, [end, "_rank"]).join(counted, ["driver_id", *ROUTE], "left_anti")
         out = out.unionByName(one_end.select(*ROUTE, *SCORED, F.col("n").alias("similar_route_trips")))
     return top_per(out, ROUTE, [F.desc("composite_score"), "driver_id"], top_n)

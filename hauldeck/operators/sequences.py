@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import trips as T
 from ..functions.numeric import rnd
+from .paging import spread_rank, top_per
 from .quantiles import exact_quantile
 
 NO = "dispatch_entry_no"
@@ -15,17 +16,8 @@ DECAYS = [0.7, 0.75, 0.8, 0.85, 0.9, 0.95]
 
 
 def numbered(rows: DataFrame, key: str, time: str, tie: str, name: str = "n") -> DataFrame:
-    """Position of each row within its key in time order.
-
-    Rows are numbered inside (key, day) only; a small table of daily counts
-    gives each day's offset. No task ever holds a whole key.
-    """
-    rows = rows.withColumn("_day", F.to_date(time))
-    per_day = rows.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.select(key, "_day", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy(key, "_day").orderBy(time, tie))
-    return rows.withColumn("_in", inside).join(offsets, [key, "_day"]).withColumn(name, F.col("_offset") + F.col("_in")).drop("_day", "_in", "_offset")
+    """Position of each row within its key in time order, numbered day by day."""
+    return spread_rank(rows, [key], F.to_date(time), [time, tie], name)
 
 
 def lookback(rows: DataFrame, key: str, columns: list[str], length: int = LENGTH, position: str = "n") -> DataFrame:
@@ -107,8 +99,6 @@ def decay_predictor(train: DataFrame) -> DataFrame:
 
 def decay_forecast(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """Next duration per driver from the last ten trips, with an interval from the last five. fit: decay_predictor."""
-    from .paging import top_per
-
     best = fit.filter("chosen = 1").agg(F.max(F.struct("decay", "slope", "intercept")).alias("b")).scalar()
     last = top_per(rows.select("driver_id", "n", "trip_duration_minutes"), ["driver_id"], [F.desc("n")], LENGTH, rank="_k")
     weight = F.pow(best["decay"], F.col("_k") - 1)

@@ -107,17 +107,15 @@ add(
  case when {EVEN} then destination end as destination, case when {EVEN} then customer_name end as cust_login_id, {ts('trip_start')} as trip_start,
  case when {EVEN} then {ts('ata_in')} end as ata_in, cast(trip_km as double) as trip_km from raw""",
 )
-PROFILE_COLUMNS = ["driver_name", "asset_id", "trip_km", "trip_status", "trip_end_raw", "ata_in"]
-
-
 def profile_input(f):
-    return f.raw.withColumns({"trailer_type": F.lit(None).cast("string"), "is_active": F.lit("1")})
+    """Raw rows with an empty column, a constant one, and one that is constant where it is set."""
+    return f.raw.withColumns({"trailer_type": F.lit(None).cast("string"), "is_active": F.lit("1"), "closed": F.when(F.col("trip_status") == "C", "C")})
 
 
-add(
-    "dead_column_profile", lambda f: scans.dead_columns(profile_input(f)),
-    "select * from (values ('trailer_type',(select count(*) from raw)),('is_active',(select count(*) from raw))) t(column_name,n) where n>0".replace("select *", "select column_name"),
-)
+CTE["prof"] = "select *, cast(null as varchar) as trailer_type, '1' as is_active, case when trip_status='C' then 'C' end as closed from raw"
+RAW_COLUMNS = ["dispatch_entry_no", "driver_id", "driver_name", "driver_mobile", "vehicle_id", "asset_id", "customer_id", "customer_name", "origin_id", "origin", "destination_id", "destination", "trip_start",
+               "trip_end_raw", "ata_in", "trip_eta", "dt_created", "dt_updated", "trip_km", "trip_status", "load_weight_kg", "l_quantity", "l_extendedprice", "l_shipdate", "trailer_type", "is_active", "closed"]
+add("dead_column_profile", lambda f: scans.dead_columns(profile_input(f)), " union all ".join(f"select '{c}' as column_name from prof having count({c})=0 or count(distinct {c})=1" for c in RAW_COLUMNS))
 
 
 def _profile_sql():

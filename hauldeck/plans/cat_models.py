@@ -346,11 +346,11 @@ CTE["two"] = """select s, e, cost, row_number() over (partition by s, e order by
  select a.origin, b.destination, a.w+b.w from ew a join ew b on a.destination=b.origin where a.origin<>b.destination)"""
 CTE["lim"] = "select s, e, max(cost) as cap from two where rn<=3 group by 1,2 having count(*)=3"
 # every requested pair grows its own paths; a path over the third-best short one can never be among the best three
-KB = """with recursive {ctes}, walk(s, e, at, path, cost) as (
+KB = """with recursive {ctes}, walk(s, e, here, path, cost) as (
  select q.origin, q.destination, q.origin, [q.origin], cast(0 as decimal(20,2)) from route_summary q where q.origin<>q.destination
- union all select w.s, w.e, x.destination, list_append(w.path, x.destination), cast(w.cost+x.w as decimal(20,2)) from walk w join ew x on w.at=x.origin left join lim l on w.s=l.s and w.e=l.e
- where w.at<>w.e and len(w.path)<6 and not list_contains(w.path, x.destination) and (l.cap is null or w.cost+x.w<=l.cap)),
- best as (select s, e, path, cost, row_number() over (partition by s, e order by cost, path) as rank from walk where at=e union all select origin, destination, [origin], 0, 1 from route_summary where origin=destination)
+ union all select w.s, w.e, x.destination, list_append(w.path, x.destination), cast(w.cost+x.w as decimal(20,2)) from walk w join ew x on w.here=x.origin left join lim l on w.s=l.s and w.e=l.e
+ where w.here<>w.e and len(w.path)<6 and not list_contains(w.path, x.destination) and (l.cap is null or w.cost+x.w<=l.cap)),
+ best as (select s, e, path, cost, row_number() over (partition by s, e order by cost, path) as rank from walk where here=e union all select origin, destination, [origin], 0, 1 from route_summary where origin=destination)
  select s as start, e as end, rank, array_to_string(path,'|') as path, cast(cost as double) as total_duration_min, cast(len(path)-1 as bigint) as stops, cast(case when d.avg_duration is null then 0 else 1 end as bigint) as direct_available, d.avg_duration as direct_duration_min
  from best left join edges d on d.origin=s and d.destination=e where rank<=3"""
 

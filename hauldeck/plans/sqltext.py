@@ -132,6 +132,8 @@ CTE["named"] = """select t.* exclude (driver_name, driver_mobile, origin, destin
 
 def with_ctes(body: str) -> str:
     """Puts every needed CTE (found by name, transitively) in front of the query."""
+    if body.startswith("with recursive"):  # brings its own
+        return body
     order: list[str] = []
 
     def need(text: str):

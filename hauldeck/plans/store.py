@@ -6,25 +6,16 @@ Parquet below spark.checkpoint.dir and read from there: later plans then
 start at a pruned, filtered scan, and a lost executor only re-reads files.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import loading, summaries
+from ..operators.staging import shared_folder
 from ..sources import driver_tables
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="hauldeck-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 class Fleet:
     _open: dict = {}
 
@@ -48,8 +39,8 @@ class Fleet:
     def stored(self, name: str, build, cluster_by: list[str] | None = None) -> DataFrame:
         if name not in self._tables:
             df = build()
-            if cluster_by:
-                df = df.repartitionByRange(*cluster_by)  # tight min/max per row group
+            if cluster_by:  # tight min/max per file, and files enough for every core
+                df = df.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *cluster_by)
             path = f"{self.folder}/{name}"
             df.write.mode("overwrite").parquet(path)
             self._tables[name] = self.spark.read.schema(df.schema).parquet(path)
