@@ -15,14 +15,11 @@ def exact_quantile(df: DataFrame, value: str, p: float) -> DataFrame:
     """
     v = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     margin = 3.0 / ACCURACY
-    low_p, high_p = max(0.0, p - margin), min(1.0, p + margin)
-    bracket = v.agg(
-        F.struct(
-            (F.min("v") if low_p == 0.0 else F.percentile_approx("v", low_p, ACCURACY)).alias("lo"),
-            (F.max("v") if high_p == 1.0 else F.percentile_approx("v", high_p, ACCURACY)).alias("hi"),
-            F.count("v").alias("n"),
-        ).alias("b")
-    )
+    # up to 2 * ACCURACY rows the whole range is the bracket; beyond, the margin exceeds the sketch's rank error
+    few = F.count("v") <= 2 * ACCURACY
+    lo = F.when(few, F.min("v")).otherwise(F.percentile_approx("v", max(0.0, p - margin), ACCURACY) if p > margin else F.min("v"))
+    hi = F.when(few, F.max("v")).otherwise(F.percentile_approx("v", min(1.0, p + margin), ACCURACY) if p < 1 - margin else F.max("v"))
+    bracket = v.agg(F.struct(lo.alias("lo"), hi.alias("hi"), F.count("v").alias("n")).alias("b"))
     b = bracket.scalar()
     counts = v.filter(F.col("v") <= b["hi"]).groupBy(F.greatest("v", b["lo"]).alias("v")).agg(F.count(F.lit(1)).alias("f"))
     # values at or below lo were folded into lo, so running counts are global ranks
