@@ -20,9 +20,10 @@ DATETIME_PATTERNS = [
 ]
 
 
-def clean_str(c: Column) -> Column:
+def clean_str(c: Column, missing: list[str] | None = None) -> Column:
+    """Trimmed text, NULL for texts that mean missing (the oldest loader knew fewer of them)."""
     t = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when(t.isin(MISSING_TEXTS), None).otherwise(t)
+    return F.when(t.isin(missing or MISSING_TEXTS), None).otherwise(t)
 
 
 def _digits(c: Column) -> Column:

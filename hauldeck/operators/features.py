@@ -141,13 +141,12 @@ def _legacy_stats(rows: DataFrame, drivers_all: DataFrame, routes_all: DataFrame
 
 def eta_features_legacy(rows: DataFrame, drivers_all: DataFrame, routes_all: DataFrame) -> DataFrame:
     """20 features; missing figures become the table's medians, 50 percent or 0."""
-    median = lambda c: exact_quantile(rows, c, 0.5).scalar()
-    rows_in = rows
-    minutes, speed, km = median("trip_duration_minutes"), F.coalesce(median("avg_speed_kmph"), F.lit(20.0)), F.coalesce(median("trip_km"), F.lit(0.0))
-    fill = {"route_avg_duration": minutes, "route_avg_distance": km, "route_trip_count": F.lit(0.0), "route_eta_success_rate": F.lit(50.0),
-            "driver_avg_duration": minutes, "driver_avg_speed": speed, "driver_eta_success_rate": F.lit(50.0), "driver_total_trips": F.lit(0.0), "driver_avg_distance": km}
-    out = _legacy_stats(rows_in, drivers_all, routes_all)
-    out = out.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
+    median = lambda c, default: F.coalesce(exact_quantile(rows, c, 0.5).scalar(), F.lit(default))
+    medians = {"_minutes": median("trip_duration_minutes", 0.0), "_speed": median("avg_speed_kmph", 20.0), "_km": median("trip_km", 0.0)}
+    fill = {"route_avg_duration": "_minutes", "route_avg_distance": "_km", "driver_avg_duration": "_minutes", "driver_avg_speed": "_speed", "driver_avg_distance": "_km"}
+    plain = {"route_trip_count": 0.0, "route_eta_success_rate": 50.0, "driver_eta_success_rate": 50.0, "driver_total_trips": 0.0}
+    out = _legacy_stats(rows.withColumns(medians), drivers_all, routes_all)
+    out = out.withColumns({**{c: F.coalesce(c, m) for c, m in fill.items()}, **{c: F.coalesce(c, F.lit(x)) for c, x in plain.items()}})
     out = out.withColumns({**_legacy_calendar(F.col("trip_start")), "distance_km": F.coalesce(F.col("trip_km").cast("double"), F.col("route_avg_distance")),
                            "has_driver": F.when(F.col("driver_id").isNotNull(), 1).otherwise(0)})
     return _doubles(_legacy_derived(out, False), [NO, F.col("trip_duration_minutes").cast("double").alias("target")], LEGACY_FEATURES)

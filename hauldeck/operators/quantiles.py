@@ -20,14 +20,11 @@ def exact_quantile(df: DataFrame, value: str, p: float) -> DataFrame:
     lo = F.when(few, F.min("v")).otherwise(F.percentile_approx("v", max(0.0, p - margin), ACCURACY) if p > margin else F.min("v"))
     hi = F.when(few, F.max("v")).otherwise(F.percentile_approx("v", min(1.0, p + margin), ACCURACY) if p < 1 - margin else F.max("v"))
     bracket = v.agg(F.struct(lo.alias("lo"), hi.alias("hi"), F.count("v").alias("n")).alias("b"))
-    b = bracket.scalar()
-    counts = v.filter(F.col("v") <= b["hi"]).groupBy(F.greatest("v", b["lo"]).alias("v")).agg(F.count(F.lit(1)).alias("f"))
+    rows = v.withColumn("b", bracket.scalar())
+    counts = rows.filter(F.col("v") <= F.col("b.hi")).groupBy(F.greatest("v", "b.lo").alias("v"), F.col("b.n").alias("n")).agg(F.count(F.lit(1)).alias("f"))
     # values at or below lo were folded into lo, so running counts are global ranks
-    ranked = counts.withColumn("upto", F.sum("f").over(Window.orderBy("v")))
-    position = (b["n"] - 1).cast("double") * F.lit(float(p))
-    below = F.floor(position).cast("bigint")
-    at_low = F.min(F.when(F.col("upto") >= below + 1, F.col("v")))
-    at_high = F.min(F.when(F.col("upto") >= F.least(below + 2, b["n"]), F.col("v")))
-    # fraction is a constant of the whole table
-    frac = F.max(position - below)
-    return ranked.agg((at_low + (at_high - at_low) * frac).alias("q"))
+    position = (F.col("n") - 1).cast("double") * F.lit(float(p))
+    ranked = counts.select("v", "n", F.sum("f").over(Window.orderBy("v")).alias("upto"), position.alias("pos"), F.floor(position).cast("bigint").alias("below"))
+    at_low = F.min(F.when(F.col("upto") >= F.col("below") + 1, F.col("v")))
+    at_high = F.min(F.when(F.col("upto") >= F.least(F.col("below") + 2, F.col("n")), F.col("v")))
+    return ranked.agg((at_low + (at_high - at_low) * F.max(F.col("pos") - F.col("below"))).alias("q"))

@@ -1,12 +1,12 @@
 """Which drivers suit a route: experienced ones first, then those who know one end of it."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import trips as T
 from ..functions.numeric import avg2, on_time_rate, rnd
 from .paging import spread_rank, top_per
-from .summaries import reliable
+from .summaries import name_routes, reliable
 
 ROUTE = ["origin_id", "destination_id"]
 
@@ -44,7 +44,11 @@ def _composite(df: DataFrame, weights: tuple) -> DataFrame:
     for name, w in zip(names, weights, strict=True):
         part = F.col(name) * w
         total = part if total is None else total + part
-    return df.withColumn("composite_score", rnd(total)).withColumns({n: rnd(n) for n in names})
+    return df.withColumns({"composite_score": rnd(total), **{n: rnd(n) for n in names}})
+
+
+def _column(prior):
+    return prior if isinstance(prior, Column) else F.lit(float(prior))
 
 
 def _experience(total):
@@ -53,11 +57,11 @@ def _experience(total):
 
 def recommend_exact(perf: DataFrame, overall: DataFrame, prior) -> DataFrame:
     """Score of every driver on every route driven before."""
-    rows = perf.join(overall.select("driver_id", "driver_name", "total_trips"), "driver_id", "left")
+    rows = perf.join(overall.select("driver_id", "driver_name", "total_trips"), "driver_id", "left").withColumn("_prior", _column(prior))
     n, sd = F.col("route_trips"), F.coalesce("duration_stddev", F.lit(0.0))
     rows = rows.withColumn("total_trips", F.coalesce("total_trips", "route_trips")).withColumns({
         "route_experience_score": F.least(F.lit(100.0), F.log1p(n) / F.log1p(F.lit(30.0)) * 100),
-        "eta_compliance_score": F.least(F.lit(100.0), T.smoothed_rate(n, F.col("eta_success_rate"), prior, 10)),
+        "eta_compliance_score": F.least(F.lit(100.0), T.smoothed_rate(n, F.col("eta_success_rate"), F.col("_prior"), 10)),
         "speed_efficiency_score": T.speed_score_recommender(F.coalesce("avg_speed_kmph", F.lit(0.0))),
         "consistency_score": F.when(n <= 1, 50.0).when(sd == 0, 100.0).otherwise(
             F.greatest(F.lit(0.0), 100 - sd / F.greatest(F.col("avg_duration_min"), F.lit(1.0)) * 100)),
@@ -68,12 +72,12 @@ def recommend_exact(perf: DataFrame, overall: DataFrame, prior) -> DataFrame:
 
 def _similar_scores(sums: DataFrame, overall: DataFrame, prior) -> DataFrame:
     """Scores from summed records of one or both ends (columns n, rates, speeds, records)."""
-    rows = sums.join(overall.select("driver_id", "driver_name", "total_trips"), "driver_id")
+    rows = sums.join(overall.select("driver_id", "driver_name", "total_trips"), "driver_id").withColumn("_prior", _column(prior))
     n, count = F.col("n"), F.col("records").cast("double")
     rate, speed = F.col("rates").cast("double") / count, F.col("speeds").cast("double") / count
     rows = rows.withColumns({
         "route_experience_score": F.least(F.lit(80.0), F.log1p(n) / F.log1p(F.lit(30.0)) * 80),
-        "eta_compliance_score": F.least(F.lit(100.0), T.smoothed_rate(n, rate, prior, 15)),
+        "eta_compliance_score": F.least(F.lit(100.0), T.smoothed_rate(n, rate, F.col("_prior"), 15)),
         "speed_efficiency_score": T.speed_score_recommender(speed),
         "consistency_score": F.lit(50.0),
         "overall_experience_score": _experience(F.col("total_trips")),
@@ -131,3 +135,15 @@ def recommend_drivers(perf: DataFrame, overall: DataFrame, requests: DataFrame,
     second = recommend_similar(perf, overall, short, prior, top_n).select(
         *ROUTE, *SCORED, F.lit(0).cast("bigint").alias("route_trips"), "similar_route_trips", F.lit("similar_route").alias("category"), F.lit(2).alias("_c"))
     return top_per(first.unionByName(second), ROUTE, ["_c", F.desc("composite_score"), "driver_id"], top_n, rank="rank").drop("_c")
+
+
+def similar_routes(recommended: DataFrame, perf: DataFrame, locations: DataFrame, k: int = 3) -> DataFrame:
+    """For each similar-route recommendation, the driver's k most driven routes that share an end with it."""
+    pairs = recommended.filter("category = 'similar_route'").select("driver_id", F.col("origin_id").alias("_o"), F.col("destination_id").alias("_d"))
+    known = perf.select("driver_id", *ROUTE, "route_trips")
+    shared = pairs.join(known, (pairs["driver_id"] == known["driver_id"]) & (pairs["_o"] == known["origin_id"])).drop(known["driver_id"])
+    shared = shared.unionByName(pairs.join(known, (pairs["driver_id"] == known["driver_id"]) & (pairs["_d"] == known["destination_id"])).drop(known["driver_id"]))
+    top = top_per(shared, ["_o", "_d", "driver_id"], [F.desc("route_trips"), "origin_id", "destination_id"], k, rank="rank")
+    named = name_routes(top, locations)
+    text = F.concat("origin", F.lit(" -> "), "destination", F.lit(" ("), F.col("route_trips").cast("string"), F.lit(" trips)"))
+    return named.select(F.col("_o").alias("for_origin_id"), F.col("_d").alias("for_destination_id"), "driver_id", "rank", text.alias("route"))

@@ -372,4 +372,14 @@ def best_paths(f):
 
 
 add("k_best_routes", lambda f: N.k_best_routes(edges(f), pairs(f)), k_best_sql())
-add("k_best_routes_segments", lambda f: N.route_segments(best_paths(f), edges(f)))
+KB_LEGS = """select b.start, b."end", b.rank, leg, l[leg] as "from", l[leg+1] as "to", x.avg_duration as avg_duration_min, x.avg_distance as avg_distance_km, x.trip_count, x.eta_success_rate
+ from (select *, unnest(range(1, stops+1)) as leg, string_split(path,'|') as l from ({best})) b join edges x on x.origin=l[leg] and x.destination=l[leg+1]"""
+
+
+def segments_sql():
+    whole = k_best_sql()
+    cut = whole.rindex("\n select s as start")
+    return whole[:cut] + "\n " + KB_LEGS.replace("{best}", whole[cut:])
+
+
+add("k_best_routes_segments", lambda f: N.route_segments(best_paths(f), edges(f)), segments_sql())

@@ -65,7 +65,7 @@ add("driver_routes", lambda f: R.driver_routes(f.trips, f.locations),
 add("driver_trips_page", lambda f: R.driver_trips_page(f.trips, f, PAGE, LIMIT), f"select {DT}, {PAGES} from ({rank_sql('driver_id', BY_TIME, LIMIT, 2 * LIMIT)})")
 TREND = f"""count(*) as trip_count, {avg2('trip_duration_minutes')} as avg_duration, {RATE} as eta_success_rate, {avg2('avg_speed_kmph')} as avg_speed,
  {avg2('trip_km')} as avg_distance, {avg2('eta_delay_minutes')} as avg_delay"""
-add("driver_trend_month", lambda f: R.driver_trend(f.trips, "month"), f"select driver_id, strftime(trip_start,'%Y-%m') as period, {TREND} from trips group by 1,2")
+add("driver_trend", lambda f: R.driver_trend(f.trips, "month"), f"select driver_id, strftime(trip_start,'%Y-%m') as period, {TREND} from trips group by 1,2")
 add("driver_trend_week", lambda f: R.driver_trend(f.trips, "week", "2020-01-01", "2024-12-31"),
     f"""select driver_id, concat(year(min(trip_start)),'-W',lpad(cast(week(min(trip_start)) as varchar),2,'0')) as period, {TREND} from trips
  where trip_start>='2020-01-01' and trip_start<=timestamp '2024-12-31 23:59:59' group by driver_id, yearweek(trip_start)""")

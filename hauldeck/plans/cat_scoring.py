@@ -103,9 +103,22 @@ add("fleet_priors", lambda f: M.fleet_priors(f.driver_summary, perf(f)).withColu
 EXACT = ["driver_id", "driver_name", "origin_id", "destination_id", "route_trips", "total_trips", "composite_score", "route_experience_score", "eta_compliance_score", "speed_efficiency_score", "consistency_score", "overall_experience_score"]
 add("recommend_exact", lambda f: M.recommend_exact(perf(f), overall(f), prior(f)).select(*EXACT), "select * from exact_scores")
 add("recommend_similar", lambda f: M.recommend_similar(perf(f), overall(f), requests(f), prior(f)), "select * from similar_top")
+CTE["recommended"] = """select * exclude (c) from (select *, row_number() over (partition by origin_id, destination_id order by c, composite_score desc, driver_id) as rank from (
+ select *, cast(0 as bigint) as similar_route_trips, 'experienced' as category, 1 as c from exact_scores union all by name select *, cast(0 as bigint) as route_trips, 'similar_route' as category, 2 as c from similar_scores)) where rank<=10"""
+
+
+def recommended(f):
+    return f.stored("recommended", lambda: M.recommend_drivers(perf(f), overall(f), requests(f), prior(f)))
+
+
 add("recommend_drivers", lambda f: M.recommend_drivers(perf(f), overall(f), requests(f), prior(f)),
-    """select * exclude (c) from (select *, row_number() over (partition by origin_id, destination_id order by c, composite_score desc, driver_id) as rank from (
- select *, cast(0 as bigint) as similar_route_trips, 'experienced' as category, 1 as c from exact_scores union all by name select *, cast(0 as bigint) as route_trips, 'similar_route' as category, 2 as c from similar_scores)) where rank<=10""")
+    "select * from recommended")
+add("recommend_similar_routes", lambda f: M.similar_routes(recommended(f), perf(f), f.locations),
+    """select s.*exclude (o, d, route_trips), concat(lo.name,' -> ',ld.name,' (',route_trips,' trips)') as route from (
+ select q.origin_id as for_origin_id, q.destination_id as for_destination_id, q.driver_id, p.origin_id as o, p.destination_id as d, p.route_trips,
+ row_number() over (partition by q.origin_id, q.destination_id, q.driver_id order by p.route_trips desc, p.origin_id, p.destination_id) as rank
+ from recommended q join perf p on p.driver_id=q.driver_id and (p.origin_id=q.origin_id or p.destination_id=q.destination_id) where category='similar_route') s
+ join locations lo on o=lo.id join locations ld on d=ld.id where rank<=3""")
 
 # ---------------------------------------------------------------- fatigue
 def features(f):
