@@ -133,7 +133,7 @@ def demand_forecast(daily: DataFrame, keys: list[str] | None = None, k: int = 50
 
 def fleet_forecast(daily: DataFrame) -> DataFrame:
     """The same for the fleet's daily totals (no month feature)."""
-    total = daily.groupBy("trip_date").agg(F.sum("trip_count").alias("trip_count")).withColumn("fleet", F.lit(1))
+    total = daily.groupBy("trip_date").agg(F.sum("trip_count").alias("trip_count"), F.max(F.lit("all")).alias("fleet"))
     rows = next_days(total, ["fleet"], FLEET_FEATURES)
     return rows.select(
         "date", "day_of_week", "predicted_trips", rnd("historical_avg_daily", 1).alias("historical_avg_daily"), rnd("recent_avg_daily_7d", 1).alias("recent_avg_daily_7d"),

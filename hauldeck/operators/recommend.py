@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import trips as T
 from ..functions.numeric import avg2, on_time_rate, rnd
 from .paging import spread_rank, top_per
+from .staging import shared_folder
 from .summaries import name_routes, reliable
 
 ROUTE = ["origin_id", "destination_id"]
@@ -105,15 +106,16 @@ def recommend_similar(perf: DataFrame, overall: DataFrame, requests: DataFrame,
     pairing every route with every driver of a busy place.
     """
     at_origin, at_destination = _by_end(perf, "origin_id"), _by_end(perf, "destination_id")
+    shared_folder(perf.sparkSession)  # checkpoints need a folder
     exact = perf.join(requests, ROUTE, "left_semi").select("driver_id", *ROUTE)
     o = at_origin.select("driver_id", "origin_id", *[F.col(c).alias(f"o_{c}") for c in ("n", "rates", "speeds", "records")])
     d = at_destination.select("driver_id", "destination_id", *[F.col(c).alias(f"d_{c}") for c in ("n", "rates", "speeds", "records")])
     both = (
         o.join(d, "driver_id").join(requests, ROUTE, "left_semi").join(exact, ["driver_id", *ROUTE], "left_anti")
         .select("driver_id", *ROUTE, *[(F.col(f"o_{c}") + F.col(f"d_{c}")).alias(c) for c in ("n", "rates", "speeds", "records")])
-    )
+    ).checkpoint()
     scored_both = _similar_scores(both, overall, prior)
-    counted = both.select("driver_id", *ROUTE).unionByName(exact)
+    counted = both.select("driver_id", *ROUTE).unionByName(exact).checkpoint()
     skip = counted.groupBy(*ROUTE).agg(F.count(F.lit(1)).alias("_skip"))
     wanted = requests.select(*ROUTE).join(skip, ROUTE, "left").withColumn(
         "_rank", F.explode(F.sequence(F.lit(1), (F.coalesce("_skip", F.lit(0)) + top_n).cast("int")))).drop("_skip")
@@ -131,7 +133,8 @@ def recommend_drivers(perf: DataFrame, overall: DataFrame, requests: DataFrame,
     first = top_per(exact, ROUTE, [F.desc("composite_score"), "driver_id"], top_n).select(
         *ROUTE, *SCORED, "route_trips", F.lit(0).cast("bigint").alias("similar_route_trips"), F.lit("experienced").alias("category"), F.lit(1).alias("_c"))
     have = exact.groupBy(*ROUTE).agg(F.count(F.lit(1)).alias("_have"))
-    short = requests.join(have.filter(F.col("_have") >= top_n), ROUTE, "left_anti")  # the others need no filling
+    shared_folder(perf.sparkSession)
+    short = requests.select(*ROUTE).join(have.filter(F.col("_have") >= top_n), ROUTE, "left_anti").checkpoint()  # the others need no filling
     second = recommend_similar(perf, overall, short, prior, top_n).select(
         *ROUTE, *SCORED, F.lit(0).cast("bigint").alias("route_trips"), "similar_route_trips", F.lit("similar_route").alias("category"), F.lit(2).alias("_c"))
     return top_per(first.unionByName(second), ROUTE, ["_c", F.desc("composite_score"), "driver_id"], top_n, rank="rank").drop("_c")

@@ -44,7 +44,13 @@ add("exp_smoothing", lambda f: D.exp_smoothing(daily(f), R).select(*R, "days", r
 add("ridge_per_group", lambda f: D.ridge_per_group(D.series_features(daily(f), R), R, D.ROUTE_FEATURES))
 add("demand_forecast", lambda f: D.demand_forecast(daily(f)))
 add("fleet_forecast", lambda f: D.fleet_forecast(daily(f)))
-add("forecast_lookup", lambda f: D.forecast_lookup(D.demand_forecast(daily(f)), f.route_summary))
+
+
+def route_forecast(f):
+    return f.stored("demand_forecast", lambda: D.demand_forecast(daily(f)))
+
+
+add("forecast_lookup", lambda f: D.forecast_lookup(route_forecast(f), f.route_summary))
 add("forecast_lookup_route", lambda f: D.forecast_lookup(D.demand_forecast(daily(f), k=10**6), f.route_summary, "NATION_0", "NATION_1"))
 
 # clients
@@ -74,7 +80,7 @@ CTE["cl_profile"] = f"""select a.client, total_trips, {r('total_trips/weeks', 1)
  from cl_raw group by 1 having count(*)>=10) a
  left join (select client, string_agg(concat(origin,' -> ',destination),'|' order by rn) as top_routes from (select client, origin, destination, row_number() over (partition by client order by count(*) desc, origin, destination) as rn from cl_raw group by 1,2,3) where rn<=5 group by 1) p on a.client=p.client
  left join (select client, string_agg(concat(mth,':',n),'|' order by mth) as monthly_trend from (select client, strftime(trip_start,'%Y-%m') as mth, count(*) as n, row_number() over (partition by client order by strftime(trip_start,'%Y-%m') desc) as rn from cl_raw group by 1,2) where rn<=12 group by 1) m on a.client=m.client"""
-add("client_profile", lambda f: D.client_profile(f.raw), "select * from cl_profile")
+add("client_profile", lambda f: D.client_profile(f.raw_table), "select * from cl_profile")
 
 
 def names(f):
@@ -99,5 +105,5 @@ def _top_growth(f):
     return D.client_growth(clients_daily(f).join(top, "client", "left_semi"))
 
 
-add("client_overview", lambda f: D.client_overview(D.client_profile(f.raw), _top_growth(f)),
+add("client_overview", lambda f: D.client_overview(D.client_profile(f.raw_table), _top_growth(f)),
     f"select p.client, total_trips, avg_trips_per_week, active_weeks, coalesce(g.trend,'unknown') as trend, {i('case when g.client is null then 0 else 1 end')} as has_forecast from cl_profile p left join (select * from cl_growth where client in (select client from cl_top)) g on p.client=g.client")

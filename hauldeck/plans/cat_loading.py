@@ -343,9 +343,16 @@ add("dim_drivers", lambda f: L.dim_drivers(f.raw), "select * from dim_d")
 add("dim_vehicles", lambda f: L.dim_vehicles(f.raw_with_type, ROW_ORDER), "select * from dim_v")
 add("dim_locations", lambda f: L.dim_locations(f.raw), "select * from dim_l")
 add("dim_customers", lambda f: L.dim_customers(as_customers(f.raw), ROW_ORDER), "select * from dim_c")
-add("fk_resolve", lambda f: L.fk_resolve(
-        as_customers(f.first), L.dim_drivers(f.raw), L.dim_vehicles(f.raw_with_type, ROW_ORDER), L.dim_locations(f.raw), L.dim_customers(as_customers(f.raw), ROW_ORDER)
-    ).select(NO, "driver_id", "vehicle_id", "origin_id", "destination_id", "customer_id"),
+
+
+def stored_dims(f):
+    """Dimensions are loaded before the trips that refer to them."""
+    return (
+        f.stored("dim_drivers", lambda: L.dim_drivers(f.raw)), f.stored("dim_vehicles", lambda: L.dim_vehicles(f.raw_with_type, ROW_ORDER)),
+        f.stored("dim_locations", lambda: L.dim_locations(f.raw)), f.stored("dim_customers", lambda: L.dim_customers(as_customers(f.raw), ROW_ORDER)))
+
+
+add("fk_resolve", lambda f: L.fk_resolve(as_customers(f.first), *stored_dims(f)).select(NO, "driver_id", "vehicle_id", "origin_id", "destination_id", "customer_id"),
     """select dispatch_entry_no, dd.id as driver_id, dv.id as vehicle_id, lo.id as origin_id, ld.id as destination_id, dc.id as customer_id from first_rows r
  left join dim_d dd on r.driver_name=dd.name and r.driver_mobile=dd.mobile1 left join dim_v dv on r.asset_id=dv.asset_id
  left join dim_l lo on r.origin=lo.name left join dim_l ld on r.destination=ld.name left join dim_c dc on r.customer_name=dc.cust_login_id""")

@@ -136,6 +136,10 @@ add("routing_action", lambda f: K.routing_action(order_scores(f), "order_no"),
 
 
 def predictions(f):
+    return f.stored("class_predictions", lambda: _predictions(f))
+
+
+def _predictions(f):
     """The order's most frequent origin as prediction for each of its trips."""
     top = K.routing_action(order_scores(f), "order_no").select("order_no", F.col("agent").alias("predicted"), "confidence")
     rows = summaries.name_routes(f.trips, f.locations).withColumn("order_no", F.substring_index("dispatch_entry_no", "-", 1))

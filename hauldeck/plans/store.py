@@ -88,6 +88,11 @@ class Fleet:
         return driver_tables.labelled_texts(self.spark, self.sf_dir)
 
     # written once per session
+    @property
+    def raw_table(self) -> DataFrame:
+        """Raw rows for questions that read them several times."""
+        return self.stored("raw", lambda: self.raw)
+
     @property
     def first(self) -> DataFrame:
         """Deduplicated raw rows."""
