@@ -66,10 +66,11 @@ def two_exports(fleet):
     return csv_folder(fleet, "export_two", write)
 
 
-add("trip_csv_scan", lambda f: scans.trip_csv_scan(f.spark, current_export(f)))
-
 EVEN = "cast(split_part(dispatch_entry_no,'-',2) as int)%2=0"
 DMY = lambda c: f"strftime({c},'%d-%m-%Y %H:%M:%S')"
+add("trip_csv_scan", lambda f: scans.trip_csv_scan(f.spark, current_export(f)),
+    f"""select dispatch_entry_no as s_dispatch_entry_no, driver_name as s_driver_name, driver_mobile as s_driver_mob1, asset_id as s_asset_id, origin as s_origin, destination as s_destination, customer_name as s_cnr_name,
+ {DMY('trip_start')} as dt_trip_start, {DMY('trip_end_raw')} as dt_trip_end, {DMY('trip_eta')} as dt_trip_eta, {DMY('ata_in')} as dt_ata_in, cast(cast(trip_km as double) as varchar) as i_trip_km, trip_status as c_trip_status from raw""")
 add(
     "multi_file_scan",
     lambda f: scans.multi_file_scan(f.spark, two_exports(f)).groupBy(
@@ -96,7 +97,9 @@ def waypoint_export(fleet):
     return csv_folder(fleet, "export_waypoints", write)
 
 
-add("waypoint_scan", lambda f: scans.waypoint_scan(f.spark, waypoint_export(f)))
+add("waypoint_scan", lambda f: scans.waypoint_scan(f.spark, waypoint_export(f)),
+    f"""select v.asset_id, {ts('recorded_at')} as recorded_at, status, {d('speed_kmph')} as speed_kmph, {d('distance_from_prev')} as distance_from_prev, cast(null as double) as latitude, cast(null as double) as longitude, cast(null as varchar) as location_text
+ from waypoints w join vehicles v on w.vehicle_id=v.id""")
 add("pruned_scan", lambda f: scans.pruned_scan(f.given("orders"), ["o_orderkey", "o_custkey", "o_orderstatus"]),
     "select o_orderkey, o_custkey, o_orderstatus from orders")
 add(
@@ -164,7 +167,9 @@ def bulk_file(f):
     return f.spark.read.schema(", ".join(f"`{c}` string" for c in exports.BULK_COLUMNS)).option("sep", "\t").option("nullValue", exports.NULL_MARK).csv(path)
 
 
-add("bulk_export", bulk_file)
+BULK_TIMES = ("trip_start", "trip_end", "trip_eta", "ata_in", "dt_created", "dt_updated")
+add("bulk_export", bulk_file, "select " + ", ".join(
+    f"cast(null as varchar) as {c}" if c not in L.FACT_COLUMNS else f"{ts(c)} as {c}" if c in BULK_TIMES else f"cast({c} as varchar) as {c}" for c in exports.BULK_COLUMNS) + " from trips")
 
 
 def naive_predictions(f):
@@ -179,7 +184,8 @@ def report_file(f):
 
 
 add("report_export", report_file)
-add("quoted_export", lambda f: f.spark.read.option("header", True).csv(csv_folder(f, "quoted", lambda p: exports.quoted_export(f.route_summary, p))))
+add("quoted_export", lambda f: f.spark.read.option("header", True).csv(csv_folder(f, "quoted", lambda p: exports.quoted_export(f.route_summary, p))),
+    "select columns(*)::varchar from route_summary")
 
 # ---------------------------------------------------------------- column functions
 # Awkward texts made from the order comments of each line number; both engines build the same.
@@ -311,7 +317,8 @@ add("rank_tier", lambda f: f.driver_summary.select("driver_id", T.rank_tier(F.co
 add("arrival_time", lambda f: f.trips.select(NO, T.arrival_time(F.col("trip_start"), MIN()).alias("arrival")),
     f"select dispatch_entry_no, {ts('trip_start+to_microseconds(cast(round(trip_duration_minutes*60000000) as bigint))')} as arrival from trips")
 PARTS = ["eta_success_rate", "avg_speed_kmph", "total_trips"]
-add("json_pack", lambda f: f.driver_summary.select("driver_id", F.to_json(F.struct(*PARTS)).alias("parts")))
+add("json_pack", lambda f: f.driver_summary.select("driver_id", F.to_json(F.struct(*PARTS)).alias("parts")),
+    "select driver_id, cast(to_json({'eta_success_rate': eta_success_rate, 'avg_speed_kmph': avg_speed_kmph, 'total_trips': total_trips}) as varchar) as parts from driver_summary")
 add("json_unpack", lambda f: f.driver_summary.select("driver_id", F.to_json(F.struct(*PARTS)).alias("parts")).select(
         "driver_id", F.from_json("parts", "eta_success_rate double, avg_speed_kmph double, total_trips bigint").alias("p")).select("driver_id", "p.*"),
     "select driver_id, eta_success_rate, avg_speed_kmph, total_trips from driver_summary")
