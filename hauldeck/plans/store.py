@@ -36,11 +36,17 @@ class Fleet:
     def given(self, name: str) -> DataFrame:
         return driver_tables.given(self.spark, self.sf_dir, name)
 
-    def stored(self, name: str, build, cluster_by: list[str] | None = None) -> DataFrame:
+    def _partitions_like(self, name: str) -> int:
+        """Partitions for a table about as large as a stored one: 128 MB each, smaller ones only to use all cores."""
+        files = self.spark.read.format("binaryFile").load(f"{self.folder}/{name}").select("length")  # lists, reads no content
+        size = files.agg(F.sum("length")).first()[0] or 0
+        return max(size // (128 << 20) + 1, min(self.spark.sparkContext.defaultParallelism, size // (1 << 20) + 1))
+
+    def stored(self, name: str, build, cluster_by: list[str] | None = None, like: str | None = None) -> DataFrame:
         if name not in self._tables:
             df = build()
-            if cluster_by:  # tight min/max per file; adaptive execution sizes the files
-                df = df.repartitionByRange(*cluster_by)
+            if cluster_by:  # tight min/max per file
+                df = df.repartitionByRange(self._partitions_like(like), *cluster_by)
             path = f"{self.folder}/{name}"
             df.write.mode("overwrite").parquet(path)
             self._tables[name] = self.spark.read.schema(df.schema).parquet(path)
@@ -100,7 +106,7 @@ class Fleet:
 
     @property
     def trips(self) -> DataFrame:
-        return self.stored("trips", lambda: loading.trips_fact(self.first), ["trip_start", "dispatch_entry_no"])
+        return self.stored("trips", lambda: loading.trips_fact(self.first), ["trip_start", "dispatch_entry_no"], like="first")
 
     @property
     def driver_summary(self) -> DataFrame:
