@@ -23,7 +23,7 @@ from .shared import stage, texts_of
 LABELLED = 100_000  # labelled documents that a model is fitted on, at most; those of the lowest hash are taken
 FEATURES = 50_000  # features of a model, at most
 PRIOR = 0.01  # weight of the prior, as a share of all counts
-MIN_Z, MIN_ODDS = 2.5, 1.5  # significance and size of a log-odds that counts
+MIN_Z, MIN_ODDS = 1.4, 5.0  # significance and size of a log-odds that counts
 COST = 1.0  # what every token takes off a segment's score
 MOST = 60.0  # evidence of a text is cut here; the curve is flat long before
 WORD = re.compile(r"[^\W\d_]+")
