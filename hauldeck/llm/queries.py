@@ -6,8 +6,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, simhash, toxicity
-from .shared import table
+from . import bm25, bpe, chat, decontaminate, line_dedup, masked_lm, orc_tokens, simhash, toxicity, url_filter
+from .shared import new_path, table
 
 ENTRIES: dict = {}
 
@@ -34,6 +34,30 @@ def word_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+CHAT = r"""
+WITH m AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+k AS (SELECT *, md5(role || ':' || text) AS tie, CASE WHEN conv_id IS NULL THEN coalesce(turn::VARCHAR, '') || ':' || md5(role || ':' || text) ELSE '' END AS conv, CAST(floor(turn / 64) AS BIGINT) AS part FROM m),
+s AS (SELECT DISTINCT conv, conv_id, part, role AS speaker FROM k WHERE role <> 'system'),
+p AS (
+  SELECT s.conv, s.conv_id, s.part, s.speaker, k.turn, k.tie, k.role = s.speaker AS own,
+    '<|im_start|>' || CASE WHEN k.role = s.speaker THEN 'assistant' WHEN k.role = 'system' THEN 'system' ELSE 'user name=' || k.role END || chr(10) AS head,
+    k.text || '<|im_end|>' || chr(10) AS body
+  FROM s JOIN k ON k.conv = s.conv AND k.conv_id IS NOT DISTINCT FROM s.conv_id AND k.part IS NOT DISTINCT FROM s.part),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv, conv_id, part, speaker ORDER BY turn, tie ROWS UNBOUNDED PRECEDING) AS stop FROM p)
+SELECT conv_id, speaker, part, md5(string_agg(head || body, '' ORDER BY turn, tie)) AS text_md5,
+  coalesce(string_agg(CASE WHEN own THEN (stop - length(body))::BIGINT || '-' || stop::BIGINT END, ',' ORDER BY turn, tie), '') AS spans,
+  count(*)::INT AS n_turns, count(*) FILTER (own)::INT AS n_trained
+FROM o GROUP BY conv, conv_id, part, speaker
+"""
+
+
+@registered(CHAT)
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = chat.rendered(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return shown.select("conv_id", "speaker", "part", F.md5(F.col("text").cast("binary")).alias("text_md5"), spans.alias("spans"), "n_turns", "n_trained")
+
+
 @registered()
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.with_component_ids(simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4))
@@ -65,6 +89,20 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@registered()
+def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(vocabulary_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    path = new_path(spark, "tokens")
+    orc_tokens.write(table(spark, sf_dir, "documents"), path, definition, end=2)
+    return orc_tokens.positions(spark, path)
+
+
+@registered()
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 @registered()
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -72,11 +110,42 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+#: (host, path, verdict)
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@registered()
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 @registered()
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.hex("doc")).alias("text_md5"), "n_lines", F.size("removed").alias("n_removed"), "removed")
 
 
+SEARCH = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS t FROM d),
+tf AS (SELECT r, doc_id, t, count(*) AS c FROM w GROUP BY ALL),
+len AS (SELECT r, sum(c) AS l FROM tf GROUP BY r),
+g AS (SELECT (SELECT count(*) FROM d) AS n, (SELECT sum(l) FROM len) / (SELECT count(*) FROM d) AS a),
+df AS (SELECT t, ln(1 + ((SELECT n FROM g) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY t),
+q AS (SELECT DISTINCT doc_id AS query_id, md5(text) AS query_key, r FROM d WHERE doc_id % 20 = 0),
+s AS (
+  SELECT q.query_id, q.query_key, x.r, x.doc_id, round(sum(df.idf * x.c * 2.2 / (x.c + 1.2 * (0.25 + 0.75 * len.l / (SELECT a FROM g)))), 6) AS score
+  FROM q JOIN tf AS y ON y.r = q.r JOIN tf AS x ON x.t = y.t JOIN df ON df.t = x.t JOIN len ON len.r = x.r GROUP BY ALL)
+SELECT query_id, rank, doc_id, round(score, 4) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, query_key ORDER BY score DESC, s.doc_id NULLS LAST)::INT AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@registered(SEARCH)
+def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.filter("doc_id % 20 = 0")).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
 @registered()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
