@@ -141,7 +141,8 @@ def _contained_by_join(keyed: DataFrame, shingled: DataFrame, width: int, share:
     sizes = shingled.groupBy("item_id").agg(F.count(F.lit(1)).cast("int").alias("n_shingles"))
     k = F.col("n_shingles") - F.greatest(F.lit(1), F.ceil(F.col("n_shingles") * share - 1e-9)) + 1
     part = F.floor(F.log2("n_shingles"))
-    hashed = shingled.join(sizes, shingled["item_id"].eqNullSafe(sizes["item_id"])).select(shingled["item_id"], "shingle", F.xxhash64("shingle").alias("h"), k.alias("k"), part.alias("part"))
+    of_item = sizes.withColumnRenamed("item_id", "_item")
+    hashed = shingled.join(of_item, F.col("item_id").eqNullSafe(F.col("_item"))).select("item_id", "shingle", F.xxhash64("shingle").alias("h"), k.alias("k"), part.alias("part"))
     sketch = hashed.groupBy("item_id", "k", "part").agg(F.array_sort(F.collect_list("h")).alias("hs")).select("item_id", "part", F.explode(F.slice("hs", F.lit(1), F.col("k").cast("int"))).alias("h"))
     limit = sketch.agg(F.max("h")).first()[0]
     if limit is None:
@@ -157,9 +158,9 @@ def _contained_by_join(keyed: DataFrame, shingled: DataFrame, width: int, share:
     candidates = own.filter(F.col("h") <= F.lit(limit)).select("_key", "h").join(sketch.select("item_id", "h"), "h").select("_key", "item_id").distinct()
     pairs = stage(candidates, "candidates")
     have = own.join(pairs.select("_key").distinct(), "_key", "left_semi").select("_key", "shingle")
-    wanted = pairs.join(shingled, pairs["item_id"].eqNullSafe(shingled["item_id"])).select("_key", pairs["item_id"], "shingle")
+    wanted = pairs.join(shingled.withColumnRenamed("item_id", "_item"), F.col("item_id").eqNullSafe(F.col("_item"))).select("_key", "item_id", "shingle")
     counts = wanted.join(have, ["_key", "shingle"]).groupBy("_key", "item_id").agg(F.count(F.lit(1)).cast("int").alias("n_shared"))
-    full = counts.join(sizes, counts["item_id"].eqNullSafe(sizes["item_id"])).select("_key", counts["item_id"], "n_shared", "n_shingles")
+    full = counts.join(of_item, F.col("item_id").eqNullSafe(F.col("_item"))).select("_key", "item_id", "n_shared", "n_shingles")
     return full.filter(F.col("n_shared") >= F.greatest(F.lit(1), F.ceil(F.col("n_shingles") * share - 1e-9)))
 
 
