@@ -55,33 +55,32 @@ def _keys(lines: DataFrame, edits: int) -> DataFrame:
     return both.select("id", each.alias("k")).select("k.key", "id", "k.offered")
 
 
-def within(edits: int) -> Column:
-    """True if the edit distance of the character arrays p and t is at most `edits`: bit vectors over a band around the diagonal.
+def within(left: Column, right: Column, edits: int) -> Column:
+    """True if the edit distance of two lines is at most `edits`: bit vectors over a band around the diagonal.
 
     Bit k of a vector stands for row j - edits + k of column j of the distance
     table; differences between neighbours are kept, one bit each for +1 and -1,
     and the distance is followed along the lowest diagonal, then along the last
-    row. Lengths must differ by at most `edits`.
+    row. The characters are named once, so that no optimizer rule repeats the split at each step.
     """
     width = 2 * edits + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
     inverse = lambda x: F.bitwise_not(x).bitwiseAND(F.lit(full))
     let = lambda x, then: F.element_at(F.transform(F.array(x), then), 1)  # noqa: E731  names a value that is used several times
-    m = F.size("p")
 
-    def step(state: Column, j: Column) -> Column:
+    def step(chars: Column, state: Column, j: Column) -> Column:
         match = F.lit(0)
         for k in range(width):
             row = j - edits + k
-            match = match.bitwiseOR(F.when((row >= 0) & (F.get("p", row) == F.get("t", j)), F.lit(1 << k)).otherwise(F.lit(0)))
+            match = match.bitwiseOR(F.when((row >= 0) & (F.get(chars["p"], row) == F.get(chars["t"], j)), F.lit(1 << k)).otherwise(F.lit(0)))
         vp, vn = state["vp"], state["vn"]
         crossed = lambda x: (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(full))
-        return let(match, lambda x: let(crossed(x), lambda diagonal: after(state, j, diagonal)))
+        return let(match, lambda x: let(crossed(x), lambda diagonal: after(chars, state, j, diagonal)))
 
-    def after(state: Column, j: Column, diagonal: Column) -> Column:
+    def after(chars: Column, state: Column, j: Column, diagonal: Column) -> Column:
         vp, vn = state["vp"], state["vn"]
         plus, minus = vn.bitwiseOR(inverse(diagonal.bitwiseOR(vp))), diagonal.bitwiseAND(vp)
-        below = j + edits - (m - 1)  # how far the lowest diagonal is below the last row
+        below = j + edits - (F.size(chars["p"]) - 1)  # how far the lowest diagonal is below the last row
         last = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.lit(width - 1) - below))
         along = F.when(plus.bitwiseAND(last) != 0, 1).when(minus.bitwiseAND(last) != 0, -1).otherwise(0)
         more = F.when(below <= 0, F.when(diagonal.bitwiseAND(F.lit(top)) == 0, 1).otherwise(0)).otherwise(along)
@@ -89,11 +88,10 @@ def within(edits: int) -> Column:
         return F.struct(minus.bitwiseOR(inverse(down.bitwiseOR(plus))).alias("vp"), down.bitwiseAND(plus).alias("vn"), (state["d"] + more).alias("d"))
 
     first = F.struct(F.lit(full ^ ((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"))
-    return F.when(F.abs(m - F.size("t")) > edits, False).otherwise(F.aggregate(F.sequence(F.lit(0), F.size("t") - 1), first, step, lambda s: s["d"]) <= edits)
-
-
-def _characters(line: str) -> Column:
-    return F.filter(F.split(line, ""), lambda c: c != "")
+    characters = lambda line: F.filter(F.split(line, ""), lambda c: c != "")
+    both = F.struct(characters(left).alias("p"), characters(right).alias("t"))
+    distance = let(both, lambda chars: F.aggregate(F.sequence(F.lit(0), F.size(chars["t"]) - 1), first, lambda state, j: step(chars, state, j), lambda s: s["d"]))
+    return F.when(F.abs(F.length(left) - F.length(right)) > edits, False).otherwise(distance <= edits)
 
 
 def _looked_up(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
@@ -107,9 +105,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     texts = stage(_looked_up(lines, ids, "id"), "texts")
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").filter(F.abs(F.length("x") - F.length("y")) <= edits)
-    chars = both.select(content_key(F.col("x")).alias("a"), content_key(F.col("y")).alias("b"), _characters("x").alias("p"), _characters("y").alias("t"))
-    return chars.filter(within(edits)).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").filter(within(F.col("x"), F.col("y"), edits))
+    return both.select(content_key(F.col("x")).alias("a"), content_key(F.col("y")).alias("b"))
 
 
 def _block_links(members: DataFrame, roots: DataFrame, edits: int) -> DataFrame:

@@ -79,8 +79,8 @@ def test_band_equals_edit_distance(spark, edits):
             i, op = rng.randrange(len(b)), rng.randrange(3)
             b[i : i + (op != 0)] = [] if op == 1 and len(b) > 5 else [rng.choice("abc")]
         rows.append(("".join(a), "".join(b)))
-    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", line_dedup._characters("a").alias("p"), line_dedup._characters("b").alias("t"))
-    got = df.select("a", "b", line_dedup.within(edits).alias("w"), (F.levenshtein("a", "b", edits) >= 0).alias("l")).collect()
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", line_dedup.within(F.col("a"), F.col("b"), edits).alias("w"), (F.levenshtein("a", "b", edits) >= 0).alias("l")).collect()
     assert all(r.w == r.l == (edit_distance(r.a, r.b) <= edits) for r in got) and len({r.w for r in got}) == 2
 
 
