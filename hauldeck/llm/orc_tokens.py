@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .bpe import Memory, blocks, held, id_lists
 
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
+BLOCK_BYTES, AT_ONCE, REMEMBERED = 4 << 20, 1000, 150_000
 
 
 class WordEncoder:
@@ -23,15 +24,17 @@ class WordEncoder:
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(definition), Memory()
+        self.tokenizer, self.known = Tokenizer.from_str(definition), Memory(REMEMBERED)
 
     def block(self, texts: pa.StringArray, end: int) -> pa.ListArray:
         parts = pc.split_pattern(texts, " ")
         coded = parts.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
         new = self.known.missing(words)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known.new[w] = np.array(e.ids, np.int32).tobytes()
+        for i in range(0, len(new), AT_ONCE):  # the library's results are large, so few at a time
+            some = new[i : i + AT_ONCE]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known.new[w] = np.array(e.ids, np.int32).tobytes()
         values = [self.known.new[w] for w in words] + [np.int32(end).tobytes()]
         # the end id is one more word of each text
         ends = parts.offsets.to_numpy()[1:]
@@ -61,7 +64,7 @@ def write(docs: DataFrame, path: str, definition: str, end: int) -> None:
         encoder, row = held(key, lambda: WordEncoder(shared.value)), 0
         for batch in batches:
             texts = batch.column(1)
-            for a, b in blocks(pc.binary_length(texts).to_pylist()):
+            for a, b in blocks(pc.binary_length(texts).to_pylist(), BLOCK_BYTES):
                 ids = encoder.block(texts.slice(a, b - a), end)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.arange(row, row + b - a)), pc.list_value_length(ids), ids], ["doc_id", "part", "seq", "n_tokens", "ids"])
                 row += b - a
