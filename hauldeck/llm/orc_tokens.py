@@ -24,17 +24,30 @@ class WordEncoder:
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(definition), Memory(REMEMBERED)
+        self.tokenizer, self.known, self.pieces = Tokenizer.from_str(definition), Memory(REMEMBERED), Memory(REMEMBERED)
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        """Pieces with the same ids as the word: stops at its end stand alone, and case is no matter outside special tokens."""
+        core = word.rstrip(".,!?")
+        if not core or not core[-1].isalnum() or "<" in word:
+            return (word,)
+        tail = word[len(core) :]
+        core = core if "Σ" in core else core.lower()  # a final sigma has a form of its own in Python
+        return (core, tail) if tail else (core,)
 
     def block(self, texts: pa.StringArray, end: int) -> pa.ListArray:
         parts = pc.split_pattern(texts, " ")
         coded = parts.values.dictionary_encode()
         words = coded.dictionary.to_pylist()
-        new = self.known.missing(words)
-        for i in range(0, len(new), AT_ONCE):  # the library's results are large, so few at a time
-            some = new[i : i + AT_ONCE]
+        new = {w: self._parts(w) for w in self.known.missing(words)}
+        unknown = self.pieces.missing({p for pieces in new.values() for p in pieces})
+        for i in range(0, len(unknown), AT_ONCE):  # the library's results are large, so few at a time
+            some = unknown[i : i + AT_ONCE]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known.new[w] = np.array(e.ids, np.int32).tobytes()
+                self.pieces.new[w] = np.array(e.ids, np.int32).tobytes()
+        for w, pieces in new.items():
+            self.known.new[w] = b"".join([self.pieces.new[p] for p in pieces])
         values = [self.known.new[w] for w in words] + [np.int32(end).tobytes()]
         # the end id is one more word of each text
         ends = parts.offsets.to_numpy()[1:]

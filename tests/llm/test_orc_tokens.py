@@ -38,5 +38,5 @@ def test_files_and_positions(spark, made, tmp_path, count):  # noqa: F811
     assert sorted((r.n_tokens, r.ids_crc32) for r in got) == sorted((len(ids[r]), zlib.crc32(np.array(ids[r], "<u4").tobytes())) for r in rows)
     if count:
         assert sorted(r.ids for r in orc_tokens.lookup(spark, path, [14, 1002]).collect()) == sorted(ids[r] for r in rows if r[0] in (14, 1002))
-        assert "PushedFilters: [In(doc_id" in orc_tokens.lookup(spark, path, [14])._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [In(doc_id" in orc_tokens.lookup(spark, path, [14, 1002])._jdf.queryExecution().executedPlan().toString()
         assert sum(orc.ORCFile(p).nrows for p in tmp_path.glob("t/*.orc")) == len(rows)
