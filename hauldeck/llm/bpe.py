@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-BLOCK_BYTES = 8 << 20  # bytes of text that are replayed together
-REMEMBERED = 300_000  # words a worker keeps from block to block, twice at most
+BLOCK_BYTES = 4 << 20  # bytes of text that are replayed together
+REMEMBERED = 120_000  # words a worker keeps from block to block, twice at most
 LONG = 64  # characters; longer words are merged one by one
 ONE = [bytes([b]) for b in range(256)]
 
