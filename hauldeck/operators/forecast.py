@@ -156,12 +156,12 @@ def client_daily(raw: DataFrame) -> DataFrame:
 
 
 def client_growth(daily: DataFrame) -> DataFrame:
-    """Smoothed level of the last 7 active days against that of days 30 to 24 before the end."""
+    """Smoothed level of the last 7 active days against that of days 30 to 24 before the end; 0 and stable for up to 30 days."""
     s = exp_smoothing(daily, ["client"])
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v) / 7
     recent, before = mean(F.slice("tail", -7, 7)), mean(F.slice("tail", 1, 7))
     pct = F.when(F.col("days") > 30, (recent - before) / F.greatest(before, F.lit(1.0)) * 100).otherwise(0.0)
-    out = s.filter(F.size("tail") >= 7).withColumn("growth_pct", pct)
+    out = s.withColumn("growth_pct", pct)
     return out.select("client", "days", rnd("growth_pct", 1).alias("growth_pct_30d"),
                       F.when(F.col("growth_pct") > 5, "growing").when(F.col("growth_pct") < -5, "declining").otherwise("stable").alias("trend"))
 
@@ -202,7 +202,7 @@ def client_profile(raw: DataFrame, min_trips: int = 10) -> DataFrame:
 
 
 def client_match(clients: DataFrame, text: str) -> DataFrame:
-    """The client meant by a text: same name, else same letters, else a single partial hit; up to 10 candidates otherwise."""
+    """The client meant by a text: same name, else same letters, else a single partial hit; up to 10 candidates otherwise (a list to choose from)."""
     low = F.lower("client")
     level = F.when(F.col("client") == text, 1).when(low == text.lower(), 2).when(low.contains(text.lower()), 3)
     hits = clients.select("client", level.alias("level")).filter(F.col("level").isNotNull())
@@ -210,7 +210,8 @@ def client_match(clients: DataFrame, text: str) -> DataFrame:
     best = counts.agg(F.min(F.struct("level", "n")).alias("b")).scalar()
     found = hits.filter(F.col("level") == best["level"]).withColumn(
         "match", F.when(F.col("level") == 1, "exact").when(F.col("level") == 2, "case-insensitive").when(best["n"] == 1, "partial").otherwise("ambiguous"))
-    return found.orderBy("client").limit(10).drop("level")
+    ten = found.filter("match = 'ambiguous'").orderBy("client").limit(10)
+    return found.filter("match <> 'ambiguous'").unionByName(ten).drop("level")
 
 
 def client_overview(profiles: DataFrame, growth: DataFrame) -> DataFrame:

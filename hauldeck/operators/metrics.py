@@ -34,16 +34,18 @@ def arrival_metrics(rows: DataFrame, actual: str = "ata_in", predicted: str = "p
 
 
 def classification_metrics(rows: DataFrame, label: str = "label", probability: str = "probability", threshold: float = 0.5) -> DataFrame:
-    """Accuracy, precision, recall, F1, AUC and class counts.
+    """Accuracy, precision, recall, F1, AUC and class counts, all on the scores as they are.
 
-    Probabilities are rounded to four decimals first, so the ranking for the
-    AUC runs over at most 10,001 distinct values.
+    Equal scores count once. Ranks run inside 10,000 score ranges; the ranges'
+    counts give each its offset, so no task orders all scores.
     """
-    p = rnd(probability, 4)
-    by_score = rows.select(p.alias("p"), F.col(label).alias("y")).groupBy("p").agg(
+    by_score = rows.select(F.col(probability).cast("double").alias("p"), F.col(label).alias("y")).groupBy("p").agg(
         F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(1)).alias("neg"))
-    below = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    s = by_score.withColumn("nb", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    by_score = by_score.withColumn("b", F.floor(F.col("p") * 10000))
+    ranges = by_score.groupBy("b").agg(F.sum("neg").alias("n"))
+    offsets = ranges.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
+    below = Window.partitionBy("b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    s = by_score.withColumn("i", F.coalesce(F.sum("neg").over(below), F.lit(0))).join(offsets, "b", "left").withColumn("nb", F.coalesce("o", F.lit(0)) + F.col("i"))
     hit = F.col("p") >= threshold
     s = s.agg(
         F.sum(F.when(hit, F.col("pos")).otherwise(0)).cast("double").alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).cast("double").alias("fp"),

@@ -6,10 +6,16 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a temporary folder only where none is set."""
+    """spark.checkpoint.dir as the session has it.
+
+    On a cluster it must be set: a folder of one machine would lose data.
+    Only in local mode, where one machine is all there is, a temporary folder stands in.
+    """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="hauldeck-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)

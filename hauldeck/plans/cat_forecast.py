@@ -51,7 +51,15 @@ def route_forecast(f):
 
 
 add("forecast_lookup", lambda f: D.forecast_lookup(route_forecast(f), f.route_summary))
-add("forecast_lookup_route", lambda f: D.forecast_lookup(D.demand_forecast(daily(f), k=10**6), f.route_summary, "NATION_0", "NATION_1"))
+
+
+def one_route(f, origin, destination):
+    """The route is picked first, so only its series is forecast."""
+    route = f.route_summary.filter((F.col("origin") == origin) & (F.col("destination") == destination))
+    return D.forecast_lookup(D.demand_forecast(daily(f).join(route.select(*R), R, "left_semi"), k=1), route, origin, destination)
+
+
+add("forecast_lookup_route", lambda f: one_route(f, "NATION_0", "NATION_1"))
 
 # clients
 CTE["cl_raw"] = "select *, trim(customer_name) as client from raw"
@@ -59,7 +67,7 @@ CTE["cl_daily"] = "select client, cast(trip_start as date) as trip_date, count(*
 CTE["cl_series"] = "select client, list(cast(trip_count as double) order by trip_date) as ys from cl_daily group by 1"
 TAIL = lambda a, b: f"list_transform(range(len(ys)-{a},len(ys){b}), lambda k: {SMOOTH.format(x='ys[1:k]')})"
 MEAN7 = lambda a, b: f"list_reduce({TAIL(a, b)}, lambda p, q: p+q)/7"
-CTE["cl_growth0"] = f"select client, len(ys) as days, case when len(ys)>30 then ({MEAN7(6, "+1")}-{MEAN7(29, "-22")})/greatest({MEAN7(29, "-22")},1.0::double)*100 else 0.0::double end as g from cl_series where len(ys)>=7"
+CTE["cl_growth0"] = f"select client, len(ys) as days, case when len(ys)>30 then ({MEAN7(6, "+1")}-{MEAN7(29, "-22")})/greatest({MEAN7(29, "-22")},1.0::double)*100 else 0.0::double end as g from cl_series"
 CTE["cl_growth"] = f"select client, {i('days')} as days, {r('g', 1)} as growth_pct_30d, case when g>5 then 'growing' when g<-5 then 'declining' else 'stable' end as trend from cl_growth0"
 add("client_daily", lambda f: D.client_daily(f.raw), f"select * replace ({day('trip_date')} as trip_date) from cl_daily")
 add("client_growth", lambda f: D.client_growth(clients_daily(f)), "select * from cl_growth")
@@ -90,8 +98,8 @@ def names(f):
 def match_sql(text):
     t = text.lower()
     return f"""with h as (select c_name as client, case when c_name='{text}' then 1 when lower(c_name)='{t}' then 2 when contains(lower(c_name),'{t}') then 3 end as level from customer)
- select client, case when level=1 then 'exact' when level=2 then 'case-insensitive' when (select count(*) from h where level=3)=1 then 'partial' else 'ambiguous' end as match
- from h where level=(select min(level) from h) order by client limit 10"""
+ select client, match from (select client, case when level=1 then 'exact' when level=2 then 'case-insensitive' when (select count(*) from h where level=3)=1 then 'partial' else 'ambiguous' end as match,
+ row_number() over (order by client) as k from h where level=(select min(level) from h)) where k<=10 or match<>'ambiguous'"""
 
 
 add("client_match", lambda f: D.client_match(names(f), "mer#00000001"), match_sql("mer#00000001"))

@@ -157,7 +157,7 @@ def given_scores(f):
 
 
 CTE["given_scores"] = "select *, (driver_eta_success+route_eta_success)/200 as probability from sla_rows"
-CTE["by_score"] = f"select {r('probability', 4)} as p, sum(case when label=1 then 1 else 0 end) as pos, sum(case when label=1 then 0 else 1 end) as neg from given_scores group by 1"
+CTE["by_score"] = "select cast(probability as double) as p, sum(case when label=1 then 1 else 0 end) as pos, sum(case when label=1 then 0 else 1 end) as neg from given_scores group by 1"
 CTE["cls"] = """select cast(sum(case when p>=0.5 then pos else 0 end) as double) as tp, cast(sum(case when p>=0.5 then neg else 0 end) as double) as fp, cast(sum(pos) as double) as np, cast(sum(neg) as double) as nn, cast(sum(pos*(nb+neg/2.0::double)) as double) as w
  from (select *, coalesce(sum(neg) over (order by p rows between unbounded preceding and 1 preceding),0) as nb from by_score)"""
 add("classification_metrics", lambda f: Q.classification_metrics(given_scores(f)),
@@ -260,9 +260,9 @@ add("sequential_split", lambda f: decay_train(f).select("driver_id", NO, "is_tra
 add("decay_predictor", lambda f: rounded(S.decay_predictor(decay_train(f).filter("is_train = 1")), ["slope", "intercept", "mae"], 4),
     f"select decay, {r('slope', 4)} as slope, {r('intercept', 4)} as intercept, {r('mae', 4)} as mae, {i('case when mae=(select min(mae) from decay_f) then 1 else 0 end')} as chosen from decay_f")
 add("decay_forecast", lambda f: S.decay_forecast(seq(f), decay_fit(f)),
-    f"""select driver_id, {i('10')} as sequence_length_used, {r('greatest(0.0::double,p)')} as predicted_duration_min, {r('greatest(0.0::double,greatest(0.0::double,p)-1.96::double*sd)')} as lower, {r('greatest(0.0::double,p)+1.96::double*sd')} as upper from (
- select driver_id, sum(pow(b.decay,k-1)*y)/sum(pow(b.decay,k-1))*any_value(b.slope)+any_value(b.intercept) as p, stddev_pop(case when k<=5 then y end) as sd, count(*) as c from (
- select driver_id, trip_duration_minutes as y, row_number() over (partition by driver_id order by n desc) as k from seq) s, (select * from decay_f order by mae limit 1) b where k<=10 group by 1) where c=10""")
+    f"""select driver_id, {i('c')} as sequence_length_used, {r('greatest(0.0::double,p)')} as predicted_duration_min, {r('greatest(0.0::double,greatest(0.0::double,p)-1.96::double*sd)')} as lower, {r('greatest(0.0::double,p)+1.96::double*sd')} as upper from (
+ select driver_id, sum(pow(b.decay,k-1)*y)/((1-pow(any_value(b.decay),10))/(1-any_value(b.decay)))*any_value(b.slope)+any_value(b.intercept) as p, stddev_pop(case when k<=5 then y end) as sd, count(*) as c from (
+ select driver_id, trip_duration_minutes as y, row_number() over (partition by driver_id order by n desc) as k from seq) s, (select * from decay_f order by mae limit 1) b where k<=10 group by 1)""")
 
 
 def decay_scored(f):

@@ -3,7 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.cleaning import clean_str, parse_datetime, safe_float
 from ..functions.trips import status_speed
@@ -12,25 +14,38 @@ REPLACEMENT_CHAR = "�"
 
 
 def trip_csv_scan(
-    spark: SparkSession, path: str, limit: int | None = None, skip_bad_lines: bool = True, encoding: str = "auto"
+    spark: SparkSession, path: str, limit: int | None = None, skip_bad_lines: bool = False, encoding: str = "auto"
 ) -> DataFrame:
-    """All-text CSV with a header. 'auto' reads UTF-8 and falls back to Latin-1 when some text does not decode."""
+    """All-text CSV with a header.
+
+    Short rows are padded with nulls, and over-long rows are cut to the header's
+    columns unless `skip_bad_lines` drops them; which rows come out does not
+    depend on the columns that are read. 'auto' reads each file as UTF-8, or as
+    Latin-1 if some of its text does not decode.
+    """
+    columns = spark.read.option("header", True).option("encoding", "UTF-8" if encoding == "auto" else encoding).csv(path).schema
+    bad = "_corrupt_record"
+    full = StructType([*columns, StructField(bad, StringType())])
 
     def read(charset):
-        return (
-            spark.read.option("header", True).option("encoding", charset)
-            .option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE").csv(path)
-        )
-
-    df = read("UTF-8" if encoding == "auto" else encoding)
-    if encoding == "auto":
-        broken = None
-        for c in df.columns:
-            hit = F.col(f"`{c}`").contains(REPLACEMENT_CHAR)
-            broken = hit if broken is None else broken | hit
-        if broken is not None and not df.filter(broken).isEmpty():  # stops at the first hit
-            df = read("ISO-8859-1")
-    return df if limit is None else df.limit(limit)
+        # the record column keeps over-long and short rows' text; all columns are parsed, so rows do not change with the selection
+        rows = spark.read.option("columnPruning", not skip_bad_lines).option("header", True).option("encoding", charset).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("enforceSchema", True).schema(full).csv(path)
+        rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+        if not skip_bad_lines:
+            return rows
+        over_long = F.col(bad).isNotNull() & F.col(f"`{columns.names[-1]}`").isNotNull()
+        return rows.filter(~F.coalesce(over_long, F.lit(False)))
+
+    if encoding != "auto":
+        out = read(encoding).drop(bad, "_file")
+    else:
+        utf8 = read("UTF-8")
+        broken = F.lit(False)
+        for c in columns.names:
+            broken = broken | F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT_CHAR), F.lit(False))
+        files = utf8.filter(broken).select("_file").distinct()
+        out = utf8.join(files, "_file", "left_anti").unionByName(read("ISO-8859-1").join(files, "_file", "left_semi")).drop(bad, "_file")
+    return out if limit is None else out.limit(limit)
 
 
 def header_groups(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
@@ -255,12 +270,14 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def table_counts(spark: SparkSession, tables: dict) -> DataFrame:
-    """Rows per table; -1 where a table cannot be read. Values are DataFrames or callables giving one."""
+    """Rows per table; -1 where a table or path is missing. Any other error is raised. Values are DataFrames or callables giving one."""
     out = None
     for name, table in tables.items():
         try:
             n = (table() if callable(table) else table).agg(F.count(F.lit(1)).alias("row_count"))
-        except Exception:  # missing path or table
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+                raise
             n = spark.range(1).select(F.lit(-1).cast("bigint").alias("row_count"))
         row = n.select(F.lit(name).alias("table_name"), "row_count")
         out = row if out is None else out.unionByName(row)

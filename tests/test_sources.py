@@ -10,6 +10,16 @@ def test_latin1_fallback(spark, tmp_path):
     assert scans.trip_csv_scan(spark, str(tmp_path / "u.csv")).first()["a"] == "José"
 
 
+def test_charset_is_decided_per_file_and_rows_stay(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes("a,b\nJosé,1\n".encode("latin1"))
+    (tmp_path / "u.csv").write_bytes("a,b\nJosé,2\n3,4,5\n6\n".encode())
+    rows = scans.trip_csv_scan(spark, str(tmp_path))
+    assert sorted(map(tuple, rows.collect()), key=str) == [("3", "4"), ("6", None), ("José", "1"), ("José", "2")]
+    assert rows.count() == rows.select("a").count() == rows.select("b").count() == 4
+    kept = scans.trip_csv_scan(spark, str(tmp_path), skip_bad_lines=True)
+    assert sorted(r["a"] for r in kept.select("a").collect()) == ["6", "José", "José"] and kept.count() == 3
+
+
 def test_files_are_aligned_by_name(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "1.csv").write_text("s_origin,n\nA,1\n")
