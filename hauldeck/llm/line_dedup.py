@@ -18,7 +18,7 @@ EDITS = 2
 SHORTEST = 24  # characters; shorter lines are matched exactly only
 MEMBERS = 16  # lines that may meet at one substring pair by pair; more meet in blocks
 BLOCK = 64  # lines of a block
-LOOKED_UP = 100_000  # line keys that may be broadcast to fetch their texts; more are joined by a shuffle
+LOOKED_UP = 500_000  # keys of 8 bytes that may be broadcast; more are joined by a shuffle
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def _looked_up(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """The pairs (a, b) of line ids that are within the edits, as content keys."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = stage(_looked_up(lines, ids, "id"), "texts")
+    texts = stage(_looked_up(lines, ids, "id").distinct(), "texts")
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     both = pairs.join(left, "a").join(right, "b").filter(within(F.col("x"), F.col("y"), edits))
@@ -131,29 +131,29 @@ def similar_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     that have a link. So no link between classes is lost, and no meeting is
     written out as pairs.
     """
-    texts = lines_of(docs).filter(F.length("line") >= SHORTEST).select("line").distinct()
-    lines = stage(texts.select(F.xxhash64("line").alias("id"), "line"), "distinct-lines")
-    met = _keys(lines, edits).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.max("offered").alias("offered"))
-    met = stage(met.filter((F.col("n") > 1) & (F.col("a") != F.col("b")) & (F.col("offered") == 1)).drop("offered"), "meetings")
-    more = met.filter("n > 2").select("key", "n")
-    rows = stage(_looked_up(_keys(lines, edits), more, "key"), "members")
+    lines = lines_of(docs).filter(F.length("line") >= SHORTEST).select(F.xxhash64("line").alias("id"), "line")
+    # a key where different lines meet: found by two map-side combined extremes, however often a line is repeated
+    met = _keys(lines, edits).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("offered").alias("offered"))
+    met = stage(met.filter((F.col("a") != F.col("b")) & (F.col("offered") == 1)).select("key"), "meetings")
+    found = stage(_looked_up(_keys(lines, edits), met, "key").groupBy("key", "id").agg(F.max("offered").alias("offered")), "found")
+    rows = found.join(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
     few = rows.filter(F.col("n") <= MEMBERS)
     other = few.select("key", F.col("id").alias("b"), F.col("offered").alias("o"))
     few = few.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("offered") + F.col("o") > 0)).select(F.col("id").alias("a"), "b")
-    pairs = stage(met.filter("n = 2").select("a", "b").union(few).distinct(), "pairs")
+    pairs = stage(few.distinct(), "pairs")
     links = stage(_verified(pairs, lines, edits), "similar")
     roots = connected(links)
-    large = rows.filter(F.col("n") > MEMBERS)
+    large = stage(rows.filter(F.col("n") > MEMBERS), "large")
     if large.isEmpty():
         return roots
     count = F.ceil(F.col("n") / BLOCK).cast("int")
-    named = _looked_up(lines, stage(large.select("id").distinct(), "ids"), "id")
+    named = _looked_up(lines, stage(large.select("id").distinct(), "ids"), "id").distinct()
     members = stage(large.join(named, "id").select("key", "offered", "line", content_key(F.col("line")).alias("line_id"), count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("block")), "members")
     while True:
-        found = stage(_block_links(members, roots, edits), "similar")
-        if found.isEmpty():
+        more = stage(_block_links(members, roots, edits), "similar")
+        if more.isEmpty():
             return roots
-        links = links.union(found)
+        links = links.union(more)
         roots = connected(links)
 
 
