@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 BLOCK_BYTES = 4 << 20  # bytes of text that are replayed together
-REMEMBERED = 120_000  # words a worker keeps from block to block, twice at most
+REMEMBERED = 200_000  # words a worker keeps from block to block, twice at most
 LONG = 64  # characters; longer words are merged one by one
 ONE = [bytes([b]) for b in range(256)]
 
@@ -287,6 +287,8 @@ def decode(spark: SparkSession, ranks: dict[bytes, int]):
     @F.arrow_udf("binary")
     def decoded(ids: pa.Array) -> pa.Array:
         get = shared.value.__getitem__
-        return pa.array([None if x is None else b"".join(map(get, x)) for x in ids.to_pylist()], pa.binary())
+        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
+        real = ids.is_valid().to_numpy(zero_copy_only=False).tolist()
+        return pa.array([b"".join(map(get, values[a:b].tolist())) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], real, strict=True)], pa.binary())
 
     return decoded
