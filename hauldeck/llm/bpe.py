@@ -204,7 +204,7 @@ class Encoder:
         coded = parts.values.dictionary_encode()
         codes = coded.indices.to_numpy().copy()
         heads = pc.take(parts.values, pa.array(ends[:-1])).dictionary_encode()
-        values = self._values(self.spaced, coded.dictionary.to_pylist(), " ")
+        values = self._values(self.spaced, coded.dictionary.to_numpy(zero_copy_only=False).tolist(), " ")
         codes[ends[:-1]] = len(values) + heads.indices.to_numpy()
         values += self._values(self.first, heads.dictionary.to_pylist(), "")
         odd = np.array([v is None for v in values], bool)
