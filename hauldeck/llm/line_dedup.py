@@ -133,9 +133,10 @@ def similar_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     lines = lines_of(docs).filter(F.length("line") >= SHORTEST).select(F.xxhash64("line").alias("id"), "line")
     # a key where different lines meet: found by two map-side combined extremes, however often a line is repeated
-    met = _keys(lines, edits).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("offered").alias("offered"))
+    keys = stage(_keys(lines, edits), "keys")  # read twice; cutting the substrings costs more than storing their keys
+    met = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("offered").alias("offered"))
     met = stage(met.filter((F.col("a") != F.col("b")) & (F.col("offered") == 1)).select("key"), "meetings")
-    found = stage(_looked_up(_keys(lines, edits), met, "key").groupBy("key", "id").agg(F.max("offered").alias("offered")), "found")
+    found = stage(_looked_up(keys, met, "key").groupBy("key", "id").agg(F.max("offered").alias("offered")), "found")
     rows = found.join(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
     few = rows.filter(F.col("n") <= MEMBERS)
     other = few.select("key", F.col("id").alias("b"), F.col("offered").alias("o"))
