@@ -82,24 +82,28 @@ def _inside(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def _meetings(fps: DataFrame, radius: int) -> DataFrame:
-    """Rows (t, key, i, j, fp, label), dealt so that every two members of a bucket with different labels share a group (t, key, i, j).
+    """Rows (t, key, i, j, fp, label) of the buckets of `radius`, see dealt."""
+    return dealt(_buckets(fps, masks(radius)))
+
+
+def dealt(keyed: DataFrame) -> DataFrame:
+    """Rows (t, key, i, j, fp, label), dealt so that every two members of a bucket (t, key) with different labels share a group (t, key, i, j).
 
     Buckets of one label hold nothing new. Others of up to BLOCK members are
     one group. In larger ones the most frequent label's members lie in blocks
     i and need no meeting among themselves; the others lie in blocks j and
     meet each block i and each other. So no group exceeds about two blocks.
     """
-    keyed = _buckets(fps, masks(radius))
     mixed = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("t", "key", "n")
     rows = stage(keyed.join(mixed, ["t", "key"]), "buckets")
     small = rows.filter(F.col("n") <= BLOCK).select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "label")
     large = rows.filter(F.col("n") > BLOCK)
     by_label = large.groupBy("t", "key", "label").agg(F.count(F.lit(1)).alias("c"))
     main = by_label.groupBy("t", "key").agg(F.max(F.struct("c", "label")).alias("m")).select("t", "key", F.col("m.label").alias("main"), F.col("m.c").alias("c"))
-    dealt = large.join(main, ["t", "key"]).withColumn("p", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("q", F.ceil((F.col("n") - F.col("c")) / BLOCK).cast("int"))
+    numbered = large.join(main, ["t", "key"]).withColumn("p", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("q", F.ceil((F.col("n") - F.col("c")) / BLOCK).cast("int"))
     block = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
-    mains = dealt.filter("label = main").withColumn("i", block(F.col("p"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    others = dealt.filter("label != main").withColumn("own", block(F.col("q")))
+    mains = numbered.filter("label = main").withColumn("i", block(F.col("p"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    others = numbered.filter("label != main").withColumn("own", block(F.col("q")))
     at_main = others.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).withColumn("j", F.col("own"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: F.struct((-1 - F.least(k, F.col("own"))).alias("i"), F.greatest(k, F.col("own")).alias("j")))
     among = others.withColumn("_p", F.explode(pairs)).withColumn("i", F.col("_p.i")).withColumn("j", F.col("_p.j"))
@@ -165,10 +169,15 @@ def with_component_ids(found: DataFrame) -> DataFrame:
     return found.join(low, "root")
 
 
-def one_of_each(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """All columns of one row per group of near-duplicates: the row of the smallest doc_id (null last), then of the smallest content key."""
+def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """All columns of one row per group of texts of this similarity (shingles.near_duplicates): the row of the smallest doc_id (null last), then of the smallest content key.
+
+    Fingerprints of 64 bits do not tell: at 0.8 to 0.95 they differ in about ten bits.
+    """
+    from . import shingles
+
     keyed = docs.withColumn("_key", content_key(F.col("text")))
-    found = stage(near_duplicates(keyed, width, radius, keep=["doc_id", "_key"]), "groups")
+    found = stage(shingles.near_duplicates(docs, width, similarity), "groups")
     counted = found.groupBy("root", "doc_id", "_key").agg(F.count(F.lit(1)).alias("n"))
     least = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "n")).alias("k"))
     first = stage(least.select("k.doc_id", "k._key", "k.n"), "first")

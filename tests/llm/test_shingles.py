@@ -1,0 +1,62 @@
+import random
+
+import numpy as np
+import pytest
+from corpus_cases import LONG, components, made  # noqa: F401
+from hauldeck.llm import shingles, simhash
+
+
+def grams(text, width=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def planted():
+    """Texts of 60 to 400 words and copies with a few words changed, of similarity 0.6 to 0.97."""
+    rng, rows = random.Random(7), []
+    for g in range(60):
+        base = [f"g{g}w{rng.randrange(500)}" for _ in range(rng.randint(60, 400))]
+        rows.append((10 * g, " ".join(base)))
+        copy = base[:]
+        for i in rng.sample(range(len(base)), max(1, int(len(base) * rng.uniform(0.005, 0.06)))):
+            copy[i] = "changed"
+        rows.append((10 * g + 1, " ".join(copy).upper()))
+    return rows
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 2])
+@pytest.mark.parametrize("stars", [0, 2])
+def test_groups_equal_brute_force(made, monkeypatch, block, stars):  # noqa: F811
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(shingles, "STARS", stars)
+    rng = random.Random(3)
+    chain = [f"c{i}" for i in range(200)]
+    rows = [*planted(), (2001, None), (2002, ""), (2003, " \t"), (2004, "One two"), (2005, "one TWO"), (None, "no id"), (2006, LONG), (2006, LONG)]
+    for i in range(12):  # each alike to the next, the ends are not
+        rows.append((3000 + i, " ".join(chain)))
+        for j in rng.sample(range(200), 3):
+            chain[j] = f"d{i}x{j}"
+    rows = [r for i, r in enumerate(rows) if stars or i % 3 != 2 or r[0] is None or r[0] >= 2000]
+    sets = {i: grams(t) for i, (_, t) in enumerate(rows)}
+    pairs = [jaccard(sets[i], sets[j]) for i in sets for j in range(i) if sets[i] and sets[j]]
+    assert sum(0.8 <= s < 0.95 for s in pairs) >= 15 and sum(0.6 <= s < 0.8 for s in pairs) >= 10
+    group = components(sets, lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    want = {}
+    for i, (doc_id, _) in enumerate(rows):
+        want.setdefault(group[i], []).append((doc_id is None, doc_id or 0))
+    kept = simhash.one_of_each(made(rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(map(min, want.values()))
+
+
+def test_pairs_at_the_limit_meet():
+    """Sets of similarity 0.80 to 0.81 share a band, and their estimate passes."""
+    rng, size = np.random.default_rng(2), shingles.BANDS * shingles.ROWS
+    for n in (9, 90, 900) * 100:
+        values = rng.integers(0, 1 << 63, n + n // 9 * 2, np.uint64)
+        k = n // 9
+        a, b = shingles.sketch(values[: n]), shingles.sketch(np.concatenate([values[: n - k], values[n : n + k]]))
+        assert (a.reshape(-1, shingles.ROWS) == b.reshape(-1, shingles.ROWS)).all(1).any() and (a == b).sum() >= size * 0.8 - shingles.FLOOR * (size * 0.16) ** 0.5
