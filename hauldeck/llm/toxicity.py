@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
 Words and word beginnings get log-odds between toxic and clean labelled
-documents under an informative Dirichlet prior (Monroe et al. 2008). A
-linear-time scan (Ruzzo and Tompa 1999) finds all maximal scoring segments of
+documents under an informative Dirichlet prior (Monroe et al. 2008); those
+that are significant count, negative ones too. A linear-time scan (Ruzzo and Tompa 1999) finds all maximal scoring segments of
 a text; extreme-value statistics (Karlin and Altschul 1990) turn a segment's
 score and the text's length into evidence, and a logistic curve turns the
 evidence of all significant segments into a score between 0 and 1.
@@ -22,8 +22,9 @@ from .shared import stage, texts_of
 
 LABELLED = 100_000  # labelled documents that a model is fitted on, at most; those of the lowest hash are taken
 FEATURES = 50_000  # features of a model, at most
-PRIOR = 0.01  # weight of the prior, as a share of all counts
-MIN_Z, MIN_ODDS = 1.4, 5.0  # significance and size of a log-odds that counts
+PRIOR = 0.1  # weight of the prior, as a share of all counts; it draws rare features' log-odds to 0
+MIN_Z = 2.5  # significance of a log-odds that counts, of either sign
+MOST_ODDS = 20.0  # token scores are cut here in the extreme-value law's histogram
 COST = 1.0  # what every token takes off a segment's score
 MOST = 60.0  # evidence of a text is cut here; the curve is flat long before
 WORD = re.compile(r"[^\W\d_]+")
@@ -46,7 +47,10 @@ def features(word: str) -> list[str]:
 
 
 class TokenScores(dict):
-    """Score of a word, worked out when first asked for; forgets all when full."""
+    """Score of a word, worked out when first asked for; forgets all when full.
+
+    A word has its own log-odds if they are known, else those of its longest known beginning, else 0; every word costs COST.
+    """
 
     def __init__(self, odds: dict[str, float], most: int = 400_000):
         super().__init__()
@@ -55,8 +59,8 @@ class TokenScores(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= self.most:
             self.clear()
-        best = max((self.odds.get(f, 0.0) for f in features(word)), default=0.0)
-        self[word] = value = best - COST if best > COST else -COST
+        own, *beginnings = features(word)
+        self[word] = value = next((self.odds[f] for f in (own, *reversed(beginnings)) if f in self.odds), 0.0) - COST
         return value
 
 
@@ -84,13 +88,15 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
+def token_scores(text: bytes, scores: TokenScores) -> np.ndarray:
+    words = WORD.findall(text.decode().lower())
+    return np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
+
+
 def passages(text: bytes, scores: TokenScores) -> tuple[int, list[tuple[int, int, float]]]:
     """Number of tokens of the whole text, and its segments in tokens."""
-    words = WORD.findall(text.decode().lower())
-    if not words:
-        return 0, []
-    values = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
-    return len(words), segments(values) if values.max() > 0 else []
+    values = token_scores(text, scores)
+    return len(values), segments(values) if len(values) and values.max() > 0 else []
 
 
 def is_held_out(doc_id) -> F.Column:
@@ -135,9 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     prior = PRIOR * (all_t + all_c)
     a = (F.col("t") + F.col("c")) * F.lit(PRIOR)
     side = lambda n, every: F.log((F.col(n) + a) / (F.lit(every + prior) - F.col(n) - a))
-    odds = counts.filter("t > 0").select("feature", "t", "c", (side("t", all_t) - side("c", all_c)).alias("odds"), F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a)).alias("sd"))
-    strong = odds.filter((F.col("odds") >= MIN_ODDS) & (F.col("odds") >= MIN_Z * F.col("sd")))
-    top = strong.orderBy((F.col("odds") / F.col("sd")).desc(), "feature").limit(FEATURES).select("feature", "odds").collect()
+    odds = counts.select("feature", (side("t", all_t) - side("c", all_c)).alias("odds"), F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a)).alias("sd"))
+    strong = odds.filter(F.abs("odds") >= MIN_Z * F.col("sd"))
+    top = strong.orderBy(F.abs(F.col("odds") / F.col("sd")).desc(), "feature").limit(FEATURES).select("feature", "odds").collect()
     model = Model(odds=dict(sorted((r[0], float(r[1])) for r in top)))
     return _calibrated(rows, model)
 
@@ -148,17 +154,19 @@ def _calibrated(rows: DataFrame, model: Model) -> Model:
     def scan(batches):
         scores = TokenScores(model.odds)
         for batch in batches:
-            found = [passages(t, scores) for t in texts_of(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for *_, s in g] for _, g in found], pa.list_(pa.float64()))], ["toxic", "n", "s"])
+            values = [token_scores(t, scores) for t in texts_of(batch.column(0))]
+            found = [[s for *_, s in segments(v)] for v in values]
+            law = [np.unique(np.round(np.clip(v, -MOST_ODDS, MOST_ODDS) * 8) / 8, return_counts=True) for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array([len(v) for v in values], pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array([list(zip(v.tolist(), k.tolist(), strict=True)) for v, k in law], pa.map_(pa.float64(), pa.int64()))], ["toxic", "n", "s", "law"])
 
-    seen = stage(rows.mapInArrow(scan, "toxic int, n long, s array<double>"), "segments")
-    # how often positive tokens occur in clean text, by segment score rounded to halves: a bounded histogram
-    score = F.round(F.least("s", F.lit(50.0)) * 2) / 2
+    seen = stage(rows.mapInArrow(scan, "toxic int, n long, s array<double>, law map<double, long>"), "segments")
+    # how often each token score occurs in clean text, rounded to eighths: a bounded histogram
     clean = seen.filter("toxic != 1")
     tokens, documents = clean.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    law = {float(r[0]): r[1] for r in clean.select(F.explode("s").alias("s")).select(score.alias("s")).groupBy("s").count().collect()}
-    typical = float(np.median(list(model.odds.values()))) - COST if model.odds else 1.0
-    law[max(typical, 0.5)] = law.get(max(typical, 0.5), 0) + 0.5  # as if half a segment more had been seen
+    law = {float(r[0]): float(r[1]) for r in clean.select(F.explode("law")).groupBy("key").agg(F.sum("value")).collect()}
+    positive = [x for x in model.odds.values() if x > COST]
+    typical = max(float(np.median(positive)) - COST if positive else 1.0, 0.5)
+    law[typical] = law.get(typical, 0) + 0.5  # as if half a positive token more had been seen
     model.rate = _rate(np.array(list(law)), np.array(list(law.values())) / max(tokens, 1))
     evidence = lambda log_k: F.transform("s", lambda s: F.greatest(F.lit(0.0), s * model.rate - F.log(F.col("n")) - log_k))
     above = clean.select(F.size(F.filter(evidence(0.0), lambda x: x > 0)).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
