@@ -1,6 +1,7 @@
 """URL filter: a stated rule list first, then association rules that FP-growth mines from labelled URLs."""
 
 import string
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 SUPPORT = 0.002  # share of the labelled URLs that a rule's tokens and its label must have
 CONFIDENCE = 0.6  # share of unwanted ones among the URLs that have a rule's tokens
-RULES = 10_000  # rules of a model, at most: those of the highest confidence, then support
+RULES = 1_000_000  # rules of a model, after pruning, beyond which mining fails
 UNWANTED = "label:block"
 
 
@@ -48,20 +49,31 @@ def document_of(url: Column) -> Column:
     return F.expr("try_cast(nullif(regexp_extract(coalesce({u}, ''), '://[^/?#]*/[a-z]+/([0-9]+)', 1), '') as bigint)".replace("{u}", url))
 
 
+def _covered(items: tuple[str, ...], confidence: float, best: dict[tuple[str, ...], float]) -> bool:
+    """Whether a rule with fewer of these tokens is as confident."""
+    if 1 << len(items) <= len(best):
+        return any(best.get(some, -1.0) >= confidence for n in range(len(items)) for some in combinations(items, n))
+    mine_ = set(items)
+    return any(c >= confidence and len(other) < len(items) and mine_.issuperset(other) for other, c in best.items())
+
+
 def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = RULES) -> list[tuple[tuple[str, ...], float]]:
     """Rules (tokens, confidence): URLs with all these tokens are unwanted (toxic, or of low quality) with this confidence.
 
-    Every labelled page is used. A rule goes if one with fewer of its tokens is as confident. Without labels there are no rules.
+    Every labelled page is used. A rule goes if one with fewer of its tokens is as confident; all others stay. Without labels there are no rules.
     """
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad"))
     rows = pages.select(document_of("url").alias("doc_id"), tokens(host_of(F.col("url")), path_of(F.col("url")), F.col("url")).alias("items")).join(known, "doc_id")
     baskets = rows.select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(UNWANTED))).otherwise(F.col("items")).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
-    found = rules.filter(F.array_contains("consequent", UNWANTED)).orderBy(F.desc("confidence"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " ")).limit(most)
-    best: dict[frozenset, float] = {}
-    for tokens_, c in sorted(((frozenset(r["antecedent"]), r["confidence"]) for r in found.select("antecedent", "confidence").collect()), key=lambda x: (len(x[0]), sorted(x[0]))):
-        if not any(other < tokens_ and has >= c for other, has in best.items()):
-            best[tokens_] = c
+    found = rules.filter(F.array_contains("consequent", UNWANTED)).select(F.array_sort("antecedent").alias("items"), "confidence")
+    best: dict[tuple[str, ...], float] = {}
+    for r in found.orderBy(F.size("items"), "items").toLocalIterator():  # shorter rules first; only those that stay are held
+        items = tuple(r["items"])
+        if not _covered(items, r["confidence"], best):
+            best[items] = r["confidence"]
+            if len(best) > most:
+                raise ValueError(f"more than {most} rules stay after pruning; raise the support or the confidence")
     return [(tuple(sorted(t)), c) for t, c in sorted(best.items(), key=lambda x: (-x[1], sorted(x[0])))]
 
 
