@@ -4,8 +4,9 @@ A line of n characters is split into tau + 1 segments. If two lines are within
 tau edits, one segment of the shorter (or equally long) line occurs unchanged
 in the longer one, and by the bounds of Li et al. (2011) only near its own
 place: so each line offers its segments and probes few substrings of itself,
-per length difference. What meets is verified by a bit-parallel edit distance
-that keeps only the band of 2 tau + 1 diagonals (Hyyrö 2003).
+per length difference. Where up to MEMBERS lines meet, they are verified by a
+bit-parallel edit distance that keeps only the band of 2 tau + 1 diagonals
+(Hyyrö 2003); larger meetings use Spark's levenshtein with a threshold.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -110,7 +111,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 
 
 def _block_links(members: DataFrame, roots: DataFrame, edits: int) -> DataFrame:
-    """For each line of a large meeting its first partner of another class, per pair of blocks."""
+    """For each line of a large meeting its first partner of another class, per pair of blocks; found by Spark's levenshtein with a threshold, not by within()."""
     now = members.join(roots, members["line_id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "line_id"))
     mixed = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key")
     blocks = now.join(mixed, "key").groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("line_id", "label", "offered", "line")).alias("m"))
