@@ -5,6 +5,7 @@ and their statistics and Bloom filters skip what a lookup does not need.
 """
 
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,17 @@ class WordEncoder:
 
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
-        """Pieces with the same ids as the word: stops at its end stand alone, and the case of A-Z is no matter outside special tokens.
+        """Pieces with the same ids as the word: stops at its end stand alone, and case is no matter outside special tokens.
 
-        Other words keep their case: the library composes characters before it lower-cases them, and some have a composed form in lower case only.
+        The library composes characters before it lower-cases them, and some have a composed form in lower case only. So words that are not composed, before or after, keep their case.
         """
         core = word.rstrip(".,!?")
         if not core or not core[-1].isalnum() or "<" in word:
             return (word,)
         tail = word[len(core) :]
-        core = core.lower() if core.isascii() else core
+        lower = core.lower()
+        if core.isascii() or ("Σ" not in core and is_normalized("NFC", core) and is_normalized("NFC", lower)):  # a final sigma has a form of its own in Python
+            core = lower
         return (core, tail) if tail else (core,)
 
     def block(self, texts: pa.StringArray, end: int) -> pa.ListArray:
