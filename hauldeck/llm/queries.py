@@ -6,7 +6,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, chat, decontaminate, line_dedup, masked_lm, orc_tokens, simhash, toxicity, url_filter
+from . import bm25, bpe, chat, decontaminate, line_dedup, masked_lm, orc_tokens, periodic_runs, simhash, toxicity, url_filter
 from .shared import new_path, table
 
 ENTRIES: dict = {}
@@ -146,6 +146,29 @@ def op10_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(docs, docs.filter("doc_id % 20 = 0")).select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of every tenth text by crc32(doc_id) the words from some place on repeat with a period."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    named = docs.select("doc_id", "text", crc.alias("h"), F.floor(crc / 10).alias("g"))
+    words = named.select("*", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("w"))
+    n = F.size("w")
+    placed = words.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    index = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", index(i))), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+@registered()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_with_repeats(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("b"), listed.alias("listed"), "collapsed")
+    return best.select(
+        "doc_id", "n_runs", (-F.col("b.s")).alias("start"), "b.length", (-F.col("b.p")).alias("period"), F.floor(1000 * F.col("b.length") / -F.col("b.p")).alias("exponent_milli"),
+        F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 @registered()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
