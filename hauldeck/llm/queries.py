@@ -6,7 +6,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, chat, decontaminate, line_dedup, masked_lm, orc_tokens, periodic_runs, simhash, toxicity, url_filter
+from . import bm25, bpe, chat, decontaminate, hard_negatives, line_dedup, masked_lm, minhash_dedup, orc_tokens, periodic_runs, simhash, toxicity, url_filter
 from .shared import new_path, table
 
 ENTRIES: dict = {}
@@ -169,6 +169,47 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("listed").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+NEAR = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i+3], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s AS x JOIN s AS y USING (s) WHERE x.r < y.r GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.r = a JOIN n AS y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t(a, b) AS (SELECT r, r FROM w UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b),
+c AS (SELECT t.a, min(o.doc_id) AS component_id FROM t JOIN w AS o ON o.r = t.b GROUP BY t.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM w JOIN c ON c.a = w.r LEFT JOIN n USING (r)
+"""
+
+
+@registered(NEAR)
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+HARD = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS s FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) AS k FROM p WHERE same) WHERE k <= 5),
+n AS (
+  SELECT g.anchor_id, g.id AS positive_id, p.id AS negative_id, g.s AS positive_score, p.s AS negative_score, row_number() OVER (PARTITION BY g.anchor_id, g.id ORDER BY p.s DESC, p.id) AS rank
+  FROM g JOIN p ON p.anchor_id = g.anchor_id AND NOT p.same AND 80 * g.s <= 100 * p.s AND p.s <= g.s)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@registered(HARD)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.when(finite, whole).alias("vector"))
+    return hard_negatives.hard_negatives(rows, "id % 100 = 0", positives=5, negatives=5, percent=80, id="vec_id")
+
+
 @registered()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -44,6 +44,19 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return out
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
+    """Each row with its group's columns; `groups` has one row per key and the number of its rows.
+
+    Groups of more than one row in `share` are fewer than `share`, whatever
+    the data: they are broadcast and their rows stay where they are. Only the
+    rows of the others move. Both inputs are read twice, so they should be stored.
+    """
+    most = (groups.agg(F.sum(size)).first()[0] or 0) // share + 1
+    heavy = groups.filter(F.col(size) > most)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(groups.filter(F.col(size) <= most), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
+
+
 def sorted_groups(batches, keys: int):
     """Numpy columns of one group after the other, from Arrow batches sorted by the first `keys` columns.
 
