@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import trips as T
-from .quantiles import exact_quantile
+from .quantiles import exact_quantiles
 from .summaries import name_routes, reliable
 
 NO = "dispatch_entry_no"
@@ -141,8 +141,9 @@ def _legacy_stats(rows: DataFrame, drivers_all: DataFrame, routes_all: DataFrame
 
 def eta_features_legacy(rows: DataFrame, drivers_all: DataFrame, routes_all: DataFrame) -> DataFrame:
     """20 features; missing figures become the table's medians, 50 percent or 0."""
-    median = lambda c, default: F.coalesce(exact_quantile(rows, c, 0.5).scalar(), F.lit(default))
-    medians = {"_minutes": median("trip_duration_minutes", 0.0), "_speed": median("avg_speed_kmph", 20.0), "_km": median("trip_km", 0.0)}
+    defaults = {"_minutes": ("trip_duration_minutes", 0.0), "_speed": ("avg_speed_kmph", 20.0), "_km": ("trip_km", 0.0)}
+    found = exact_quantiles(rows, {name: (c, 0.5) for name, (c, _) in defaults.items()})
+    medians = {name: F.lit(default if found[name] is None else found[name]) for name, (_, default) in defaults.items()}
     fill = {"route_avg_duration": "_minutes", "route_avg_distance": "_km", "driver_avg_duration": "_minutes", "driver_avg_speed": "_speed", "driver_avg_distance": "_km"}
     plain = {"route_trip_count": 0.0, "route_eta_success_rate": 50.0, "driver_eta_success_rate": 50.0, "driver_total_trips": 0.0}
     out = _legacy_stats(rows.withColumns(medians), drivers_all, routes_all)
@@ -164,8 +165,8 @@ def eta_features_legacy_serving(requests: DataFrame, drivers_all: DataFrame, rou
 
 def quantile_trim(rows: DataFrame, target: str = "target", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows whose target lies within the two quantiles. rows should be a stored table."""
-    lo, hi = exact_quantile(rows, target, low).scalar(), exact_quantile(rows, target, high).scalar()
-    return rows.filter(F.col(target).between(lo, hi))
+    ends = exact_quantiles(rows, {"low": (target, low), "high": (target, high)})
+    return rows.filter(F.col(target).between(*(F.lit(ends[k]).cast("double") for k in ("low", "high"))))
 
 
 # ------------------------------------------------------------- on-time model

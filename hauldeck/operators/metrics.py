@@ -30,7 +30,7 @@ def arrival_metrics(rows: DataFrame, actual: str = "ata_in", predicted: str = "p
     out = e.agg(
         rnd(F.avg("e")).alias("mean_arrival_error_hours"), rnd(F.avg("s")).alias("bias_hours"),
         *[rnd(_share(F.col("e") <= h)).alias(f"within_{h}h_pct") for h in (1, 2, 4, 8)], F.count(F.lit(1)).alias("test_samples"))
-    return out.withColumn("median_arrival_error_hours", rnd(exact_quantile(e, "e", 0.5).scalar()))
+    return out.withColumn("median_arrival_error_hours", rnd(F.lit(exact_quantile(e, "e", 0.5)).cast("double")))
 
 
 def classification_metrics(rows: DataFrame, label: str = "label", probability: str = "probability", threshold: float = 0.5) -> DataFrame:

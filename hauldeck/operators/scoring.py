@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import trips as T
 from ..functions.numeric import clip, count_when, rnd
-from .quantiles import exact_quantile
+from .quantiles import exact_quantiles
 from .summaries import reliable
 
 
@@ -42,8 +42,8 @@ def driver_score(rows: DataFrame) -> DataFrame:
         (F.sum(F.col("eta_success_rate").cast("decimal(12,4)")).cast("double") / F.count("eta_success_rate")).alias("rate"),
         F.max("total_trips").alias("top"),
     ).alias("p")).scalar()
-    spread = or_else(exact_quantile(rows, "duration_stddev", 0.95).scalar(), 1.0)
-    usual_km = or_else(exact_quantile(rows.select(per_trip.alias("km")), "km", 0.5).scalar(), 1.0)
+    usual = exact_quantiles(rows.select("duration_stddev", per_trip.alias("km")), {"spread": ("duration_stddev", 0.95), "km": ("km", 0.5)})
+    spread, usual_km = (or_else(F.lit(usual[k]).cast("double"), 1.0) for k in ("spread", "km"))
     rows = rows.withColumns({"_spread": spread, "_km": usual_km, "_rate": or_else(priors["rate"], 55.0), "_top": or_else(priors["top"], 1.0)})
     scored = rows.withColumns({
         "eta_score": clip(T.smoothed_rate(n, rate, F.col("_rate"), 15), 0, 100),

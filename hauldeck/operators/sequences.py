@@ -61,7 +61,7 @@ def sequential_split(rows: DataFrame, share: float = 0.8) -> DataFrame:
     """
     size = rows.agg(F.count(F.lit(1)).alias("c")).scalar()
     cut = F.floor(size * F.lit(share))
-    near_cut = F.floor(exact_quantile(rows, "driver_id", share).scalar())  # at the cut row's driver, or between it and the next one
+    near_cut = F.floor(F.lit(exact_quantile(rows, "driver_id", share)).cast("double"))  # at the cut row's driver, or between it and the next one
     per_driver = rows.groupBy("driver_id").agg(F.count(F.lit(1)).alias("_c"))
     near = per_driver.agg(F.struct(
         F.coalesce(F.sum(F.when(F.col("driver_id") < near_cut, F.col("_c"))), F.lit(0)).alias("below"),

@@ -1,8 +1,9 @@
 """Where intermediate tables are kept: the cluster's checkpoint folder."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,3 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)
     return folder
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared folder, read back: later passes start at a scan, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

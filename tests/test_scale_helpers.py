@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hauldeck.operators import sequences as S
 from hauldeck.operators.paging import paginate, spread_rank, top_per
-from hauldeck.operators.quantiles import exact_quantile
+from hauldeck.operators.quantiles import exact_quantile, exact_quantiles
 
 
 @pytest.mark.parametrize("p", [0.0, 0.01, 0.5, 0.95, 1.0])
@@ -15,7 +15,32 @@ def test_exact_quantile(spark, p, kind):
     rng = np.random.default_rng(3)
     data = {"spread": rng.lognormal(3, 2, 5000), "ties": rng.integers(0, 4, 3000).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 2.0])}[kind]
     df = spark.createDataFrame([(float(x),) for x in data] + [(None,)], "x double")
-    assert exact_quantile(df, "x", p).first()[0] == pytest.approx(float(np.quantile(data, p)), rel=1e-12)
+    assert exact_quantile(df, "x", p) == pytest.approx(float(np.quantile(data, p)), rel=1e-12)
+
+
+def test_quantiles_of_many_values_and_columns(spark):
+    """Over 100,000 distinct values, heavy ties, nulls, no numbers, an empty column: several columns and ranks in one call."""
+    n = 150_000
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double")
+    df = spark.range(n).select(
+        F.when(F.col("id") % 50 != 0, F.exp(h / (1 << 36))).alias("wide"), F.when(F.col("id") % 3 == 0, h).otherwise(F.lit(5.5)).alias("ties"),
+        F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).otherwise(-h).alias("gaps"), F.lit(None).cast("double").alias("none")).repartition(5)
+    wanted = {f"{c}{p}": (c, p) for c in ("wide", "ties", "gaps", "none") for p in (0.0, 0.013, 0.5, 0.6667, 0.95, 1.0)}
+    got, data = exact_quantiles(df, wanted), df.toPandas()
+    for name, (c, p) in wanted.items():
+        assert got[name] == (None if c == "none" else pytest.approx(float(np.nanquantile(data[c], p)), rel=1e-12)), name
+
+
+def test_selection_takes_several_rounds(spark, monkeypatch):
+    """A coarse sketch leaves many rows between the ends; the answer stays exact."""
+    from hauldeck.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "ACCURACY", 20)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.1)
+    df = spark.range(40_000).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("x")).repartition(3)
+    data = df.toPandas()["x"]
+    for p in (0.1, 0.5, 0.99):
+        assert exact_quantile(df, "x", p) == pytest.approx(float(np.quantile(data, p)), rel=1e-12)
 
 
 def hot(spark, n=600):
