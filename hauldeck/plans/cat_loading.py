@@ -100,6 +100,9 @@ def waypoint_export(fleet):
 add("waypoint_scan", lambda f: scans.waypoint_scan(f.spark, waypoint_export(f)),
     f"""select v.asset_id, {ts('recorded_at')} as recorded_at, status, {d('speed_kmph')} as speed_kmph, {d('distance_from_prev')} as distance_from_prev, cast(null as double) as latitude, cast(null as double) as longitude, cast(null as varchar) as location_text
  from waypoints w join vehicles v on w.vehicle_id=v.id""")
+# vehicles whose number is no multiple of three are known; the others are known from the waypoint files only
+add("waypoint_new_vehicles", lambda f: scans.new_vehicles(scans.waypoint_scan(f.spark, waypoint_export(f)), f.vehicles.filter("id % 3 <> 0")),
+    "select distinct v.asset_id from waypoints w join vehicles v on w.vehicle_id=v.id where v.id%3=0 and w.recorded_at is not null")
 add("pruned_scan", lambda f: scans.pruned_scan(f.given("orders"), ["o_orderkey", "o_custkey", "o_orderstatus"]),
     "select o_orderkey, o_custkey, o_orderstatus from orders")
 add(

@@ -1,88 +1,119 @@
 """Reading exports: text columns only, names resolved once, typed later."""
 
+import csv
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.cleaning import clean_str, parse_datetime, safe_float
 from ..functions.trips import status_speed
+from ..operators.staging import stage
 
-REPLACEMENT_CHAR = "�"
+# Spark's reader drops each file's first line as a header and splits at this text, which no export holds: so it gives whole lines.
+NO_SEPARATOR = "\u0001\u0002\u0003"
 
 
-def trip_csv_scan(
-    spark: SparkSession, path: str, limit: int | None = None, skip_bad_lines: bool = False, encoding: str = "auto"
-) -> DataFrame:
-    """All-text CSV with a header.
+@dataclass
+class Wording:
+    """One distinct header: its number and the columns in file order."""
+
+    number: int
+    columns: list[str]
+
 
-    Short rows are padded with nulls, and over-long rows are cut to the header's
-    columns unless `skip_bad_lines` drops them; which rows come out does not
-    depend on the columns that are read. 'auto' reads each file as UTF-8, or as
-    Latin-1 if some of its text does not decode.
+def file_headers(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    """(file, header, latin1) of every CSV file, stored.
+
+    The first line that is not blank is the one with the lowest row id in the
+    split that starts at byte 0. A file is Latin-1 if some line's bytes are no
+    UTF-8, whatever characters it decodes to. One narrow row per file comes
+    out of a map-side combined aggregation; the files are not listed on the driver.
     """
-    columns = spark.read.option("header", True).option("encoding", "UTF-8" if encoding == "auto" else encoding).csv(path).schema
-    bad = "_corrupt_record"
-    full = StructType([*columns, StructField(bad, StringType())])
-
-    def read(charset):
-        # the record column keeps over-long and short rows' text; all columns are parsed, so rows do not change with the selection
-        rows = spark.read.option("columnPruning", not skip_bad_lines).option("header", True).option("encoding", charset).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("enforceSchema", True).schema(full).csv(path)
-        rows = rows.withColumn("_file", F.col("_metadata.file_path"))
-        if not skip_bad_lines:
-            return rows
-        over_long = F.col(bad).isNotNull() & F.col(f"`{columns.names[-1]}`").isNotNull()
-        return rows.filter(~F.coalesce(over_long, F.lit(False)))
-
-    if encoding != "auto":
-        out = read(encoding).drop(bad, "_file")
-    else:
-        utf8 = read("UTF-8")
-        broken = F.lit(False)
-        for c in columns.names:
-            broken = broken | F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT_CHAR), F.lit(False))
-        files = utf8.filter(broken).select("_file").distinct()
-        out = utf8.join(files, "_file", "left_anti").unionByName(read("ISO-8859-1").join(files, "_file", "left_semi")).drop(bad, "_file")
-    return out if limit is None else out.limit(limit)
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    lines = (reader.option("pathGlobFilter", "*.csv") if recursive else reader).text(path)
+    seen = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).withColumn("row", F.monotonically_increasing_id())
+    first = F.min_by(F.when((F.col("start") == 0) & (F.trim("value") != ""), F.col("value")), F.when((F.col("start") == 0) & (F.trim("value") != ""), F.col("row")))
+    found = seen.groupBy("file").agg(first.alias("header"), F.max(~F.is_valid_utf8("value")).alias("latin1")).filter("header IS NOT NULL")
+    text = F.when(F.col("latin1"), F.decode(F.col("header").cast("binary"), "ISO-8859-1")).otherwise(F.ltrim("header", F.lit("\ufeff")))
+    return stage(found.select("file", text.alias("header"), "latin1"), "headers")
+
 
+def column_names(header: str) -> list[str]:
+    """The header's names; blank ones are called by their place, repeated ones get it as a suffix."""
+    names = [n.strip() or f"_c{i}" for i, n in enumerate(next(csv.reader([header])))]
+    return [f"{n}{i}" if names.count(n) > 1 else n for i, n in enumerate(names)]
 
-def header_groups(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """(header line, files) per distinct header below a folder.
 
-    The first line of a file is the one with the lowest row id in the split
-    that starts at byte 0; only one row per file leaves the executors.
+def exported_rows(spark: SparkSession, path: str, recursive: bool, charset: str = "auto", skip_bad_lines: bool = False) -> tuple[DataFrame, list[Wording]]:
+    """Cells by place (c0, c1, …, all text), _file and _wording of every line, and the distinct headers.
+
+    The files are read twice, once for headers and charsets and once for the
+    rows, and each line is parsed once, whatever its header. Only the distinct
+    headers come to the driver. Short lines end in nulls, cells beyond the
+    header's are not given out; `skip_bad_lines` drops lines that have such cells.
+    Quotes inside a quoted cell are doubled.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-        .withColumn("row", F.monotonically_increasing_id())
-        .filter("start = 0")
-    )
-    firsts = lines.groupBy("file").agg(F.min_by("value", "row").alias("header"))
-    rows = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
-    return [(r["header"], r["files"]) for r in rows]
+    files = file_headers(spark, path, recursive)
+    headers = [r["header"] for r in files.select("header").distinct().orderBy("header").collect()]
+    wordings = [Wording(n, column_names(h)) for n, h in enumerate(headers)]
+    if not wordings:
+        return spark.createDataFrame([], "_file string, _wording int"), []
+    numbers = F.create_map(*[F.lit(x) for n, h in enumerate(headers) for x in (h, n)])
+    widths = F.array(*[F.lit(len(w.columns)) for w in wordings])
+    known = files.select("file", "latin1", numbers[F.col("header")].alias("_wording"))
+    reader = spark.read.schema("line string").option("header", True).option("enforceSchema", True).option("encoding", "ISO-8859-1").option("sep", NO_SEPARATOR).option("quote", "").option("recursiveFileLookup", recursive)
+    lines = (reader.option("pathGlobFilter", "*.csv") if recursive else reader).csv(path).select("line", F.col("_metadata.file_path").alias("_file"))
+    raw = F.encode("line", "ISO-8859-1")  # one byte per character, so nothing was lost
+    if charset == "auto":
+        text = F.when(F.col("latin1"), F.col("line")).otherwise(F.decode(raw, "UTF-8"))
+    else:
+        text = F.decode(raw, charset)
+    rows = lines.join(known, lines["_file"] == known["file"]).select(text.alias("_line"), "_file", "_wording")
+    if skip_bad_lines:
+        bare = F.regexp_replace("_line", r'"[^"]*"', "")
+        rows = rows.filter(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) < F.get(widths, F.col("_wording")))
+    cells = ", ".join(f"c{k} string" for k in range(max(len(w.columns) for w in wordings)))
+    return rows.select("_file", "_wording", F.from_csv("_line", cells, {"escape": '"'}).alias("_cells")).select("_file", "_wording", "_cells.*"), wordings
+
+
+def aligned(rows: DataFrame, wordings: list[Wording], rename: Callable[[list[str]], dict[str, str]] | None, with_file: bool) -> DataFrame:
+    """Cells under their names: a column holds, row by row, the cell that the row's header calls so; null where it has none."""
+    places: dict[str, dict[int, list[int]]] = {}
+    for w in wordings:
+        names = rename(w.columns) if rename else {}
+        for k, c in enumerate(w.columns):
+            places.setdefault(names.get(c, c), {}).setdefault(k, []).append(w.number)
+    cols = []
+    for name, at in places.items():
+        cell = F.coalesce(*[F.when(F.col("_wording").isin(numbers), F.col(f"c{k}")) if len(numbers) < len(wordings) else F.col(f"c{k}") for k, numbers in at.items()])
+        cols.append(cell.alias(name))
+    return rows.select(*cols, *(["_file"] if with_file else []))
+
+
+def trip_csv_scan(spark: SparkSession, path: str, limit: int | None = None, skip_bad_lines: bool = False, encoding: str = "auto") -> DataFrame:
+    """All-text CSV with a header.
+
+    Short rows are padded with nulls; of over-long rows the cells beyond the
+    header are not given out, or `skip_bad_lines` drops the rows; which rows
+    come out does not depend on the columns that are read. 'auto' reads each
+    file as UTF-8, or as Latin-1 if its bytes are no UTF-8. Files with other
+    headers are aligned by name; a folder without files gives no rows.
+    """
+    out = aligned(*exported_rows(spark, path, False, encoding, skip_bad_lines), None, False)
+    return out if limit is None else out.limit(limit)
 
 
-def multi_file_scan(
-    spark: SparkSession, path: str, rename: Callable[[list[str]], dict[str, str]] | None = None, with_file: bool = False
-) -> DataFrame:
-    """Union of all CSV files below a folder, columns aligned by name.
+def multi_file_scan(spark: SparkSession, path: str, rename: Callable[[list[str]], dict[str, str]] | None = None, with_file: bool = False) -> DataFrame:
+    """All CSV files below a folder in one scan, columns aligned by name, each file in its own charset.
 
     rename maps the columns of one header to new names, for exports whose
-    headers differ in wording.
+    headers differ in wording. The number of files does not matter to the
+    plan or the driver; the number of distinct headers does.
     """
-    out = None
-    for _, files in header_groups(spark, path):
-        df = spark.read.option("header", True).csv(files)
-        names = rename(df.columns) if rename else {}
-        cols = [F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns]
-        if with_file:
-            cols.append(F.col("_metadata.file_path").alias("_file"))
-        df = df.select(*cols)
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+    return aligned(*exported_rows(spark, path, True), rename, with_file)
 
 
 # Header synonyms of the waypoint export.

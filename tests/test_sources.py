@@ -20,6 +20,40 @@ def test_charset_is_decided_per_file_and_rows_stay(spark, tmp_path):
     assert sorted(r["a"] for r in kept.select("a").collect()) == ["6", "José", "José"] and kept.count() == 3
 
 
+def test_charset_is_decided_by_the_bytes(spark, tmp_path):
+    """A real U+FFFD is no reason for Latin-1, and one bad byte far from the first accent is one."""
+    (tmp_path / "u.csv").write_bytes("a,b\nJosé,\ufffd\n".encode())
+    (tmp_path / "t.csv").write_bytes("a,b\nÃ©t,1\n".encode() + b"x,2\n" * 50 + b"Jos\xe9,3\n")
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbfa,b\n\xc3\xbc,4\n")
+    got = {r["b"]: r["a"] for r in scans.trip_csv_scan(spark, str(tmp_path)).collect()}
+    assert got["\ufffd"] == "José" and got["3"] == "José" and got["1"] == "Ã©t".encode().decode("latin1") and got["4"] == "ü"
+    assert {r["a"] for r in scans.multi_file_scan(spark, str(tmp_path)).collect()} == set(got.values())
+
+
+def test_cells_and_lines_of_all_kinds(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b,c\n"x, y",2,"say ""hi"""\n\n1,,3\na,b,c\n4,5,6,7\n8\n')
+    (tmp_path / "head_only.csv").write_text("a,b,c\n")
+    (tmp_path / "empty.csv").write_text("")
+    rows = sorted((tuple(r) for r in scans.multi_file_scan(spark, str(tmp_path)).collect()), key=str)
+    # a line like the header, further down, is a row
+    assert rows == sorted([("x, y", "2", 'say "hi"'), ("1", None, "3"), ("a", "b", "c"), ("4", "5", "6"), ("8", None, None)], key=str)
+    assert scans.trip_csv_scan(spark, str(tmp_path), skip_bad_lines=True).count() == 4
+    (tmp_path / "none").mkdir()
+    assert scans.multi_file_scan(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_thousands_of_small_files(spark, tmp_path):
+    """5,000 files of three wordings and two charsets are one scan, whatever their number."""
+    for i in range(5000):
+        text = ("name,n\nJosé {0},{0}\n", "n,name\n{0},José {0}\n", "n,extra,name\n{0},x,José {0}\n")[i % 3].format(i)
+        (tmp_path / f"f{i}.csv").write_bytes(text.encode("latin1" if i % 5 == 0 else "utf8"))
+    df = scans.multi_file_scan(spark, str(tmp_path))
+    assert df.columns == ["n", "extra", "name"]
+    assert df.filter(F.col("name") == F.concat(F.lit("José "), F.col("n"))).agg(F.count(F.lit(1)), F.sum(F.col("n").cast("int")), F.count("extra")).first()[0:3] == (5000, 5000 * 4999 // 2, 1666)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan csv") == 1 and "Union" not in plan
+
+
 def test_files_are_aligned_by_name(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "1.csv").write_text("s_origin,n\nA,1\n")
