@@ -5,12 +5,16 @@ import sys
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle, keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import trips as T
 from .quantiles import exact_quantile
+from .staging import stage
 from .summaries import name_routes, reliable
 
 # the small functions below run in tasks; executors need not have this package installed
@@ -86,15 +90,15 @@ def grow_tree(x: np.ndarray, seed: int) -> list[tuple]:
     return nodes
 
 
-def standardised(features: DataFrame) -> DataFrame:
-    """z_ columns with the table's own mean and population deviation."""
-    stats = features.agg(F.struct(*[
-        F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in ANOMALY_FEATURES]).alias("st")).scalar()
-    z = {}
-    for c in ANOMALY_FEATURES:
-        sd = F.when(stats[c]["s"] == 0, F.lit(1.0)).otherwise(stats[c]["s"])
-        z[f"z_{c}"] = (F.col(c) - stats[c]["m"]) / sd
-    return features.withColumns(z)
+def feature_scale(features: DataFrame) -> list[tuple[float, float]]:
+    """Mean and population deviation of each feature (1 where nothing varies)."""
+    row = features.agg(*[x for c in ANOMALY_FEATURES for x in (F.avg(c), F.stddev_pop(c))]).first()
+    return [(row[2 * k] or 0.0, row[2 * k + 1] or 1.0) for k in range(len(ANOMALY_FEATURES))]
+
+
+def standardised(features: DataFrame, scale: list[tuple[float, float]]) -> DataFrame:
+    """z_ columns by the given means and deviations."""
+    return features.withColumns({f"z_{c}": (F.col(c) - m) / s for c, (m, s) in zip(ANOMALY_FEATURES, scale, strict=True)})
 
 
 def tree_samples(scaled: DataFrame, key: str = "dispatch_entry_no", seed: int = 42) -> DataFrame:
@@ -115,8 +119,8 @@ def tree_samples(scaled: DataFrame, key: str = "dispatch_entry_no", seed: int =
     return top_per(drawn, ["_tree"], [F.xxhash64(F.col(key), F.col("_copy"), F.col("_tree")), key, "_copy"], SAMPLE)
 
 
-def fit_forest(scaled: DataFrame, key: str = "dispatch_entry_no") -> pd.DataFrame:
-    """Trees grown in parallel; at most TREES * 511 short node rows come back."""
+def grow_forest(scaled: DataFrame, key: str = "dispatch_entry_no") -> DataFrame:
+    """Nodes of trees grown in parallel: at most TREES * 511 short rows."""
     cols = [f"z_{c}" for c in ANOMALY_FEATURES]
 
     def one_tree(pdf):
@@ -125,8 +129,7 @@ def fit_forest(scaled: DataFrame, key: str = "dispatch_entry_no") -> pd.DataFram
         return pd.DataFrame([(tree, i, *n) for i, n in enumerate(nodes)], columns=["tree", "node", "feature", "cut", "lo", "hi", "depth"])
 
     samples = tree_samples(scaled, key).select("_tree", key, "_copy", *cols)
-    nodes = samples.groupBy("_tree").applyInPandas(one_tree, "tree int, node int, feature int, cut double, lo int, hi int, depth double")
-    return nodes.toPandas().sort_values(["tree", "node"])
+    return samples.groupBy("_tree").applyInPandas(one_tree, NODES)
 
 
 def score_forest(scaled: DataFrame, forest: pd.DataFrame) -> DataFrame:
@@ -155,19 +158,84 @@ def score_forest(scaled: DataFrame, forest: pd.DataFrame) -> DataFrame:
     return scaled.mapInPandas(score, out)
 
 
-def anomaly_model(features: DataFrame) -> DataFrame:
-    """Every trip with raw_score."""
-    scaled = standardised(features)
-    return score_forest(scaled, fit_forest(scaled))
+NODES = "tree int, node int, feature int, cut double, lo int, hi int, depth double"
+
+
+class AnomalyForest(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Isolation forest over ANOMALY_FEATURES; the share `contamination` of the fitted rows lies above the threshold."""
+
+    contamination = Param(Params._dummy(), "contamination", "share of the fitted rows that counts as unusual", TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, contamination: float = CONTAMINATION):
+        super().__init__()
+        self._setDefault(contamination=CONTAMINATION)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> "AnomalyForestModel":
+        """The table is read for its scale, the trees' samples and the scores; it should be stored."""
+        scale = feature_scale(dataset)
+        forest = grow_forest(standardised(dataset, scale)).toPandas().sort_values(["tree", "node"])
+        scores = stage(score_forest(standardised(dataset, scale), forest).select("raw_score"), "anomaly-scores")
+        low, high = scores.agg(F.min("raw_score"), F.max("raw_score")).first()
+        cut = exact_quantile(scores, "raw_score", 1 - self.getOrDefault(self.contamination))
+        return AnomalyForestModel(scale, low, high, cut, forest)._resetUid(self.uid + "_model")
+
+
+class AnomalyForestModel(Model, MLReadable, MLWritable):
+    """Scale, trees, range of the fitted scores and threshold; all of bounded size."""
+
+    def __init__(self, scale: list[tuple[float, float]], low: float, high: float, cut: float, forest: pd.DataFrame):
+        super().__init__()
+        self.scale, self.low, self.high, self.cut, self.forest = scale, low, high, cut, forest
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        """Adds raw_score, anomaly_score (by the fitted range, within 0 and 1) and is_anomaly; rows need not be those of the fit."""
+        return flagged(score_forest(standardised(dataset, self.scale), self.forest), self.low, self.high, self.cut)
+
+    def write(self) -> "AnomalyForestWriter":
+        return AnomalyForestWriter(self)
+
+    @classmethod
+    def read(cls) -> "AnomalyForestReader":
+        return AnomalyForestReader()
+
+
+class AnomalyForestWriter(MLWriter):
+    def __init__(self, model: AnomalyForestModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        spark, m = SparkSession.active(), self.model
+        DefaultParamsWriter.saveMetadata(m, path, spark)
+        spark.createDataFrame(m.forest, NODES).coalesce(1).write.parquet(f"{path}/nodes")
+        state = [(c, float(a), float(b), float(m.low), float(m.high), float(m.cut)) for c, (a, b) in zip(ANOMALY_FEATURES, m.scale, strict=True)]
+        spark.createDataFrame(state, "feature string, mean double, deviation double, low double, high double, cut double").coalesce(1).write.parquet(f"{path}/state")
+
+
+class AnomalyForestReader(MLReader):
+    def load(self, path: str) -> AnomalyForestModel:
+        spark = SparkSession.active()
+        metadata = DefaultParamsReader.loadMetadata(path, spark)
+        state = {r["feature"]: r for r in spark.read.parquet(f"{path}/state").collect()}
+        some = state[ANOMALY_FEATURES[0]]
+        nodes = spark.read.parquet(f"{path}/nodes").toPandas().sort_values(["tree", "node"])
+        model = AnomalyForestModel([(state[c]["mean"], state[c]["deviation"]) for c in ANOMALY_FEATURES], some["low"], some["high"], some["cut"], nodes)
+        return model._resetUid(metadata["uid"])
+
+
+def flagged(scored: DataFrame, low: float, high: float, cut: float) -> DataFrame:
+    """raw_score scaled to 0-1 by a range, cut at its ends, and rows above the threshold marked."""
+    share = (F.col("raw_score") - F.lit(low)) / (F.lit(high) - F.lit(low) + 1e-8)
+    return scored.withColumns({"anomaly_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), "is_anomaly": F.when(F.col("raw_score") > F.lit(cut), 1).otherwise(0)})
 
 
 def anomaly_flags(scored: DataFrame) -> DataFrame:
-    """Scores scaled to 0-1 and the top share marked. scored should be a stored table."""
-    cut = exact_quantile(scored, "raw_score", 1 - CONTAMINATION).scalar()
-    ends = scored.agg(F.struct(F.min("raw_score").alias("lo"), F.max("raw_score").alias("hi")).alias("e")).scalar()
-    return scored.withColumns({
-        "anomaly_score": (F.col("raw_score") - ends["lo"]) / (ends["hi"] - ends["lo"] + 1e-8),
-        "is_anomaly": F.when(F.col("raw_score") > cut, 1).otherwise(0)})
+    """The same by the scored table's own range and top share."""
+    scored = stage(scored, "scored")
+    low, high = scored.agg(F.min("raw_score"), F.max("raw_score")).first()
+    return flagged(scored, low, high, exact_quantile(scored, "raw_score", 1 - CONTAMINATION))
 
 
 def anomaly_contrib(flagged: DataFrame) -> DataFrame:
@@ -186,9 +254,10 @@ def anomaly_alerts(flagged: DataFrame, limit: int = 100, with_route: bool = Fals
     """The most anomalous trips as alerts (100 after training, 200 with route text in a scan)."""
     score, mean = F.col("anomaly_score"), F.coalesce("route_avg_duration", F.lit(0.0))
     rows = flagged.filter(F.col("is_anomaly") == 1).orderBy(F.desc("anomaly_score"), "dispatch_entry_no").limit(limit)
-    minutes = F.format_string("%.0f", F.col("trip_duration_minutes"))
-    ratio, avg = F.format_string("%.1f", F.col("trip_duration_minutes") / F.nullif(mean, F.lit(0.0))), F.format_string("%.0f", mean)
-    tail = F.concat(F.lit("Anomaly score: "), F.format_string("%.3f", score))
+    shown = lambda x, digits: F.format_string(f"%.{digits}f", F.bround(x, digits))  # noqa: E731  halves go to the even digit
+    minutes = shown(F.col("trip_duration_minutes"), 0)
+    ratio, avg = shown(F.col("trip_duration_minutes") / F.nullif(mean, F.lit(0.0)), 1), shown(mean, 0)
+    tail = F.concat(F.lit("Anomaly score: "), shown(score, 3))
     if with_route:
         head = F.concat(F.lit("Driver "), F.coalesce("driver_name", F.lit("Unknown")), F.lit(": trip "), F.col("origin_name"), F.lit(" -> "),
                         F.col("destination_name"), F.lit(" took "), minutes, F.lit(" min"))

@@ -178,8 +178,30 @@ def anomaly_rows(f):
     return A.anomaly_input(f.trips, f.drivers, f.locations, f.route_summary)
 
 
+def anomaly_table(f):
+    return f.stored("anomaly_features", lambda: A.anomaly_features(anomaly_rows(f)))
+
+
+def anomaly_store(f):
+    """The folder of the model that was fitted on all trips."""
+    return f.model("anomaly_detector", lambda: A.AnomalyForest().fit(anomaly_table(f)))
+
+
+def anomaly_forest(f):
+    return A.AnomalyForestModel.load(anomaly_store(f))
+
+
 def scored(f):
-    return f.stored("anomaly_scores", lambda: A.anomaly_model(A.anomaly_features(anomaly_rows(f))))
+    """All trips by the stored model."""
+    return f.stored("anomaly_scores", lambda: anomaly_forest(f).transform(anomaly_table(f)))
+
+
+def fresh(f):
+    """Trips of the scan's window without an alert."""
+    return A.unscanned_trips(anomaly_table(f), slow_trip_alerts(f), f.trips.agg(F.max("trip_start")).scalar(), SCAN_DAYS)
+
+
+SCAN_DAYS = 365
 
 
 CTE["an_in"] = """select t.* exclude (origin, destination, driver_name), lo.name as origin_name, ld.name as destination_name, dr.name as driver_name, s.avg_duration_min as route_avg_duration, s.avg_distance_km as route_avg_distance, s.eta_success_rate as route_eta_success
@@ -200,9 +222,43 @@ def slow_trip_alerts(f):
         F.lit("anomaly").alias("alert_type"), F.col("dispatch_entry_no").alias("trip_no"))
 
 
-add("unscanned_trips", lambda f: A.unscanned_trips(anomaly_rows(f), slow_trip_alerts(f), f.trips.agg(F.max("trip_start")).scalar(), 365).select("dispatch_entry_no", "driver_id", "trip_start"),
+add("unscanned_trips", lambda f: A.unscanned_trips(anomaly_rows(f), slow_trip_alerts(f), f.trips.agg(F.max("trip_start")).scalar(), SCAN_DAYS).select("dispatch_entry_no", "driver_id", "trip_start"),
     f"select dispatch_entry_no, driver_id, {ts('trip_start')} as trip_start from an_in where trip_start>=(select max(trip_start) from trips)-to_days(365) and not (cast(trip_duration_minutes as double)>2*route_avg_duration)")
-add("anomaly_model", lambda f: A.anomaly_flags(scored(f)).select("dispatch_entry_no", "raw_score", "anomaly_score", "is_anomaly"))
-add("anomaly_contrib", lambda f: A.anomaly_contrib(A.anomaly_flags(scored(f))))
-add("anomaly_alerts", lambda f: A.anomaly_alerts(A.anomaly_flags(scored(f))))
-add("anomaly_alerts_scan", lambda f: A.anomaly_alerts(A.anomaly_flags(scored(f)), 200, with_route=True))
+add("anomaly_model", lambda f: scored(f).select("dispatch_entry_no", "raw_score", "anomaly_score", "is_anomaly"))
+add("anomaly_contrib", lambda f: A.anomaly_contrib(scored(f)))
+add("anomaly_alerts", lambda f: A.anomaly_alerts(scored(f)))
+add("anomaly_alerts_scan", lambda f: A.anomaly_alerts(anomaly_forest(f).transform(fresh(f)), 200, with_route=True))
+
+# The same steps on a stated score, minutes over minutes plus the route's mean, which SQL can repeat.
+STATED = "coalesce(duration_ratio/(1+duration_ratio),0)"
+
+
+def stated(f):
+    return A.anomaly_flags(anomaly_table(f).withColumn("raw_score", F.expr(STATED)))
+
+
+CTE["an_feat"] = """select *, cast(trip_duration_minutes as double) as minutes, coalesce(cast(trip_duration_minutes as double)/nullif(route_avg_duration,0),1.0) as duration_ratio, coalesce(cast(eta_delay_minutes as double),0) as delay,
+ coalesce(cast(eta_delay_minutes as double),0)/coalesce(nullif(route_avg_duration,0),1) as delay_ratio, cast(least(hour(trip_start),24-hour(trip_start)) as double) as hour_deviation, cast(case when hour(trip_start)>=22 or hour(trip_start)<=5 then 1 else 0 end as double) as is_night_trip from an_in"""
+CTE["an_raw"] = f"select *, {STATED} as raw_score from an_feat"
+CTE["an_flags"] = """select *, (raw_score-lo)/(hi-lo+1e-8) as anomaly_score, case when raw_score>cut then 1 else 0 end as is_anomaly from an_raw, (select min(raw_score) as lo, max(raw_score) as hi, quantile_cont(raw_score,0.95) as cut from an_raw)"""
+SEVERITY = "case when anomaly_score<0.7 then 'low' when anomaly_score<0.85 then 'medium' else 'high' end"
+SCORE_TEXT = "printf('Anomaly score: %.3f', anomaly_score)"
+
+
+def _alerts_sql(rows, limit, text):
+    return f"""select 'anomaly' as alert_type, {SEVERITY} as severity, driver_id, dispatch_entry_no as trip_no, vehicle_id, 'Anomalous Trip Detected' as title, {text} as message, {ts('trip_start')} as created_at
+ from (select * from {rows} where is_anomaly=1 order by anomaly_score desc, dispatch_entry_no limit {limit})"""
+
+
+MEAN = "coalesce(route_avg_duration,0)"
+add("anomaly_flags_stated", lambda f: stated(f).select("dispatch_entry_no", rnd("anomaly_score", 6).alias("anomaly_score"), "is_anomaly"),
+    f"select dispatch_entry_no, {r('anomaly_score', 6)} as anomaly_score, cast(is_anomaly as bigint) as is_anomaly from an_flags")
+add("anomaly_contrib_stated", lambda f: A.anomaly_contrib(stated(f)), " union all ".join(
+    f"select '{name}' as feature, round(abs(avg(case when is_anomaly=1 then {x} end)-avg(case when is_anomaly=0 then {x} end))/coalesce(nullif(stddev_samp(case when is_anomaly=0 then {x} end),0),1),3) as z_score from an_flags"
+    for name, x in zip(A.ANOMALY_FEATURES, ("minutes", "delay", "duration_ratio", "delay_ratio", "hour_deviation", "is_night_trip"), strict=True)))
+add("anomaly_alerts_stated", lambda f: A.anomaly_alerts(stated(f)),
+    _alerts_sql("an_flags", 100, f"case when {MEAN}>0 then printf('Trip duration (%.0f min) is %.1fx the route average (%.0f min). ', minutes, minutes/nullif({MEAN},0), {MEAN})||{SCORE_TEXT} else {SCORE_TEXT} end"))
+# what must hold for the stored model's scores, whatever the trees: one row of counts
+SCAN_HOLDS = {"n_rows": "count(*)", "n_in_range": "count_if(anomaly_score between 0 and 1)", "n_flagged_ordinary": "count_if(is_anomaly=1 and raw_score<0.4)"}
+add("anomaly_scan_holds", lambda f: anomaly_forest(f).transform(fresh(f)).agg(*[F.expr(x).alias(c) for c, x in SCAN_HOLDS.items()]),
+    f"select count(*) as n_rows, count(*) as n_in_range, cast(0 as bigint) as n_flagged_ordinary from an_in where trip_start>=(select max(trip_start) from trips)-to_days(365) and not (cast(trip_duration_minutes as double)>2*route_avg_duration)")

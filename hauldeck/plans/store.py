@@ -23,6 +23,7 @@ class Fleet:
         self.spark, self.sf_dir = spark, sf_dir
         self.folder = f"{shared_folder(spark)}/hauldeck-{uuid.uuid4().hex}"
         self._tables: dict[str, DataFrame] = {}
+        self._models: set[str] = set()
         self.exports: set[str] = set()
 
     @classmethod
@@ -52,6 +53,14 @@ class Fleet:
             self._tables[name] = self.spark.read.schema(df.schema).parquet(path)
         return self._tables[name]
 
+    def model(self, name: str, fit) -> str:
+        """The folder of a fitted model: fitted and saved by the first who asks, loaded from there by all."""
+        path = f"{self.folder}/models/{name}"
+        if path not in self._models:
+            fit().write().overwrite().save(path)
+            self._models.add(path)
+        return path
+
     # raw rows and dimensions
     @property
     def raw(self) -> DataFrame:

@@ -30,18 +30,30 @@ def test_forecasts_are_seven_days_and_not_negative(fleet):
     assert rows and all(r["predicted_trips"] >= 0 for r in rows) and len(rows) % 7 == 0
 
 
-def test_planted_outliers_score_highest(spark):
+def test_planted_outliers_score_highest(spark, tmp_path):
     n = 2000
     base = spark.range(n).withColumns({
         "dispatch_entry_no": F.concat(F.lit("d"), F.col("id").cast("string")), "planted": F.when(F.col("id") % 100 == 0, 1).otherwise(0)})
     odd, u = F.col("planted") == 1, F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
     cols = {c: F.when(odd, 50 + u * 20).otherwise(u + F.pmod(F.xxhash64("id", F.lit(c)), F.lit(100)) / 100.0) for c in A.ANOMALY_FEATURES}
-    scored = A.anomaly_model(base.withColumns(cols)).cache()
-    flagged = A.anomaly_flags(scored)
+    table = base.withColumns(cols).cache()
+    model = A.AnomalyForest().fit(table)
+    flagged = model.transform(table).cache()
     assert flagged.filter("planted = 1 and is_anomaly = 0").count() == 0
     assert 0 < flagged.filter("is_anomaly = 1").count() <= n * A.CONTAMINATION + 1
-    again = {r["dispatch_entry_no"]: r["raw_score"] for r in A.anomaly_model(base.repartition(5).withColumns(cols)).collect()}
-    assert all(abs(again[r["dispatch_entry_no"]] - r["raw_score"]) < 1e-6 for r in scored.collect())
+    again = {r["dispatch_entry_no"]: r["raw_score"] for r in A.AnomalyForest().fit(table.repartition(5)).transform(table).collect()}
+    assert all(abs(again[r["dispatch_entry_no"]] - r["raw_score"]) < 1e-6 for r in flagged.collect())
+    # the saved model scores rows it has not seen, by the fitted scale, range and threshold
+    path = str(tmp_path / "forest")
+    model.write().save(path)
+    loaded = A.AnomalyForestModel.load(path)
+    assert loaded.uid == model.uid and (loaded.low, loaded.high, loaded.cut) == (model.low, model.high, model.cut)
+    assert {r["dispatch_entry_no"]: r["is_anomaly"] for r in loaded.transform(table).collect()} == {r["dispatch_entry_no"]: r["is_anomaly"] for r in flagged.collect()}
+    far = table.filter("planted = 0").limit(3).withColumns({c: F.lit(x) for c, x in zip(A.ANOMALY_FEATURES, (900.0, 900.0, 900.0, 900.0, 900.0, 900.0), strict=True)})
+    for r in loaded.transform(far).collect():
+        assert r["is_anomaly"] == 1 and 0.9 < r["anomaly_score"] <= 1
+    assert {r["anomaly_score"] for r in A.flagged(flagged.withColumn("raw_score", F.lit(2.0)), 0.3, 0.9, 0.8).collect()} == {1.0}
+    assert loaded.transform(table.limit(0)).count() == 0
 
 
 def test_arrival_model_beats_the_mean(fleet):
