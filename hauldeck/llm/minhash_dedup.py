@@ -33,6 +33,7 @@ STARS = 2  # rounds in which each meeting's members are compared with one of the
 FLOOR = 5.0  # standard deviations that a signature's estimate may lie below the similarity before the pair is not verified
 AT_ONCE = 1 << 15  # shingles that deal out their ranks at a time
 PAIRS = 1 << 17  # pairs whose signatures are compared at a time
+BLOCK = 1024  # texts of a meeting that meet in one task, per side
 FOREST = 1 << 16  # links of a task that are joined at a time
 BLOCK_BYTES = 1 << 20
 
@@ -138,10 +139,8 @@ def sketched(docs: DataFrame, width: int, keep: list[str], text: str = "text") -
     return docs.select(*keep, text).mapInArrow(run, f"{head}, n_shingles long, fp long, sig binary, bands array<long>")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, keyed: DataFrame, width: int, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) whose texts have this similarity."""
-    pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+def _sets_of(ids: DataFrame, rows: DataFrame, keyed: DataFrame, width: int) -> DataFrame:
+    """(fp, s): the shingle sets of these `fp`, stored; each is worked out from one of the texts that have it."""
     wanted = rows.join(ids, "fp").groupBy("fp").agg(F.min(F.struct("doc_id", "_key")).alias("k")).select("fp", "k.doc_id", "k._key")
     texts = keyed.join(wanted, same(keyed, wanted, ["doc_id", "_key"])).select("fp", "text")
 
@@ -149,12 +148,25 @@ def _verified(pairs: DataFrame, rows: DataFrame, keyed: DataFrame, width: int, p
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in texts_of(batch.column(1))], pa.binary())], ["fp", "s"])
 
-    found = stage(texts.mapInArrow(sets, "fp long, s binary").dropDuplicates(["fp"]), "sets")
+    return stage(texts.mapInArrow(sets, "fp long, s binary").dropDuplicates(["fp"]), "sets")
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether the intersection is this share of the union, or more."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both, union = similarity_of(a, b)
+    return 100 * both >= percent * union
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, keyed: DataFrame, width: int, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) whose texts have this similarity."""
+    pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    found = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), rows, keyed, width)
 
     @F.arrow_udf("boolean")
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
-        sizes = (similarity_of(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(x, y, strict=True))
-        return pa.array([100 * both >= percent * union for both, union in sizes], pa.bool_())
+        return pa.array([alike(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), percent) for a, b in zip(x, y, strict=True)], pa.bool_())
 
     # the smaller end can be one text's for many pairs: it is joined first, while rows are narrow
     both = pairs.join(found.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b").join(found.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a")
@@ -186,26 +198,71 @@ def forest(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "a long, b long")
 
 
-def _candidates(keyed: DataFrame, sigs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different labels that share a meeting and whose signatures do not rule them out."""
-    least = SLOTS * similarity - FLOOR * (SLOTS * similarity * (1 - similarity)) ** 0.5
+def _near_pairs(label: np.ndarray, sig: np.ndarray, least: float):
+    """(x, y, equal slots) of a group's members of different labels whose signatures do not rule them out."""
+    bits = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, SLOTS)
+    _, code, count = np.unique(label, return_inverse=True, return_counts=True)
+    others = np.flatnonzero(code != count.argmax())  # the largest label is not compared with itself
+    step = max(1, PAIRS // len(label))
+    for i in range(0, len(others), step):
+        some = others[i : i + step]
+        equal = (bits[some][:, None] == bits[None, :]).sum(2)
+        x, y = np.nonzero((code[some][:, None] != code[None, :]) & (equal >= least))
+        yield some[x].astype(np.int32), y.astype(np.int32), equal[x, y].astype(np.int16)
 
-    def run(batches):
-        for *_, fp, label, sig in sorted_groups(batches, 4):
-            bits = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, SLOTS)
-            _, code, count = np.unique(label, return_inverse=True, return_counts=True)
-            others = np.flatnonzero(code != count.argmax())  # the largest label is not compared with itself
-            step = max(1, PAIRS // len(fp))
-            for i in range(0, len(others), step):
-                some = others[i : i + step]
-                near = (code[some][:, None] != code[None, :]) & ((bits[some][:, None] == bits[None, :]).sum(2) >= least)
-                x, y = np.nonzero(near)
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[some[x]]), pa.array(fp[y])], ["a", "b"])
 
+def _links_in_blocks(keyed: DataFrame, rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between all members of different labels that share a meeting; pairs never leave the task that finds them.
+
+    First each block of a meeting names the members that its signatures do
+    not rule out; only their sets then go to the block. There the most alike
+    pairs are verified first, and a union-find of the block's labels skips
+    pairs that are connected already. So rows grow with the members.
+    """
+    least = SLOTS * percent / 100 - FLOOR * (SLOTS * percent / 100 * (1 - percent / 100)) ** 0.5
     cols = ["t", "key", "i", "j"]
-    dealt = simhash.dealt(keyed).join(sigs, "fp").select(*cols, "fp", "label", "sig")
-    return dealt.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a long, b long")
+
+    def name(batches):
+        for columns in sorted_groups(batches, 4):
+            label, sig = columns[5], columns[6]
+            wanted = np.zeros(len(label), bool)
+            for x, y, _ in _near_pairs(label, sig, least):
+                wanted[x] = wanted[y] = True
+            if wanted.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[wanted]) for c in columns], [*cols, "fp", "label", "sig"])
+
+    def link(batches):
+        for columns in sorted_groups(batches, 4):
+            fp, label, sig, sets = columns[4:]
+            sets = [np.frombuffer(s, np.uint64) for s in sets]
+            found = [np.concatenate(p) for p in zip(*_near_pairs(label, sig, least), strict=True)]
+            if not found:
+                continue
+            root = np.unique(label, return_inverse=True)[1].tolist()
+            top = list(range(max(root) + 1))
+
+            def find(k):
+                while top[k] != k:
+                    top[k] = k = top[top[k]]
+                return k
+
+            links = []
+            best = np.argsort(-found[2], kind="stable")
+            for x, y in zip(found[0][best].tolist(), found[1][best].tolist(), strict=True):
+                a, b = find(root[x]), find(root[y])
+                if a != b and alike(sets[x], sets[y], percent):
+                    top[max(a, b)] = min(a, b)
+                    links.append((x, y))
+            if links:
+                at = np.array(links)
+                yield pa.RecordBatch.from_arrays([pa.array(fp[at[:, 0]]), pa.array(fp[at[:, 1]])], ["a", "b"])
+
+    dealt = simhash.dealt(keyed, BLOCK).join(rows.select("fp", "sig").dropDuplicates(["fp"]), "fp").select(*cols, "fp", "label", "sig")
+    named = dealt.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(name, "t int, key long, i int, j int, fp long, label long, sig binary")
+    named = stage(named, "near")
+    found = _sets_of(named.select("fp").distinct(), rows, texts, width)
+    full = named.join(found, "fp").select(*cols, "fp", "label", "sig", "s")
+    return full.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -215,8 +272,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     are linked with nothing: their root is null. Repeated rows stay.
 
     In the first rounds each meeting's members are compared with one of them,
-    another in each round. Then all pairs that meet and still have different
-    labels are compared, so the links complete the graph.
+    another in each round. Then all that meet and still have different labels
+    are compared block by block, so the links complete the graph.
     """
     keyed = docs.select("doc_id", "text", content_key(F.col("text")).alias("_key"))
     rows = stage(sketched(keyed, width, ["doc_id", "_key"]), "sketches")
@@ -236,9 +293,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if k < STARS:
             hub = now.groupBy("t", "key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("h"), "fp", "label")).alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1")
             pairs = now.join(hub.select("t", "key", F.col("m.fp").alias("b"), F.col("m.label").alias("lb")), ["t", "key"]).filter("label != lb").select(F.col("fp").alias("a"), "b")
+            more = forest(_verified(pairs, rows, keyed, width, percent))
         else:
-            pairs = _candidates(now, rows.select("fp", "sig").dropDuplicates(["fp"]), percent / 100)
-        more = stage(forest(_verified(pairs, rows, keyed, width, percent)), "similar")
+            more = forest(_links_in_blocks(now, rows, keyed, width, percent))
+        more = stage(more, "similar")
         links = more if links is None else links.unionByName(more)
         roots = stage(connected(links), "roots")
     # texts of one set may be a third of all rows: they are counted first, and their root comes by a join that splits them

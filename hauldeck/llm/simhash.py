@@ -86,21 +86,22 @@ def _meetings(fps: DataFrame, radius: int) -> DataFrame:
     return dealt(_buckets(fps, masks(radius)))
 
 
-def dealt(keyed: DataFrame) -> DataFrame:
+def dealt(keyed: DataFrame, size: int | None = None) -> DataFrame:
     """Rows (t, key, i, j, fp, label), dealt so that every two members of a bucket (t, key) with different labels share a group (t, key, i, j).
 
-    Buckets of one label hold nothing new. Others of up to BLOCK members are
+    Buckets of one label hold nothing new. Others of up to `size` (BLOCK) members are
     one group. In larger ones the most frequent label's members lie in blocks
     i and need no meeting among themselves; the others lie in blocks j and
     meet each block i and each other. So no group exceeds about two blocks.
     """
+    size = size or BLOCK
     mixed = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("t", "key", "n")
     rows = stage(keyed.join(mixed, ["t", "key"]), "buckets")
-    small = rows.filter(F.col("n") <= BLOCK).select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "label")
-    large = rows.filter(F.col("n") > BLOCK)
+    small = rows.filter(F.col("n") <= size).select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "label")
+    large = rows.filter(F.col("n") > size)
     by_label = large.groupBy("t", "key", "label").agg(F.count(F.lit(1)).alias("c"))
     main = by_label.groupBy("t", "key").agg(F.max(F.struct("c", "label")).alias("m")).select("t", "key", F.col("m.label").alias("main"), F.col("m.c").alias("c"))
-    numbered = large.join(main, ["t", "key"]).withColumn("p", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("q", F.ceil((F.col("n") - F.col("c")) / BLOCK).cast("int"))
+    numbered = large.join(main, ["t", "key"]).withColumn("p", F.ceil(F.col("c") / size).cast("int")).withColumn("q", F.ceil((F.col("n") - F.col("c")) / size).cast("int"))
     block = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
     mains = numbered.filter("label = main").withColumn("i", block(F.col("p"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     others = numbered.filter("label != main").withColumn("own", block(F.col("q")))

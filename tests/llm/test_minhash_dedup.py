@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 from corpus_cases import LONG, components, made  # noqa: F401
-from hauldeck.llm import minhash_dedup, queries, simhash
+from hauldeck.llm import minhash_dedup, queries
 
 
 def grams(text, width=5):
@@ -40,10 +40,10 @@ def rows_of_all_kinds():
     return rows
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 2])
+@pytest.mark.parametrize("block", [minhash_dedup.BLOCK, 2])
 @pytest.mark.parametrize("stars", [0, 2])
 def test_groups_equal_brute_force(made, monkeypatch, block, stars):  # noqa: F811
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     monkeypatch.setattr(minhash_dedup, "STARS", stars)
     monkeypatch.setattr(minhash_dedup, "FOREST", 3)
     rows = [r for i, r in enumerate(rows_of_all_kinds()) if stars or i % 3 != 2 or r[0] is None or r[0] >= 2000]
