@@ -19,9 +19,10 @@ from pyspark.sql.window import Window
 
 from .shared import sorted_groups, stage
 
-ROWS = 16_384  # rows of a block
+ROWS = 8_192  # rows of a block
 ANCHORS = 2_048  # anchors of a block
-SLICE = 1 << 20  # pairs whose intervals are held at a time
+SLICE = 1 << 17  # pairs whose intervals are held at a time
+SCORED = 1 << 14  # pairs that are scored at a time
 PLANES = 8  # bits per coordinate of a rotated anchor
 SEED = 42
 SLACK = 1e-6  # share of the lengths' product that rounding may cost
@@ -157,7 +158,8 @@ class Block:
             yield some, *self.query.bounds(some, self.words[rows], self.align[rows], self.residual[rows])
 
     def score(self, anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return scores_of(self.vec[self.asked[anchors]], self.vec[rows], self.most)
+        parts = [slice(a, a + SCORED) for a in range(0, len(rows), SCORED)]
+        return np.concatenate([np.empty(0, np.int64), *(scores_of(self.vec[self.asked[anchors[p]]], self.vec[rows[p]], self.most) for p in parts)])
 
     def floor_of(self, estimate: np.ndarray, allowed: np.ndarray, some: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
         """A score that `count` allowed rows of each anchor reach: the lowest of those with the best estimates; least possible if there are fewer."""

@@ -33,7 +33,7 @@ def odd_rows():
     return [(*r, "clash", 1, 0.5) for r in rows]
 
 
-@pytest.mark.parametrize("rows, anchors", [(16_384, 2_048), (100, 2)])
+@pytest.mark.parametrize("rows, anchors", [(8_192, 2_048), (100, 2)])
 def test_query_equals_sql(spark, tmp_path, monkeypatch, rows, anchors):
     monkeypatch.setattr(hard_negatives, "ROWS", rows)
     monkeypatch.setattr(hard_negatives, "ANCHORS", anchors)
