@@ -239,10 +239,3 @@ def changed_entities(trips: DataFrame, keys: list[str], since) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new replace rows of old with the same key."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-
-
-def incremental_refresh(old: DataFrame, trips: DataFrame, summarise, keys: list[str], since) -> DataFrame:
-    """Recomputes the summary rows of changed keys only; equals a full refresh."""
-    changed = changed_entities(trips, keys, since)
-    fresh = summarise(trips.join(changed, keys, "left_semi"))
-    return old.join(changed, keys, "left_anti").unionByName(fresh)

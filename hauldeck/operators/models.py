@@ -1,6 +1,6 @@
 """Tree and linear models on the feature tables, trained and applied by Spark ML."""
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import trips as T
 from ..functions.numeric import rnd
-from .metrics import regression_metrics
+from .metrics import classification_metrics, regression_metrics
 
 SEED = 42
 
 
 def hash_share(key: str, seed: int = SEED):
-    """A repeatable number in [0, 1) per key."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000000)) / F.lit(1000000.0)
+    """A repeatable number in [0, 1) per key: the first 32 bits of an md5, which other engines compute alike."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def split_80_20(rows: DataFrame, key: str = "dispatch_entry_no", test: float = 0.2) -> DataFrame:
@@ -32,35 +33,48 @@ def train_test(rows: DataFrame, key: str = "dispatch_entry_no") -> tuple[DataFra
     return marked.filter("is_test = 0").drop("is_test"), marked.filter("is_test = 1").drop("is_test")
 
 
+VALIDATION = "is_validation"
+
+
 def _pipeline(estimator, features: list[str]) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), estimator])
 
 
-def boosted_regressor(trees: int = 20, depth: int = 5, rate: float = 0.1, label: str = "target"):
-    return GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=10, seed=SEED)
+def with_validation(rows: DataFrame, key: str, share: float = 0.1) -> DataFrame:
+    """Marks the rows on which boosting watches its error."""
+    return rows.withColumn(VALIDATION, hash_share(key, SEED + 1) < share)
+
+
+def boosted_regressor(trees: int = 300, depth: int = 8, rate: float = 0.05, label: str = "target"):
+    """Up to `trees` trees; boosting ends when the error on the validation rows no longer falls by a hundredth."""
+    return GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=10, validationIndicatorCol=VALIDATION, seed=SEED)
+
 
+def forest_regressor(trees: int = 300, depth: int = 8, label: str = "target"):
+    return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=10, subsamplingRate=0.8, maxMemoryInMB=512, seed=SEED)
 
-def forest_regressor(trees: int = 20, depth: int = 8, label: str = "target"):
-    return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=10, seed=SEED)
 
+def trained_regressor(train: DataFrame, test: DataFrame, features: list[str], estimator, key: str = "dispatch_entry_no") -> tuple[PipelineModel, DataFrame]:
+    """A fitted model and its metrics on the test rows; both tables should be stored."""
+    model = _pipeline(estimator, features).fit(with_validation(train, key))
+    return model, regression_metrics(model.transform(test)).withColumns({"n_train": F.lit(train.count()), "n_trees": F.lit(model.stages[-1].getNumTrees)})
 
-def compare_regressors(train: DataFrame, test: DataFrame, features: list[str], candidates: dict) -> tuple[DataFrame, dict]:
-    """Fits every candidate; test metrics per candidate (best MAE marked) and the fitted models."""
-    fitted = {name: _pipeline(est, features).fit(train) for name, est in candidates.items()}
+
+def compared(metrics: dict[str, DataFrame]) -> DataFrame:
+    """The candidates' metrics, the one of the smallest mean error marked."""
     out = None
-    for name, model in fitted.items():
-        row = regression_metrics(model.transform(test)).withColumn("model", F.lit(name))
+    for name, table in metrics.items():
+        row = table.withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
     best = out.agg(F.min(F.struct("mae", "model")).alias("b")).scalar()
-    return out.withColumn("is_best", F.when(F.col("model") == best["model"], 1).otherwise(0)), fitted
+    return out.withColumn("is_best", F.when(F.col("model") == best["model"], 1).otherwise(0))
 
 
-def cross_validate(train: DataFrame, features: list[str], estimator, folds: int = 5):
-    """Mean MAE over folds."""
-    p = _pipeline(estimator, features)
-    cv = CrossValidator(estimator=p, estimatorParamMaps=ParamGridBuilder().build(), numFolds=folds, seed=SEED, parallelism=2,
+def cross_validate(train: DataFrame, features: list[str], estimator, folds: int = 5, key: str = "dispatch_entry_no") -> float:
+    """Mean error over folds of the estimator as it is reported."""
+    cv = CrossValidator(estimator=_pipeline(estimator, features), estimatorParamMaps=ParamGridBuilder().build(), numFolds=folds, seed=SEED, parallelism=folds,
                         evaluator=RegressionEvaluator(labelCol="target", metricName="mae"))
-    return float(cv.fit(train).avgMetrics[0])
+    return float(cv.fit(with_validation(train, key)).avgMetrics[0])
 
 
 def feature_importance(spark, model, features: list[str]) -> DataFrame:
@@ -80,29 +94,37 @@ def eta_predict(model, requests: DataFrame, starts: DataFrame, least: float = 0.
         "predicted_duration_minutes": rnd("predicted_duration_minutes")})
 
 
-def classifier(train: DataFrame, features: list[str], trees: int = 20, depth: int = 5):
-    return _pipeline(GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=SEED), features).fit(train)
+def classifier(train: DataFrame, features: list[str], trees: int = 300, depth: int = 8, rate: float = 0.05, key: str = "dispatch_entry_no") -> PipelineModel:
+    boosting = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=5, validationIndicatorCol=VALIDATION, seed=SEED)
+    return _pipeline(boosting, features).fit(with_validation(train, key))
 
 
 def with_probability(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction")
 
 
-def fatigue_model(features: DataFrame, columns: list[str], least: int = 5):
-    """Classifier on the fatigue label, or None when a class has fewer than 'least' drivers (then the score decides)."""
-    counts = {r["is_fatigued"]: r["count"] for r in features.groupBy("is_fatigued").count().collect()}  # two rows
-    if min(counts.get(0, 0), counts.get(1, 0)) < least:
-        return None
-    rows = features.select("driver_id", F.col("is_fatigued").alias("label"), *[F.col(c).cast("double").alias(c) for c in columns])
-    return classifier(rows, columns, trees=10, depth=3)
+def trained_classifier(train: DataFrame, test: DataFrame, features: list[str], key: str = "dispatch_entry_no", **size) -> tuple[PipelineModel, DataFrame]:
+    """A fitted classifier and its metrics on the test rows; both tables should be stored."""
+    model = classifier(train, features, key=key, **size)
+    return model, classification_metrics(with_probability(model, test)).withColumns({"n_train": F.lit(train.count()), "n_trees": F.lit(model.stages[-1].getNumTrees)})
+
+
+def fatigue_rows(features: DataFrame, columns: list[str]) -> DataFrame:
+    return features.select("driver_id", F.col("is_fatigued").alias("label"), *[F.col(c).cast("double").alias(c) for c in columns])
+
+
+def enough_of_both(rows: DataFrame, least: int = 5) -> bool:
+    """Whether both classes have so many rows; else no model is fitted and the score decides."""
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
+    return min(counts.get(0, 0), counts.get(1, 0)) >= least
 
 
 # Inputs of the time-of-day estimate.
 TIME_FEATURES = ["hour", "day_of_week", "is_weekend", "month", "route_avg_duration", "route_trip_count", "driver_avg_speed", "driver_eta_success", "vehicle_avg_speed"]
 
 
-def time_aware_duration(train: DataFrame):
-    return _pipeline(boosted_regressor(trees=15), TIME_FEATURES).fit(train)
+def time_aware_regressor():
+    return boosted_regressor(trees=200, depth=6, rate=0.1)
 
 
 def time_aware_estimates(model, rows: DataFrame) -> DataFrame:

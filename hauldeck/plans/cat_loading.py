@@ -6,6 +6,7 @@ from ..functions import cleaning as C
 from ..functions import trips as T
 from ..functions.numeric import rnd
 from ..operators import loading as L
+from ..operators import partials as P
 from ..operators import summaries as S
 from ..sources import exports, scans
 from ..sources.driver_tables import FIRST_ROW_ORDER
@@ -417,27 +418,30 @@ add("changed_entities", _changed,
  select distinct 'vehicle', vehicle_id, null from trips where {SQL_CHANGED} union all select distinct 'route', origin_id, destination_id from trips where {SQL_CHANGED}""")
 
 
+def _refreshed(f, partial):
+    """The last refresh's state, brought up to date by the trips created or updated since; those it had seen go with their old version."""
+    seen = f.trips.filter(F.col("dt_created") <= since(f))
+    state = f.stored(f"state_{'_'.join(partial.names)}", lambda: P.state_of(seen, partial))
+    again = F.col("dt_updated") > since(f)
+    return P.refreshed(state, partial, f.trips.filter((F.col("dt_created") > since(f)) | again), seen.filter(again))
+
+
 def _incremental(f):
-    stale = f.trips.filter(F.col("dt_created") <= since(f))  # what the last refresh saw
-    old = S.driver_summary(stale, f.drivers)
-    return L.incremental_refresh(old, f.trips, lambda t: S.driver_summary(t, f.drivers), ["driver_id"], since(f))
+    return P.driver_summary(_refreshed(f, P.DRIVER), f.drivers)
 
 
 def _incremental_routes(f):
-    stale = f.trips.filter(F.col("dt_created") <= since(f))
-    old = S.route_summary(stale, f.locations)
-    return L.incremental_refresh(old, f.trips, lambda t: S.route_summary(t, f.locations), ["origin_id", "destination_id"], since(f))
+    return P.route_summary(_refreshed(f, P.ROUTE), f.locations)
 
 
 def _incremental_vehicles(f):
-    stale = f.trips.filter(F.col("dt_created") <= since(f))
-    old = S.vehicle_summary(stale, f.vehicles)
-    return L.incremental_refresh(old, f.trips, lambda t: S.vehicle_summary(t, f.vehicles), ["vehicle_id"], since(f))
+    return P.vehicle_summary(_refreshed(f, P.VEHICLE), f.vehicles)
 
 
 add("incremental_refresh", _incremental, "select * from driver_summary")
 add("incremental_refresh_routes", _incremental_routes, "select * from route_summary")
 add("incremental_refresh_vehicles", _incremental_vehicles, "select * from vehicle_summary")
+add("incremental_refresh_days", lambda f: P.daily_fleet_stats(_refreshed(f, P.DAILY)), f"select * replace ({day('stat_date')} as stat_date) from daily_fleet_stats")
 add("upsert_patterns", lambda f: L.upsert(
         S.route_patterns(f.trips.filter(F.col("dt_created") <= since(f))), S.route_patterns(f.trips), ["origin_id", "destination_id"]),
     "select * from route_patterns")

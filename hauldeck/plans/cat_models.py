@@ -8,6 +8,7 @@ from ..operators import features as X
 from ..operators import graph as N
 from ..operators import metrics as Q
 from ..operators import models as M
+from ..operators import registry as R
 from ..operators import sequences as S
 from ..operators import summaries
 from .cat_loading import naive_predictions
@@ -107,7 +108,8 @@ CTE["legacy_s"] = f"select *, {LDER.format(cond='route_avg_duration>0 and driver
 add("eta_features_legacy_serving", lambda f: rounded(X.eta_features_legacy_serving(requests(f), _all_drivers(f), _all_routes(f)), X.LEGACY_FEATURES), f"select dispatch_entry_no, {filled(X.LEGACY_FEATURES)} from legacy_s")
 add("quantile_trim", lambda f: X.quantile_trim(eta_rows(f)).select(NO, "target"),
     "select dispatch_entry_no, target from eta_rows where target between (select quantile_cont(target,0.01) from eta_rows) and (select quantile_cont(target,0.99) from eta_rows)")
-add("split_80_20", lambda f: M.split_80_20(eta_rows(f)).select(NO, "is_test"))
+SHARE = lambda key: f"(cast('0x'||substr(md5(cast({key} as varchar)||'#42'),1,8) as bigint)/4294967296.0::double)"
+add("split_80_20", lambda f: M.split_80_20(eta_rows(f)).select(NO, "is_test"), f"select dispatch_entry_no, cast(case when {SHARE('dispatch_entry_no')}<0.2::double then 1 else 0 end as bigint) as is_test from eta_rows")
 
 # ---------------------------------------------------------------- metrics
 CTE["naive"] = "select t.*, s.avg_duration_min as p, cast(trip_duration_minutes as double) as y, trip_start+to_microseconds(cast(round(s.avg_duration_min*60000000) as bigint)) as arr from rel t join route_summary s on t.origin_id=s.origin_id and t.destination_id=s.destination_id"
@@ -172,12 +174,21 @@ add("sla_risk", lambda f: X.sla_risk(given_scores(f)).select(NO, "prediction", "
  case when hour>=22 or hour<=5 then 'Night-time trip — historically lower on-time rates' end) as contributing_factors from given_scores""")
 
 
-def _sla_model(f):
-    train, test = M.train_test(sla_rows(f))
-    return Q.classification_metrics(M.with_probability(M.classifier(train, X.SLA_FEATURES), test))
+def parts_of(f, name, rows):
+    """Train and test rows, stored."""
+    both = f.stored(f"{name}_split", lambda: M.split_80_20(rows()))
+    return both.filter("is_test = 0").drop("is_test"), both.filter("is_test = 1").drop("is_test")
 
 
-add("sla_model", _sla_model)
+def sla_trained(f):
+    train, test = parts_of(f, "sla", lambda: sla_rows(f))
+    return f.trained("sla_predictor", lambda: M.trained_classifier(train, test, X.SLA_FEATURES))
+
+
+add("sla_model", lambda f: sla_trained(f)[1])
+# what must hold for a trained model, whatever its trees: one row
+add("sla_model_holds", lambda f: sla_trained(f)[1].select(*[(F.col("on_time") + F.col("delayed")).alias("n_test"), "n_train", (F.col("auc_roc") > 0.5).cast("int").alias("better_than_chance")]),
+    f"select count(*) filter ({SHARE('dispatch_entry_no')}<0.2::double) as n_test, count(*) filter ({SHARE('dispatch_entry_no')}>=0.2::double) as n_train, 1::bigint as better_than_chance from sla_rows")
 
 # ---------------------------------------------------------------- fuel
 CTE["fuel_rows"] = f"""select dispatch_entry_no, cast(null as double) as fuel_consumed, {filled([c for c in X.FUEL_FEATURES if c not in ('is_night_trip', 'speed_variance_proxy')], digits=10)}, {d('case when hour>=22 or hour<=5 then 1 else 0 end')} as is_night_trip,
@@ -198,9 +209,9 @@ add("fuel_fleet_stats", lambda f: X.fuel_fleet_stats(fuel_rows(f)),
 
 
 def _fuel_model(f):
-    rows = f.stored("fuel_trimmed", lambda: X.quantile_trim(fuel_rows(f)))
-    train, test = M.train_test(rows)
-    return M.compare_regressors(train, test, X.FUEL_FEATURES, {"gradient_boosting": M.boosted_regressor(), "random_forest": M.forest_regressor()})[0]
+    train, test = parts_of(f, "fuel", lambda: X.quantile_trim(fuel_rows(f)))
+    sized = {"gradient_boosting": M.boosted_regressor(200, 6, 0.1), "random_forest": M.forest_regressor(200, 10)}
+    return M.compared({name: f.trained(f"fuel_{name}", lambda e=e: M.trained_regressor(train, test, X.FUEL_FEATURES, e))[1] for name, e in sized.items()})
 
 
 add("fuel_model", _fuel_model)
@@ -278,52 +289,96 @@ CTE["decay_te"] = f"select target as y, ({BEST_W})*(select slope from decay_f or
 add("sequence_metrics", lambda f: Q.regression_metrics(decay_scored(f), guard=1e-8), metrics_sql("decay_te", "1e-8"))
 
 # ---------------------------------------------------------------- trained models
+ETA_ESTIMATORS = {"gradient_boosting": M.boosted_regressor, "random_forest": M.forest_regressor}
+
+
 def eta_split(f):
-    return M.train_test(f.stored("eta_trimmed", lambda: X.quantile_trim(eta_rows(f))))
+    return parts_of(f, "eta", lambda: X.quantile_trim(eta_rows(f)))
 
 
-_fitted: dict = {}
+def eta_trained(f, name):
+    return f.trained(f"eta_{name}", lambda: M.trained_regressor(*eta_split(f), X.ETA_FEATURES, ETA_ESTIMATORS[name]()))
 
 
-def eta_models(f):
-    key = f.folder
-    if key not in _fitted:
-        train, test = eta_split(f)
-        _fitted[key] = M.compare_regressors(train, test, X.ETA_FEATURES, {"gradient_boosting": M.boosted_regressor(), "random_forest": M.forest_regressor()})
-    return _fitted[key]
+def eta_compared(f):
+    return f.stored("eta_compared", lambda: M.compared({name: eta_trained(f, name)[1] for name in ETA_ESTIMATORS}))
+
+
+def eta_best(f):
+    """The model of the smallest test error."""
+    return eta_trained(f, eta_compared(f).filter("is_best = 1").first()["model"])[0]
 
 
 def _eta_model(f):
-    table, _ = eta_models(f)
-    cv = M.cross_validate(eta_split(f)[0], X.ETA_FEATURES, M.forest_regressor(trees=5, depth=5))
-    return table.withColumn("cv_mae_small_forest", rnd(F.lit(cv), 4))
+    """Both candidates, and the cross-validated error of the one that is used."""
+    def validated():
+        best = eta_compared(f).filter("is_best = 1").first()["model"]
+        cv = M.cross_validate(eta_split(f)[0], X.ETA_FEATURES, ETA_ESTIMATORS[best]())
+        return eta_compared(f).withColumn("cv_mae", F.when(F.col("is_best") == 1, rnd(F.lit(cv), 4)))
+
+    return f.stored("eta_validated", validated)
 
 
 add("eta_model", _eta_model)
-add("eta_predict", lambda f: M.eta_predict(eta_models(f)[1]["gradient_boosting"], X.eta_features_serving(requests(f), f), f.first))
-add("feature_importance", lambda f: M.feature_importance(f.spark, eta_models(f)[1]["random_forest"], X.ETA_FEATURES))
+add("eta_predict", lambda f: M.eta_predict(eta_best(f), X.eta_features_serving(requests(f), f), f.first))
+add("feature_importance", lambda f: M.feature_importance(f.spark, eta_best(f), X.ETA_FEATURES))
+CTE["eta_trimmed"] = "select *, " + SHARE("dispatch_entry_no") + " as share from eta_rows where target between (select quantile_cont(target,0.01) from eta_rows) and (select quantile_cont(target,0.99) from eta_rows)"
+add("eta_model_holds", lambda f: eta_compared(f).crossJoin(eta_split(f)[1].agg(F.avg(F.abs(F.col("target") - eta_split(f)[0].agg(F.avg("target")).scalar())).alias("plain"))).filter("is_best = 1").select(
+        F.col("samples").alias("n_test"), "n_train", (F.col("mae") < F.col("plain")).cast("int").alias("better_than_mean"), (F.col("n_trees") <= 300).cast("int").alias("within_size")),
+    "select count(*) filter (share<0.2::double) as n_test, count(*) filter (share>=0.2::double) as n_train, 1::bigint as better_than_mean, 1::bigint as within_size from eta_trimmed")
 
 
-def _fatigue_model(f):
-    from pyspark.ml.functions import vector_to_array
+def fatigue_trained(f):
+    """The stored model and its metrics on held-out drivers; None where a class has too few drivers."""
+    rows = M.fatigue_rows(fatigue_rows(f), G.FATIGUE_FEATURES)
+    if not M.enough_of_both(rows):
+        return None
+    train, test = parts_of(f, "fatigue", lambda: rows.withColumn("dispatch_entry_no", F.col("driver_id").cast("string")))
+    if not M.enough_of_both(train, 1):
+        return None
+    return f.trained("fatigue_predictor", lambda: M.trained_classifier(train, test, G.FATIGUE_FEATURES, trees=150, depth=5, rate=0.1))
 
-    rows = fatigue_rows(f)
-    model = M.fatigue_model(rows, G.FATIGUE_FEATURES)
-    if model is None:
-        return rows.select("driver_id", "fatigue_score", F.lit(None).cast("double").alias("probability"))
-    inputs = rows.select("driver_id", "fatigue_score", *[F.col(c).cast("double").alias(c) for c in G.FATIGUE_FEATURES])
-    return model.transform(inputs).select("driver_id", "fatigue_score", vector_to_array("probability")[1].alias("probability"))
+
+def _fatigue_model(f):
+    """Probabilities of the held-out drivers; none where the score decides."""
+    found, scored = fatigue_trained(f), fatigue_rows(f).select("driver_id", "fatigue_score")
+    if found is None:
+        return scored.withColumn("probability", F.lit(None).cast("double"))
+    test = parts_of(f, "fatigue", None)[1]
+    return M.with_probability(found[0], test).select("driver_id", "probability").join(scored, "driver_id").select("driver_id", "fatigue_score", "probability")
 
 
 add("fatigue_model", _fatigue_model)
 
 
+def time_trained(f):
+    train, test = parts_of(f, "time_aware", lambda: X.quantile_trim(eta_rows(f)))
+    return f.trained("time_aware", lambda: M.trained_regressor(train, test, M.TIME_FEATURES, M.time_aware_regressor())), test
+
+
 def _time_aware(f):
-    rows = eta_rows(f)
-    return M.time_aware_estimates(M.time_aware_duration(rows), rows)
+    (model, _), test = time_trained(f)
+    return M.time_aware_estimates(model, test)
 
 
 add("time_aware_duration", _time_aware)
+add("time_aware_metrics", lambda f: time_trained(f)[0][1])
+
+
+def _models_trained(f):
+    """The model store as the register has it: one version per model, its metrics on held-out rows as JSON."""
+    at = f.trips.agg(F.max("trip_start")).scalar()
+    metrics = {"sla_predictor": sla_trained(f)[1], "time_aware": time_trained(f)[0][1], **{f"eta_{name}": eta_trained(f, name)[1] for name in ETA_ESTIMATORS}}
+    out = None
+    for name, table in metrics.items():
+        row = table.select(F.lit(name).alias("model_name"), F.lit("tree ensemble").alias("model_type"), F.lit(at).alias("trained_at"), F.col("n_train").alias("training_data_count"), F.to_json(F.struct(*table.columns)).alias("metrics"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+add("models_trained", lambda f: R.model_register(_models_trained(f)).withColumn("metrics", (F.length("metrics") > 2).cast("int")),
+    f"""select model_name, 'tree ensemble' as model_type, {ts('(select max(trip_start) from trips)')} as trained_at, n as training_data_count, 1::bigint as metrics, 1::bigint as version, 1::bigint as is_active from (
+ select unnest(['eta_gradient_boosting','eta_random_forest','time_aware']) as model_name, (select count(*) from eta_trimmed where share>=0.2::double) as n union all select 'sla_predictor', (select count(*) from sla_rows where {SHARE('dispatch_entry_no')}>=0.2::double))""")
 
 # ---------------------------------------------------------------- network
 CTE["edges"] = f"""select origin_name as origin, destination_name as destination, {avg2('trip_duration_minutes')} as avg_duration, {r('quantile_cont(cast(trip_duration_minutes as double),0.5)')} as median_duration, {r('stddev_samp(cast(trip_duration_minutes as double))')} as std_duration,

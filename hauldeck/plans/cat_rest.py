@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from ..functions.numeric import rnd
 from ..operators import ledger as L
 from ..operators import metrics as Q
+from ..operators import partials as P
 from ..operators import questions as K
 from ..operators import registry as R
-from ..operators import summaries
 from ..streaming import refresh
 from .sqltext import CTE, d, day, i, r, ts
 
@@ -107,7 +107,9 @@ add("class_weights", lambda f: K.class_weights(f.labelled), f"select agent, coun
 add("question_dedup", lambda f: K.question_dedup(f.labelled, ["doc_id"]).select("doc_id", "agent"),
     "select doc_id, agent from lab qualify row_number() over (partition by lower(trim(query)) order by agent, doc_id)=1")
 add("question_augment", lambda f: K.question_augment(clean(f), "id"))
-add("stratified_80_10_10", lambda f: K.stratified_80_10_10(clean(f), "id").groupBy("agent", "part").agg(F.count(F.lit(1)).alias("n")))
+HASHED = "(cast('0x'||substr(md5(id||'#42'),1,8) as bigint)/4294967296.0::double)"
+PART = f"case when {HASHED}<0.8::double then 'train' when {HASHED}<0.9::double then 'validation' else 'test' end"
+add("stratified_80_10_10", lambda f: K.stratified_80_10_10(clean(f), "id").groupBy("agent", "part").agg(F.count(F.lit(1)).alias("n")), f"select agent, {PART} as part, count(*) as n from q_clean group by 1, 2")
 
 
 def _classified(f):
@@ -117,6 +119,9 @@ def _classified(f):
 
 
 add("question_classifier", _classified)
+# what must hold for the classifier: every held-out question has a class, and four of five have their own
+add("question_classifier_holds", lambda f: f.stored("question_classes", lambda: _classified(f)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence").between(0, 1)).alias("n_sure"), (F.avg(F.when(F.col("agent") == F.col("predicted"), 1.0).otherwise(0.0)) > 0.8).cast("int").alias("good")),
+    f"select count(*) as n, count(*) as n_sure, 1::bigint as good from (select {PART} as part from q_clean) where part<>'train'")
 
 
 # Class scores per order: share of its trips by origin.
@@ -168,27 +173,23 @@ add("ledger_by_category_one", lambda f: L.ledger_by_category(f.expenses, A, B, "
 
 
 # ---------------------------------------------------------------- streams
-def _stream_daily(f):
-    """Trips arrive with some of them sent twice; days older than the watermark are finished."""
-    trips, out, arriving = f.trips, f"{f.folder}/stream_daily", f"{f.folder}/stream_in"
-    if "stream_daily" not in f.exports:
-        trips.unionByName(trips.filter("trip_status = 'C'")).write.mode("overwrite").parquet(arriving)
-        stream = refresh.stream_daily_fleet(refresh.trip_stream(f.spark, arriving, trips.schema), "7 days")
-        refresh.run_to_parquet(stream, out, f"{f.folder}/stream_daily_state")
-        f.exports.add("stream_daily")
-    return f.spark.read.schema("stat_date date, total_trips bigint, total_distance_km double, avg_speed double, eta_success_rate double").parquet(out)
-
-
-def _stream_drivers(f):
-    base = f"{f.folder}/stream_drivers"
-    if "stream_drivers" not in f.exports:
+def _streamed(f):
+    """The fleet's trips as a stream of several batches, some sent twice, with two states kept; (number of batches, folder)."""
+    base = f"{f.folder}/stream"
+    if "stream" not in f.exports:
         trips = f.trips
-        stream = refresh.trip_stream(f.spark, f"{f.folder}/trips", trips.schema, files_per_trigger=2)
-        refresh.stream_changed_drivers(stream, f"{base}/trips", f"{base}/summary", f"{base}/state", lambda t: summaries.driver_summary(t, f.drivers))
-        f.exports.add("stream_drivers")
-    return refresh.latest_summary(f.spark, f"{base}/summary")
+        again = trips.filter("trip_status = 'C'")
+        trips.unionByName(again).repartition(6).write.mode("overwrite").parquet(f"{base}/in")
+        f.streamed = refresh.run(refresh.trip_stream(f.spark, f"{base}/in", trips.schema, files_per_trigger=3), base, f"{base}/checkpoint", [P.DAILY, P.DRIVER])
+        f.exports.add("stream")
+    return f.streamed, base
 
 
-add("stream_daily_fleet", _stream_daily,
-    f"select {day('stat_date')} as stat_date, total_trips, total_distance_km, avg_speed, eta_success_rate from daily_fleet_stats where stat_date+1<=(select max(trip_start) from trips)-to_days(7)")
-add("stream_changed_drivers", _stream_drivers, "select * from driver_summary")
+def _stream_state(f, partial):
+    batches, base = _streamed(f)
+    return refresh.state_after(f.spark, base, partial, f.trips, batches)
+
+
+add("stream_daily_fleet", lambda f: refresh.daily_with_open_days(_stream_state(f, P.DAILY), f.trips.agg(F.max("trip_start")).scalar()),
+    f"select * replace ({day('stat_date')} as stat_date), cast(case when stat_date+1<=(select max(trip_start) from trips)-to_days(7) then 0 else 1 end as bigint) as is_provisional from daily_fleet_stats")
+add("stream_changed_drivers", lambda f: P.driver_summary(_stream_state(f, P.DRIVER), f.drivers), "select * from driver_summary")

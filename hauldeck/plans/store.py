@@ -8,6 +8,7 @@ start at a pruned, filtered scan, and a lost executor only re-reads files.
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,16 @@ class Fleet:
             self._models.add(path)
         return path
 
+    def trained(self, name: str, train) -> tuple[PipelineModel, DataFrame]:
+        """A pipeline from the model store and the metrics kept beside it; train() gives both once."""
+        path = f"{self.folder}/models/{name}"
+        if path not in self._models:
+            model, metrics = train()
+            model.write().overwrite().save(path)
+            metrics.write.mode("overwrite").parquet(f"{path}-metrics")
+            self._models.add(path)
+        return PipelineModel.load(path), self.spark.read.parquet(f"{path}-metrics")
+
     # raw rows and dimensions
     @property
     def raw(self) -> DataFrame:

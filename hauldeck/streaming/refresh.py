@@ -1,9 +1,22 @@
-"""Keeping figures up to date as trips arrive, with Structured Streaming."""
+"""Keeping figures up to date as trips arrive, with Structured Streaming.
+
+Each micro-batch brings trips, new ones, repeated ones and new versions of
+earlier ones. The store of trips, in buckets by dispatch number, says which
+versions go; added and removed trips change the summaries' states
+(operators.partials), in buckets by their keys. So a batch reads and writes
+the buckets it touches, a repeat counts once however late it comes, and a
+trip that moved to another driver or day changes both.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import avg2, on_time_rate, sum2
+from ..operators import partials
+from ..operators.loading import first_rows
+from ..operators.staging import stage
+from .buckets import Buckets
+
+NUMBER = "dispatch_entry_no"
 
 
 def trip_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -13,51 +26,56 @@ def trip_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(path)
 
 
-def stream_daily_fleet(trips: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Daily fleet figures over a trip stream.
+def trip_store(spark: SparkSession, folder: str, schema) -> Buckets:
+    return Buckets(spark, f"{folder}/trips", [NUMBER], schema)
 
-    Repeated dispatch numbers are dropped while they arrive within the
-    watermark; a repeat later than that counts again, so the delay must cover
-    the longest gap between a trip and its correction.
-    """
-    rows = trips.withWatermark("trip_start", delay).dropDuplicatesWithinWatermark(["dispatch_entry_no"])
-    rows = rows.filter((F.col("eta_data_status") == "available") & F.col("trip_duration_minutes").isNotNull())
-    return rows.groupBy(F.window("trip_start", "1 day")).agg(
-        F.count(F.lit(1)).alias("total_trips"), sum2("trip_km").alias("total_distance_km"), avg2("avg_speed_kmph").alias("avg_speed"), on_time_rate().alias("eta_success_rate"),
-    ).select(F.to_date("window.start").alias("stat_date"), "total_trips", "total_distance_km", "avg_speed", "eta_success_rate")
 
+def state_store(spark: SparkSession, folder: str, partial: partials.Partial, trips: DataFrame) -> Buckets:
+    return Buckets(spark, f"{folder}/state-{'-'.join(partial.names)}", partial.names, partials.state_of(trips, partial).schema)
 
-def run_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Processes everything available, then stops; finished days are appended."""
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+
+def latest_versions(batch: DataFrame) -> DataFrame:
+    """One row per dispatch number: the one updated last, then created last; equal ones are told apart by a hash. Trips without a number are not counted."""
+    order = [F.desc_nulls_last("dt_updated"), F.desc_nulls_last("dt_created"), F.xxhash64(*[F.col(c).cast("string") for c in batch.columns])]
+    return first_rows(batch.filter(F.col(NUMBER).isNotNull()), [NUMBER], order)
 
 
-def stream_changed_drivers(trips: DataFrame, stored_trips: str, summary: str, checkpoint: str, summarise) -> None:
-    """Recomputes the summary rows of the drivers in each micro-batch.
+def apply_batch(batch: DataFrame, number: int, folder: str, wanted: list[partials.Partial]) -> None:
+    """Brings the trip store and the states from their versions before this batch to those after it."""
+    spark = batch.sparkSession
+    trips = trip_store(spark, folder, batch.schema)
+    added = stage(latest_versions(batch), "added")
+    touched = trips.touched(added)
+    before = trips.read(number, touched)
+    removed = stage(before.join(added.select(NUMBER), NUMBER, "left_semi").select(batch.columns), "removed")
+    trips.write(number, before.join(added.select(NUMBER), NUMBER, "left_anti").select(batch.columns).unionByName(added), touched)
+    for partial in wanted:
+        store = state_store(spark, folder, partial, added)
+        change = stage(partials.combined(partial, partials.state_of(added, partial), partials.state_of(removed, partial, -1)), "change")
+        buckets = store.touched(change)
+        store.write(number, partials.merged(partial, store.read(number, buckets), change), buckets)
 
-    Each batch is written to its own folder of the trip store (a rerun of the
-    batch overwrites the same folder), then the touched drivers' rows are
-    recomputed from the store and written as the next summary version.
-    """
-    spark = trips.sparkSession
+
+def run(trips: DataFrame, folder: str, checkpoint: str, wanted: list[partials.Partial]) -> int:
+    """Processes everything available, then stops; gives the number of batches that have been applied so far."""
+    done = []
 
     def step(batch: DataFrame, number: int):
-        batch.write.mode("overwrite").parquet(f"{stored_trips}/batch={number}")
-        touched = batch.select("driver_id").filter("driver_id is not null").distinct()
-        folders = [f"{stored_trips}/batch={n}" for n in range(number + 1)]
-        seen = spark.read.schema(batch.schema).parquet(*folders)
-        fresh = summarise(seen.join(touched, "driver_id", "left_semi"))
-        if number:
-            old = spark.read.parquet(f"{summary}/version={number - 1}")
-            fresh = old.join(touched, "driver_id", "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{summary}/version={number}")
+        apply_batch(batch, number, folder, wanted)
+        done.append(number + 1)
 
     query = trips.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return max(done, default=0)
+
+
+def state_after(spark: SparkSession, folder: str, partial: partials.Partial, trips: DataFrame, batches: int) -> DataFrame:
+    """The state as it is after so many batches."""
+    return state_store(spark, folder, partial, trips).read(batches)
 
 
-def latest_summary(spark: SparkSession, summary: str) -> DataFrame:
-    """The summary version with the highest number."""
-    versions = spark.read.parquet(summary)
-    return versions.filter(F.col("version") == versions.agg(F.max("version").alias("v")).scalar()).drop("version")
+def daily_with_open_days(state: DataFrame, latest, days: int = 7) -> DataFrame:
+    """All days; is_provisional marks those that end less than `days` before the latest trip, for which trips still come."""
+    stats = partials.daily_fleet_stats(state)
+    closed = F.date_add("stat_date", 1).cast("timestamp") <= latest - F.make_dt_interval(days=F.lit(days))
+    return stats.withColumn("is_provisional", F.when(closed, 0).otherwise(1))

@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from hauldeck.operators import loading as L
+from hauldeck.operators import partials as P
 from hauldeck.operators import summaries as S
 from hauldeck.sources.driver_tables import FIRST_ROW_ORDER
 
@@ -66,12 +67,21 @@ def test_counts_of_the_given_tables(fleet):
     assert L.trip_dedup(fleet.raw, FIRST_ROW_ORDER).count() == 4599
 
 
-def test_incremental_refresh_equals_full(fleet):
-    cut = F.lit("2024-06-01").cast("timestamp")
-    old = S.driver_summary(fleet.trips.filter(F.col("dt_created") <= cut), fleet.drivers)
-    fresh = L.incremental_refresh(old, fleet.trips, lambda t: S.driver_summary(t, fleet.drivers), ["driver_id"], cut)
-    full = S.driver_summary(fleet.trips, fleet.drivers)
-    assert sorted(map(tuple, fresh.collect())) == sorted(map(tuple, full.collect()))
+def test_refresh_by_states_equals_full(fleet):
+    """New, changed, moved and deleted trips change the states; the fact is not read again."""
+    trips = fleet.trips
+    old = trips.filter("driver_id <> 2 or driver_id is null")
+    pick = F.pmod(F.xxhash64("dispatch_entry_no"), F.lit(10))
+    moved = old.filter(pick == 1).withColumns({"driver_id": F.lit(6), "vehicle_id": F.lit(9), "trip_duration_minutes": F.col("trip_duration_minutes") + 7})
+    now = old.filter(pick > 2).unionByName(moved).unionByName(trips.filter("driver_id = 2"))  # pick 0 and 2: deleted
+    added, removed = moved.unionByName(trips.filter("driver_id = 2")), old.filter(pick <= 2)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for partial, by_state, full in (
+            (P.DRIVER, lambda s: P.driver_summary(s, fleet.drivers), lambda t: S.driver_summary(t, fleet.drivers)), (P.ROUTE, lambda s: P.route_summary(s, fleet.locations), lambda t: S.route_summary(t, fleet.locations)),
+            (P.VEHICLE, lambda s: P.vehicle_summary(s, fleet.vehicles), lambda t: S.vehicle_summary(t, fleet.vehicles)), (P.DAILY, P.daily_fleet_stats, S.daily_fleet_stats)):
+        fresh = by_state(P.refreshed(P.state_of(old, partial), partial, added, removed))
+        assert fresh.columns == full(now).columns and rows(fresh) == rows(full(now))
+        assert P.merged(partial, P.state_of(now, partial), P.state_of(now, partial, -1)).count() == 0
 
 
 def test_daily_trips_add_up(fleet):

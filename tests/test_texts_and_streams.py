@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from hauldeck.operators import partials as P
 from hauldeck.operators import questions as K
 from hauldeck.operators import registry as G
 from hauldeck.operators import summaries as S
@@ -48,21 +49,40 @@ def test_one_active_version(spark):
     assert rows == {("m", 1): 0, ("m", 2): 0, ("m", 3): 1, ("n", 1): 1}
 
 
-def test_stream_equals_batch(spark, fleet, tmp_path):
-    trips = fleet.trips
-    src = str(tmp_path / "in")
-    trips.unionByName(trips.filter("eta_met = 1")).write.parquet(src)  # some arrive twice
-    stream = refresh.stream_daily_fleet(refresh.trip_stream(spark, src, trips.schema), "7 days")
-    refresh.run_to_parquet(stream, str(tmp_path / "out"), str(tmp_path / "state"))
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    closed = trips.agg(F.max("trip_start") - F.expr("interval 7 days")).scalar()
-    want = S.daily_fleet_stats(trips).filter(F.date_add("stat_date", 1) <= closed).select("stat_date", "total_trips", "total_distance_km", "avg_speed", "eta_success_rate")
-    assert got == {tuple(r) for r in want.collect()}
+def states(spark, folder, trips, batches):
+    return {p: refresh.state_after(spark, folder, p, trips, batches) for p in (P.DAILY, P.DRIVER)}
 
 
-def test_stream_of_changed_drivers_equals_full_refresh(spark, fleet, tmp_path):
+def same_rows(a, b):
+    return sorted(map(tuple, a.select(b.columns).collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_stream_equals_full_refresh(spark, fleet, tmp_path):
+    """Repeats in later batches, trips that move to another driver and day, and trips that become unreliable."""
     trips, base = fleet.trips, str(tmp_path)
-    trips.repartition(5).write.parquet(f"{base}/in")
-    refresh.stream_changed_drivers(refresh.trip_stream(spark, f"{base}/in", trips.schema, 2), f"{base}/trips", f"{base}/summary", f"{base}/state", lambda t: S.driver_summary(t, fleet.drivers))
-    got = sorted(map(tuple, refresh.latest_summary(spark, f"{base}/summary").collect()))
-    assert got == sorted(map(tuple, S.driver_summary(trips, fleet.drivers).collect()))
+    moved = trips.filter("driver_id = 3").withColumns({"driver_id": F.lit(4), "trip_start": F.col("trip_start") + F.expr("interval 2 days"), "dt_updated": F.expr("timestamp '2030-01-01 00:00:00'")})
+    lost = trips.filter("driver_id = 5 and eta_met = 1").withColumns({"eta_data_status": F.lit("missing"), "dt_updated": F.expr("timestamp '2030-01-01 00:00:00'")})
+    trips.repartition(4).write.parquet(f"{base}/in")
+    batches = refresh.run(refresh.trip_stream(spark, f"{base}/in", trips.schema, 2), base, f"{base}/checkpoint", [P.DAILY, P.DRIVER])
+    assert batches == 2
+    found = states(spark, base, trips, batches)
+    assert same_rows(P.driver_summary(found[P.DRIVER], fleet.drivers), S.driver_summary(trips, fleet.drivers)) and same_rows(P.daily_fleet_stats(found[P.DAILY]), S.daily_fleet_stats(trips))
+    more = moved.unionByName(lost).unionByName(trips.filter("driver_id = 7"))
+    more.unionByName(moved).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    batches = refresh.run(refresh.trip_stream(spark, f"{base}/in", trips.schema, 2), base, f"{base}/checkpoint", [P.DAILY, P.DRIVER])
+    assert batches == 3
+    after = trips.join(moved.unionByName(lost).select("dispatch_entry_no"), "dispatch_entry_no", "left_anti").select(trips.columns).unionByName(moved).unionByName(lost)
+    found = states(spark, base, trips, batches)
+    assert same_rows(P.driver_summary(found[P.DRIVER], fleet.drivers), S.driver_summary(after, fleet.drivers)) and same_rows(P.daily_fleet_stats(found[P.DAILY]), S.daily_fleet_stats(after))
+    assert P.driver_summary(found[P.DRIVER], fleet.drivers).filter("driver_id = 3").count() == 0
+    # a batch that runs again gives the same
+    refresh.apply_batch(more.unionByName(moved), 2, base, [P.DAILY, P.DRIVER])
+    assert same_rows(P.driver_summary(states(spark, base, trips, batches)[P.DRIVER], fleet.drivers), S.driver_summary(after, fleet.drivers))
+    # only touched buckets were written
+    assert spark.read.parquet(f"{base}/state-driver_id/version=2").select("bucket").distinct().count() <= 4
+
+
+def test_open_days_are_marked(spark, fleet):
+    latest = fleet.trips.agg(F.max("trip_start")).first()[0]
+    rows = refresh.daily_with_open_days(P.state_of(fleet.trips, P.DAILY), F.lit(latest)).collect()
+    assert len(rows) == S.daily_fleet_stats(fleet.trips).count() and 0 < sum(r["is_provisional"] for r in rows) <= 8
