@@ -5,7 +5,7 @@ answers it for all of them at once; filter the result, or pass filtered
 trips, for a single one.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import trips as T
@@ -309,18 +309,49 @@ def trip_detail(trips: DataFrame, fleet, drivers: DataFrame, routes: DataFrame,
     return rows.withColumn("trip_duration_minutes_actual", actual_minutes())
 
 
+SPAN, LEVELS = 32, 4  # days of a level's block are SPAN times those of the level below
+
+
+def day_pieces(first: Column, last: Column) -> Column:
+    """Blocks (level, number) that together cover the days from `first` to `last` (numbers, inclusive) exactly once.
+
+    Level 0 has days, each next one blocks of SPAN blocks; a stretch of any
+    length is at most 2 * (SPAN - 1) blocks per level, below the top one.
+    """
+    size = lambda k: F.lit(SPAN**k)
+    low = [F.ceil(first / size(k)).cast("long") for k in range(LEVELS)]
+    high = [F.floor((last + 1) / size(k)).cast("long") for k in range(LEVELS)]
+    none = F.array().cast("array<bigint>")
+    numbers = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+    at_level = lambda k: lambda x: F.struct(F.lit(k).alias("level"), x.alias("block"))
+    parts = []
+    for k in range(LEVELS):
+        if k + 1 < LEVELS:
+            a, b = low[k + 1] * SPAN, high[k + 1] * SPAN
+            own = F.when(a < b, F.concat(numbers(low[k], a), numbers(b, high[k]))).otherwise(numbers(low[k], high[k]))
+        else:
+            own = numbers(low[k], high[k])
+        parts.append(F.transform(own, at_level(k)))
+    return F.concat(*parts)
+
+
 def trip_waypoints(trips: DataFrame, waypoints: DataFrame) -> DataFrame:
     """Waypoints recorded while the vehicle was on the trip.
 
-    Both sides meet on (vehicle, day): a trip is listed under each day it
-    touches, so the join is an equi-join and a busy vehicle is spread over
-    its days.
+    Both sides meet on (vehicle, level, block): a trip is listed under the
+    few blocks that make up its days, one of many years too, and a waypoint
+    under its block of each level that its vehicle's trips use. So the join is
+    an equi-join, a busy vehicle is spread over its days, and a trip with a
+    wrong year costs some rows, not one per day.
     """
-    days = F.sequence(F.to_date("trip_start"), F.to_date("trip_end"))
-    t = trips.filter(F.col("trip_end") >= F.col("trip_start")).select(NO, "vehicle_id", "trip_start", "trip_end", F.explode(days).alias("_day"))
-    w = waypoints.withColumn("_day", F.to_date("recorded_at"))
+    day = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    t = trips.filter(F.col("trip_end") >= F.col("trip_start")).select(NO, "vehicle_id", "trip_start", "trip_end", F.explode(day_pieces(day("trip_start"), day("trip_end"))).alias("_p"))
+    t = t.select(NO, "vehicle_id", "trip_start", "trip_end", F.col("_p.level").alias("_level"), F.col("_p.block").alias("_block"))
+    used = t.groupBy("vehicle_id").agg(F.collect_set("_level").alias("_levels"))  # at most LEVELS numbers per vehicle
+    w = waypoints.join(used, "vehicle_id").withColumn("_level", F.explode("_levels")).drop("_levels")
+    w = w.withColumn("_block", F.floor(day("recorded_at") / F.pow(F.lit(float(SPAN)), F.col("_level"))).cast("long"))
     return (
-        t.join(w, ["vehicle_id", "_day"]).filter(F.col("recorded_at").between(F.col("trip_start"), F.col("trip_end")))
+        t.join(w, ["vehicle_id", "_level", "_block"]).filter(F.col("recorded_at").between(F.col("trip_start"), F.col("trip_end")))
         .select(NO, "vehicle_id", "recorded_at", "speed_kmph", "status", "distance_from_prev")
     )
 

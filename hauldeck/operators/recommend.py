@@ -92,6 +92,8 @@ def _by_end(perf: DataFrame, end: str) -> DataFrame:
         F.sum(F.col("avg_speed_kmph").cast("decimal(12,4)")).alias("speeds"), F.count(F.lit(1)).alias("records"))
 
 
+PAIRED = 10_000  # pairs of places up to which a driver's own places are paired
+
 SCORED = ["driver_id", "driver_name", "composite_score", "route_experience_score", "eta_compliance_score", "speed_efficiency_score",
           "consistency_score", "overall_experience_score", "total_trips"]
 
@@ -103,15 +105,23 @@ def recommend_similar(perf: DataFrame, overall: DataFrame, requests: DataFrame,
     once per place; a route then takes as many ranks of its origin and its
     destination as it needs to fill top_n after skipping drivers already
     counted. That keeps the work proportional to the result instead of
-    pairing every route with every driver of a busy place.
+    pairing every route with every driver of a busy place. A driver pairs up
+    to PAIRED pairs of places; one of more places costs a row per request at
+    a known origin, and there are few of them: fewer than records over the
+    root of PAIRED.
     """
     at_origin, at_destination = _by_end(perf, "origin_id"), _by_end(perf, "destination_id")
     shared_folder(perf.sparkSession)  # checkpoints need a folder
     exact = perf.join(requests, ROUTE, "left_semi").select("driver_id", *ROUTE)
     o = at_origin.select("driver_id", "origin_id", *[F.col(c).alias(f"o_{c}") for c in ("n", "rates", "speeds", "records")])
     d = at_destination.select("driver_id", "destination_id", *[F.col(c).alias(f"d_{c}") for c in ("n", "rates", "speeds", "records")])
+    # drivers of few places pair their own places; for the few drivers of many places the requests are looked up instead
+    ends = o.groupBy("driver_id").agg(F.count(F.lit(1)).alias("_o")).join(d.groupBy("driver_id").agg(F.count(F.lit(1)).alias("_d")), "driver_id")
+    many = ends.filter(F.col("_o") * F.col("_d") > PAIRED).select("driver_id").checkpoint()
+    paired = o.join(many, "driver_id", "left_anti").join(d, "driver_id").join(requests.select(*ROUTE), ROUTE, "left_semi")
+    asked = requests.select(*ROUTE).distinct().join(o.join(many, "driver_id", "left_semi"), "origin_id").join(d, ["driver_id", "destination_id"])
     both = (
-        o.join(d, "driver_id").join(requests, ROUTE, "left_semi").join(exact, ["driver_id", *ROUTE], "left_anti")
+        paired.unionByName(asked).join(exact, ["driver_id", *ROUTE], "left_anti")
         .select("driver_id", *ROUTE, *[(F.col(f"o_{c}") + F.col(f"d_{c}")).alias(c) for c in ("n", "rates", "speeds", "records")])
     ).checkpoint()
     scored_both = _similar_scores(both, overall, prior)

@@ -1,3 +1,4 @@
+import heapq
 import itertools
 
 import numpy as np
@@ -109,7 +110,42 @@ def test_k_best_routes_equal_brute_force(spark):
         assert got.get((a, b), []) == brute_paths(edges, a, b)
 
 
-def test_similar_drivers_equal_brute_force(spark):
+def cheapest(edges, start, end, k=3, most=5):
+    """The k cheapest simple paths, in order of cost, from a queue."""
+    queue, out = [(0.0, (start,))], []
+    while queue and (len(out) < k or queue[0][0] <= out[-1][0]):
+        cost, path = heapq.heappop(queue)
+        if path[-1] == end:
+            out.append((round(cost, 2), path))
+        elif len(path) <= most:
+            for b, w in edges.get(path[-1], {}).items():
+                if b not in path:
+                    heapq.heappush(queue, (cost + w, (*path, b)))
+    return sorted(out)[:k]
+
+
+def test_routes_through_a_hub(spark):
+    """Every place is linked with one hub, few with each other: paths through it are pruned from the first edge on."""
+    rng = np.random.default_rng(8)
+    edges: dict = {"H": {}}
+    for i in range(120):
+        edges[f"p{i}"] = {"H": float(rng.integers(10, 99))}
+        edges["H"][f"p{i}"] = float(rng.integers(10, 99))
+        for j in rng.choice(120, 3, replace=False):
+            if i != j:
+                edges[f"p{i}"][f"p{j}"] = float(rng.integers(5, 60))
+    df = spark.createDataFrame([(a, b, w) for a, out in edges.items() for b, w in out.items()], "origin string, destination string, avg_duration double")
+    pairs = [(f"p{i}", f"p{(7 * i + 3) % 120}") for i in range(40)] + [("H", "p5"), ("p5", "H"), ("p1", "nowhere")]
+    got = {}
+    for r in N.k_best_routes(df, spark.createDataFrame(pairs, "start string, end string")).orderBy("start", "end", "rank").collect():
+        got.setdefault((r["start"], r["end"]), []).append((r["total_duration_min"], tuple(r["path"])))
+    for a, b in pairs:
+        assert got.get((a, b), []) == cheapest(edges, a, b)
+
+
+@pytest.mark.parametrize("paired", [R.PAIRED, 3])
+def test_similar_drivers_equal_brute_force(spark, monkeypatch, paired):
+    monkeypatch.setattr(R, "PAIRED", paired)
     rng = np.random.default_rng(9)
     perf = [(int(d), int(o), int(t), int(rng.integers(2, 40)), float(rng.uniform(100, 900)), round(float(rng.uniform(10, 80)), 2), 100.0, round(float(rng.uniform(0, 100)), 2), 5.0, 10.0)
             for d in range(1, 60) for o in range(4) for t in range(4) if rng.random() < (0.5 if d % 9 == 0 else 0.12)]

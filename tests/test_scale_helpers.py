@@ -91,3 +91,25 @@ def test_sequential_split(spark, share):
     want = {x[2] for x in order[: int(600 * share)]}
     got = {r["dispatch_entry_no"] for r in S.sequential_split(rows, share).filter("is_train = 1").collect()}
     assert got == want
+
+
+def test_waypoints_of_trips_of_any_length(spark):
+    """Trips of a minute, of months and of a thousand years (a wrong year) against a plain scan; pieces stay few."""
+    import datetime as dt
+
+    from hauldeck.operators import reads as R
+
+    rng = np.random.default_rng(6)
+    day0 = dt.datetime(2019, 12, 30)
+    at = lambda minutes: day0 + dt.timedelta(minutes=int(minutes))
+    trips = [(f"t{i}", int(rng.integers(4)), at(a), at(a + rng.choice([0, 1, 700, 1440, 9000, 90_000, 1_300_000]))) for i, a in enumerate(rng.integers(0, 2_000_000, 120))]
+    trips += [("wrong", 1, at(5), dt.datetime(2990, 1, 1)), ("early", 2, dt.datetime(1901, 3, 4), at(900_000)), ("back", 1, at(100), at(50)), ("open", 1, at(100), None), ("none", None, at(1), at(9))]
+    points = [(int(rng.integers(5)), at(m), float(m % 90), "Moving", 1.0) for m in rng.integers(-3000, 3_400_000, 3000)]
+    t = spark.createDataFrame(trips, "dispatch_entry_no string, vehicle_id int, trip_start timestamp, trip_end timestamp")
+    w = spark.createDataFrame(points, "vehicle_id int, recorded_at timestamp, speed_kmph double, status string, distance_from_prev double")
+    got = sorted((r["dispatch_entry_no"], r["recorded_at"], r["speed_kmph"]) for r in R.trip_waypoints(t, w).collect())
+    want = sorted((n, p, s) for n, v, a, b in trips if v is not None and b for u, p, s, *_ in points if u == v and a <= p <= b)
+    assert got == want and any(n == "wrong" for n, *_ in got)
+    day = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    pieces = t.filter("trip_end >= trip_start").select("dispatch_entry_no", F.size(R.day_pieces(day("trip_start"), day("trip_end"))).alias("n"))
+    assert {r["dispatch_entry_no"]: r["n"] for r in pieces.collect()}["wrong"] <= 2 * 31 * 3 + 12
