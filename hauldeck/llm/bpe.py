@@ -15,10 +15,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 BLOCK_BYTES = 4 << 20  # bytes of text that are replayed together
-REMEMBERED = 200_000  # words a worker keeps from block to block, twice at most
+REMEMBERED = 60_000  # words a task keeps from block to block, twice at most
 LONG = 64  # characters; longer words are merged one by one
 ONE = [bytes([b]) for b in range(256)]
 
@@ -175,8 +175,8 @@ class Encoder:
     pattern as a whole.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.merges, self.find = Merges(ranks), regex.compile(pattern).findall
+    def __init__(self, merges: Merges, pattern: str):
+        self.merges, self.find = merges, regex.compile(pattern).findall
         self.spaced, self.first, self.words = Memory(), Memory(), Memory()
 
     def _learn(self, matches) -> None:
@@ -247,48 +247,59 @@ _held: dict = {}
 
 
 def held(key, make):
-    """One object per Python worker, the last one asked for; its memory of words outlives a task."""
+    """One object of fixed size per Python worker, the last one asked for."""
     if key not in _held:
         _held.clear()
         _held[key] = make()
     return _held[key]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The `keep` columns and `ids` array<int> of every row's whole text.
+def pieces_of(ranks: dict[bytes, int]) -> list:
+    """The bytes of each id."""
+    back: list = [None] * (max(ranks.values()) + 1 if ranks else 0)
+    for piece, r in ranks.items():
+        back[r] = piece
+    return back
+
+
+def decoded(ids: pa.ListArray, pieces: list) -> pa.Array:
+    """The bytes that each list of ids stands for; null lists give null, unknown ids fail."""
+    get = pieces.__getitem__
+    values, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
+    real = ids.is_valid().to_numpy(zero_copy_only=False).tolist()
+    return pa.array([b"".join(map(get, values[a:b].tolist())) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], real, strict=True)], pa.binary())
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] = ("doc_id",), text: str = "text", back: bool = False) -> DataFrame:
+    """The `keep` columns and `ids` array<int> of every row's whole text; with `back` also `decoded`, the bytes of the ids.
 
     Null and empty texts have no ids. Repeated rows stay; other columns are
-    not read. Very long texts are a block of their own.
+    not read. Very long texts are a block of their own. Words are remembered
+    within a task only, so a worker's memory does not grow from task to task.
     """
     keep = list(keep)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((ranks, pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     key = (pattern, len(ranks), zlib.crc32(b"".join(b"%d %b " % (r, w) for w, r in ranks.items())))
 
     def run(batches):
-        encoder = held(key, lambda: Encoder(*shared.value))
+        merges = held(key, lambda: Merges(shared.value[0]))
+        encoder, pieces = Encoder(merges, shared.value[1]), pieces_of(merges.ranks) if back else []
         for batch in batches:
             texts = pc.fill_null(batch.column(len(keep)), "")
             for a, b in blocks(pc.binary_length(texts).to_pylist()):
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), encoder.block(texts.slice(a, b - a))], [*keep, "ids"])
+                ids = encoder.block(texts.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), ids, *([decoded(ids, pieces)] if back else [])], [*keep, "ids", *(["decoded"] if back else [])])
 
-    schema = StructType([*(docs.select(c).schema[0] for c in keep), StructField("ids", ArrayType(IntegerType()))])
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    fields = [*(docs.select(c).schema[0] for c in keep), StructField("ids", ArrayType(IntegerType())), *([StructField("decoded", BinaryType())] if back else [])]
+    return docs.select(*keep, text).mapInArrow(run, StructType(fields))
 
 
 def decode(spark: SparkSession, ranks: dict[bytes, int]):
     """A function from a column of id arrays to the bytes they stand for; null arrays give null, unknown ids fail."""
-    size = max(ranks.values()) + 1 if ranks else 0
-    back: list = [None] * size
-    for piece, r in ranks.items():
-        back[r] = piece
-    shared = spark.sparkContext.broadcast(back)
+    shared = spark.sparkContext.broadcast(pieces_of(ranks))
 
     @F.arrow_udf("binary")
-    def decoded(ids: pa.Array) -> pa.Array:
-        get = shared.value.__getitem__
-        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy().tolist()
-        real = ids.is_valid().to_numpy(zero_copy_only=False).tolist()
-        return pa.array([b"".join(map(get, values[a:b].tolist())) if ok else None for a, b, ok in zip(ends[:-1], ends[1:], real, strict=True)], pa.binary())
+    def run(ids: pa.Array) -> pa.Array:
+        return decoded(ids, shared.value)
 
-    return decoded
+    return run

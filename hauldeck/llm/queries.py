@@ -67,10 +67,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(vocabulary_path("byte_bpe_multi_50k.tiktoken"))
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, word_pattern())
-    text = bpe.decode(spark, ranks)(F.col("ids"))
+    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, word_pattern(), back=True)
     listed = F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary")
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 CONTAINED = r"""

@@ -12,7 +12,7 @@ from corpus_cases import LONG, made  # noqa: F401
 
 RANKS = bpe.read_ranks(queries.vocabulary_path("byte_bpe_multi_50k.tiktoken"))
 REFERENCE = tiktoken.Encoding("own", pat_str=queries.word_pattern(), mergeable_ranks=RANKS, special_tokens={})
-ENCODER = bpe.Encoder(RANKS, queries.word_pattern())
+ENCODER = bpe.Encoder(bpe.Merges(RANKS), queries.word_pattern())
 
 
 @settings(max_examples=400, deadline=None)
@@ -38,7 +38,7 @@ def test_a_merge_that_opens_a_lower_rank():
 
 def test_round_trip_of_a_table(spark, made):
     rows = [(1, None), (2, ""), (3, "A b"), (3, "A b"), (None, "ü <|endoftext|>"), (4, LONG)]
-    ids = bpe.encode(made(rows), RANKS, queries.word_pattern(), keep=["doc_id", "text"])
+    ids = bpe.encode(made(rows), RANKS, queries.word_pattern(), keep=["doc_id", "text"], back=True)
     got = ids.withColumn("back", bpe.decode(spark, RANKS)(F.col("ids"))).collect()
     assert len(got) == len(rows)
     for r in got:
