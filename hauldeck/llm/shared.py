@@ -26,6 +26,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, most: int = 500):
+    """The batches' rows, a few at a time, so that only their texts become Python objects together."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, most):
+            yield batch.slice(a, most)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, nulls as empty texts."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

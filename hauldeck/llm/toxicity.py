@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage, texts_of
+from .shared import slices, stage, texts_of
 
 LABELLED = 100_000  # labelled documents that a model is fitted on, at most; those of the lowest hash are taken
-FEATURES = 50_000  # features of a model, at most
 PRIOR = 0.1  # weight of the prior, as a share of all counts; it draws rare features' log-odds to 0
 MIN_Z = 2.5  # significance of a log-odds that counts, of either sign
 MOST_ODDS = 20.0  # token scores are cut here in the extreme-value law's histogram
@@ -33,7 +32,7 @@ BEGINNINGS = (4, 5, 6)
 
 @dataclass
 class Model:
-    """Everything that scoring needs; its size is bounded by FEATURES."""
+    """Everything that scoring needs: the significant features of at most LABELLED documents, which bound its size."""
 
     odds: dict[str, float] = field(default_factory=dict)
     rate: float = 1.0  # lambda of the extreme-value law
@@ -52,7 +51,7 @@ class TokenScores(dict):
     A word has its own log-odds if they are known, else those of its longest known beginning, else 0; every word costs COST.
     """
 
-    def __init__(self, odds: dict[str, float], most: int = 400_000):
+    def __init__(self, odds: dict[str, float], most: int = 100_000):
         super().__init__()
         self.odds, self.most = odds, most
 
@@ -143,8 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
     side = lambda n, every: F.log((F.col(n) + a) / (F.lit(every + prior) - F.col(n) - a))
     odds = counts.select("feature", (side("t", all_t) - side("c", all_c)).alias("odds"), F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a)).alias("sd"))
     strong = odds.filter(F.abs("odds") >= MIN_Z * F.col("sd"))
-    top = strong.orderBy(F.abs(F.col("odds") / F.col("sd")).desc(), "feature").limit(FEATURES).select("feature", "odds").collect()
-    model = Model(odds=dict(sorted((r[0], float(r[1])) for r in top)))
+    model = Model(odds=dict(sorted((r[0], float(r[1])) for r in strong.select("feature", "odds").collect())))
     return _calibrated(rows, model)
 
 
@@ -226,7 +224,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",), text: st
 
     def run(batches):
         scores = TokenScores(shared.value.odds)
-        for batch in batches:
+        for batch in slices(batches):
             found = [judge(t, shared.value, scores) for t in texts_of(batch.column(len(keep)))]
             spans = [[dict(zip(("from", "to", "evidence"), p, strict=True)) for p in g] for _, g in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([s for s, _ in found], pa.float64()), pa.array(spans, kind)], [*keep, "score", "passages"])
@@ -242,7 +240,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
 
     def run(batches):
         scores = TokenScores(shared.value.odds)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([judge(t, shared.value, scores)[0] < threshold for t in texts_of(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
