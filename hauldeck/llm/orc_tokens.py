@@ -34,10 +34,10 @@ class WordEncoder:
         The library composes characters before it lower-cases them, and some have a composed form in lower case only. So words that are not composed, before or after, keep their case.
         """
         core = word.rstrip(".,!?")
-        if not core or not core[-1].isalnum() or "<" in word:
+        lower = core.lower()
+        if not core or not lower[-1].isalnum() or "<" in word:  # İ becomes i and a mark, which the library joins with a stop
             return (word,)
         tail = word[len(core) :]
-        lower = core.lower()
         if core.isascii() or ("Σ" not in core and is_normalized("NFC", core) and is_normalized("NFC", lower)):  # a final sigma has a form of its own in Python
             core = lower
         return (core, tail) if tail else (core,)
