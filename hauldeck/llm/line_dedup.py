@@ -167,7 +167,7 @@ def marked_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     white space alone have no class and are kept. Rows equal in id and text
     are treated alike.
     """
-    blank = F.length(F.trim("line")) == 0
+    blank = F.length(F.btrim("line", F.lit(" \t\r\x0b\x0c"))) == 0
     lines = stage(lines_of(docs).select("doc_id", "doc", "pos", F.when(~blank, content_key(F.col("line"))).alias("line_id")), "lines")
     roots = similar_lines(docs, edits)
     named = lines.join(roots, lines["line_id"] == roots["node"], "left").select("doc_id", "doc", "pos", "line_id", F.coalesce("root", "line_id").alias("line_class"))

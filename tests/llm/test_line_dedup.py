@@ -26,12 +26,12 @@ def some_docs():
 
 def expected_removed(docs, edits):
     rows = sorted({(i is None, i or 0, _key(t), p, line) for i, t in docs for p, line in enumerate((t or "").split("\n"))})
-    lines = {r[4] for r in rows if r[4].strip(" ")}
+    lines = {r[4] for r in rows if r[4].strip(" \t\r\x0b\x0c")}
     group = components(lines, lambda a, b: min(len(a), len(b)) >= line_dedup.SHORTEST and abs(len(a) - len(b)) <= edits and len(a) < 1000 and edit_distance(a, b) <= edits or len(a) > 1000 and a[:-1] == b or len(b) > 1000 and b[:-1] == a)
     seen, out = set(), {}
     for none, i, key, p, line in rows:
         out.setdefault((None if none else i, key), [])
-        if line.strip(" ") and group[line] in seen:
+        if line.strip(" \t\r\x0b\x0c") and group[line] in seen:
             out[None if none else i, key].append(p)
         seen.add(group.get(line))
     return out
@@ -87,3 +87,9 @@ def test_band_equals_edit_distance(spark, edits):
 def test_no_python_in_the_plan(made):
     assert "Python" not in line_dedup.removed_lines(made([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert content_key(F.lit("x")) is not None
+
+
+def test_lines_of_white_space_stay(made):  # noqa: F811
+    docs = [(1, "a line of text\n\t\n \r\nend one"), (2, "another line\n\t\n \r\nend two"), (3, "\t")]
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(made(docs)).collect()} == {1: [], 2: [], 3: []}
+    assert {r.doc_id: r.text for r in line_dedup.without_repeated_lines(made(docs)).collect()} == dict(docs)
