@@ -20,7 +20,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, width=4, radius=4)
 
 
 def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +30,14 @@ def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and whether the ids decode to the text again."""
     ranks = bpe.read_ranks(vocabulary_path("byte_bpe_multi_50k.tiktoken"))
-    ids = bpe.encode(docs, ranks, word_pattern(), keep=["doc_id", "text"])
-    back = bpe.decode(spark, ranks)(F.col("ids"))
-    return ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (back == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"))
+    ids = bpe.encode(docs, ranks, word_pattern(), keep=["doc_id", "text"], back=True)
+    return ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("exact"))
 
 
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
-    ("near-duplicates", drop_near_duplicates),
+    ("SimHash near-duplicates", drop_near_duplicates),
     ("decontamination", drop_benchmark_items),
     ("byte BPE", encode),
 ]
@@ -48,6 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of what the stages keep of documents.
+
+    Null texts are empty throughout: they are not toxic, have no line to lose,
+    and are one near-duplicate group with empty and wordless texts, of which
+    one row stays. Rows equal in id and text are one group, so one stays. Long
+    texts are worked on whole; other columns, whatever their names, pass through
+    up to the last stage. Empty tables give empty results.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
