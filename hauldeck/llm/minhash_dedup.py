@@ -198,9 +198,12 @@ def forest(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "a long, b long")
 
 
-def _near_pairs(label: np.ndarray, sig: np.ndarray, least: float):
-    """(x, y, equal slots) of a group's members of different labels whose signatures do not rule them out."""
-    bits = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, SLOTS)
+def _near_pairs(t: int, label: np.ndarray, sig: np.ndarray, bands: np.ndarray, least: float):
+    """(x, y, equal slots) of the members of a group of band t that have different labels and whose signatures do not rule them out.
+
+    Two that have an earlier band in common, too, meet there.
+    """
+    bits, keys = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, SLOTS), np.stack(bands)[:, :t]
     _, code, count = np.unique(label, return_inverse=True, return_counts=True)
     others = np.flatnonzero(code != count.argmax())  # the largest label is not compared with itself
     step = max(1, PAIRS // len(label))
@@ -208,7 +211,9 @@ def _near_pairs(label: np.ndarray, sig: np.ndarray, least: float):
         some = others[i : i + step]
         equal = (bits[some][:, None] == bits[None, :]).sum(2)
         x, y = np.nonzero((code[some][:, None] != code[None, :]) & (equal >= least))
-        yield some[x].astype(np.int32), y.astype(np.int32), equal[x, y].astype(np.int16)
+        n, x = equal[x, y], some[x]
+        here = ~(keys[x] == keys[y]).any(1)
+        yield x[here].astype(np.int32), y[here].astype(np.int32), n[here].astype(np.int16)
 
 
 def _links_in_blocks(keyed: DataFrame, rows: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -224,20 +229,18 @@ def _links_in_blocks(keyed: DataFrame, rows: DataFrame, texts: DataFrame, width:
 
     def name(batches):
         for columns in sorted_groups(batches, 4):
-            label, sig = columns[5], columns[6]
+            t, (label, sig, bands) = int(columns[0][0]), columns[5:8]
             wanted = np.zeros(len(label), bool)
-            for x, y, _ in _near_pairs(label, sig, least):
+            for x, y, _ in _near_pairs(t, label, sig, bands, least):
                 wanted[x] = wanted[y] = True
             if wanted.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[wanted]) for c in columns], [*cols, "fp", "label", "sig"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[wanted]) for c in columns[:7]), pa.array(bands[wanted].tolist(), pa.list_(pa.int64()))], [*cols, "fp", "label", "sig", "bands"])
 
     def link(batches):
         for columns in sorted_groups(batches, 4):
-            fp, label, sig, sets = columns[4:]
+            t, (fp, label, sig, bands, sets) = int(columns[0][0]), columns[4:]
             sets = [np.frombuffer(s, np.uint64) for s in sets]
-            found = [np.concatenate(p) for p in zip(*_near_pairs(label, sig, least), strict=True)]
-            if not found:
-                continue
+            x, y, n = (np.concatenate(p) for p in zip(*_near_pairs(t, label, sig, bands, least), strict=True))
             root = np.unique(label, return_inverse=True)[1].tolist()
             top = list(range(max(root) + 1))
 
@@ -247,8 +250,8 @@ def _links_in_blocks(keyed: DataFrame, rows: DataFrame, texts: DataFrame, width:
                 return k
 
             links = []
-            best = np.argsort(-found[2], kind="stable")
-            for x, y in zip(found[0][best].tolist(), found[1][best].tolist(), strict=True):
+            best = np.argsort(-n, kind="stable")
+            for x, y in zip(x[best].tolist(), y[best].tolist(), strict=True):
                 a, b = find(root[x]), find(root[y])
                 if a != b and alike(sets[x], sets[y], percent):
                     top[max(a, b)] = min(a, b)
@@ -257,11 +260,11 @@ def _links_in_blocks(keyed: DataFrame, rows: DataFrame, texts: DataFrame, width:
                 at = np.array(links)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[at[:, 0]]), pa.array(fp[at[:, 1]])], ["a", "b"])
 
-    dealt = simhash.dealt(keyed, BLOCK).join(rows.select("fp", "sig").dropDuplicates(["fp"]), "fp").select(*cols, "fp", "label", "sig")
-    named = dealt.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(name, "t int, key long, i int, j int, fp long, label long, sig binary")
+    dealt = simhash.dealt(keyed, BLOCK).join(rows.select("fp", "sig", "bands").dropDuplicates(["fp"]), "fp").select(*cols, "fp", "label", "sig", "bands")
+    named = dealt.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(name, "t int, key long, i int, j int, fp long, label long, sig binary, bands array<long>")
     named = stage(named, "near")
     found = _sets_of(named.select("fp").distinct(), rows, texts, width)
-    full = named.join(found, "fp").select(*cols, "fp", "label", "sig", "s")
+    full = named.join(found, "fp").select(*cols, "fp", "label", "sig", "bands", "s")
     return full.repartition(*cols).sortWithinPartitions(*cols).mapInArrow(link, "a long, b long")
 
 
