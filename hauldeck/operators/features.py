@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import trips as T
+from ..functions.numeric import rnd
 from .quantiles import exact_quantiles
 from .summaries import name_routes, reliable
 
@@ -195,20 +196,58 @@ def sla_features(rows: DataFrame, history: DataFrame) -> DataFrame:
     return out.filter((F.col("route_avg_duration") > 0) | (F.col("trip_km") > 0))
 
 
+def route_record(trips: DataFrame) -> DataFrame:
+    """Trips and on-time rate per driver and route, whether or not an outcome is known (an unknown one is not on time)."""
+    rows = reliable(trips).filter(F.col("origin_id").isNotNull() & F.col("destination_id").isNotNull() & F.col("driver_id").isNotNull())
+    met = F.sum(F.when(F.col("eta_met") == 1, 1).otherwise(0)).cast("double")
+    return rows.groupBy("driver_id", *ROUTE).agg(F.count(F.lit(1)).alias("driver_route_trips"), rnd(met / F.count(F.lit(1)) * 100).alias("driver_route_eta_success"))
+
+
+def sla_features_serving(requests: DataFrame, fleet) -> DataFrame:
+    """The same 21 features for requests: a rate of 0 counts as missing and becomes 50, other figures 0.
+
+    route_eta_known and driver_eta_known keep the rates as they are, 0 where there is none.
+    """
+    rows = with_summaries(requests, fleet).join(route_record(fleet.trips), ["driver_id", *ROUTE], "left")
+    known = {f"{k}_eta_known": F.coalesce(F.col(f"{k}_eta_success").cast("double"), F.lit(0.0)) for k in ("route", "driver")}
+    fifty = {c: F.coalesce(F.when(F.col(c) != 0, F.col(c).cast("double")), F.lit(50.0)) for c in ("route_eta_success", "driver_eta_success", "vehicle_eta_success", "driver_route_eta_success")}
+    rows = rows.withColumns(known).withColumns({**fifty, **calendar(F.col("trip_start"))}).withColumns({
+        "time_pattern_avg_duration": F.col("route_avg_duration"), "time_pattern_trip_count": F.col("route_trip_count"), "time_pattern_eta_success": F.col("route_eta_success")})
+    return _doubles(rows, [NO], [*SLA_FEATURES, *known])
+
+
+# Risk levels and what is said of them, by the least probability.
+RISKS = [
+    (0.85, "low", "High confidence of on-time delivery"),
+    (0.65, "medium", "Moderate risk of delay — monitor this trip"),
+    (0.45, "high", "Significant delay risk — consider alternatives"),
+    (0.0, "critical", "Very likely to miss ETA — intervene now"),
+]
+# Reasons; {} is a rate in whole per cent.
+NO_EXPERIENCE = "Driver has no experience on this route"
+LOW_OWN_RATE = "Driver's route ETA success is low ({}%)"
+LOW_ROUTE_RATE = "This route has low overall ETA success ({}%)"
+LOW_DRIVER_RATE = "Driver overall ETA success is low ({}%)"
+AT_NIGHT = "Night-time trip — historically lower on-time rates"
+
+
 def sla_risk(scored: DataFrame, probability: str = "probability") -> DataFrame:
-    """Risk level, message and reasons on a given on-time probability."""
+    """Risk level, message and reasons on a given on-time probability.
+
+    Rates come from route_eta_known and driver_eta_known where there are such
+    columns (0: none known), else from the features.
+    """
     p = F.col(probability)
-    level = F.when(p >= 0.85, "low").when(p >= 0.65, "medium").when(p >= 0.45, "high").otherwise("critical")
-    message = (
-        F.when(p >= 0.85, "High confidence of on-time delivery").when(p >= 0.65, "Moderate risk of delay — monitor this trip")
-        .when(p >= 0.45, "Significant delay risk — consider alternatives").otherwise("Very likely to miss ETA — intervene now"))
+    by_risk = lambda k: F.coalesce(*[F.when(p >= least, F.lit((level, text)[k])) for least, level, text in RISKS], F.lit(RISKS[-1][k + 1]))
+    level, message = by_risk(0), by_risk(1)
+    route, driver = (f"{k}_eta_known" if f"{k}_eta_known" in scored.columns else f"{k}_eta_success" for k in ("route", "driver"))
+    said = lambda text, c: F.concat(F.lit(text.partition("{}")[0]), whole(c), F.lit(text.partition("{}")[2]))
     whole = lambda c: F.bround(F.col(c).cast("decimal(38,10)"), 0).cast("bigint").cast("string")
     factors = F.array_compact(F.array(
-        F.when(F.col("driver_route_trips") == 0, F.lit("Driver has no experience on this route")).when(
-            F.col("driver_route_eta_success") < 50, F.concat(F.lit("Driver's route ETA success is low ("), whole("driver_route_eta_success"), F.lit("%)"))),
-        F.when(F.col("route_eta_success") < 60, F.concat(F.lit("This route has low overall ETA success ("), whole("route_eta_success"), F.lit("%)"))),
-        F.when(F.col("driver_eta_success") < 60, F.concat(F.lit("Driver overall ETA success is low ("), whole("driver_eta_success"), F.lit("%)"))),
-        F.when((F.col("hour") >= 22) | (F.col("hour") <= 5), F.lit("Night-time trip — historically lower on-time rates")),
+        F.when(F.col("driver_route_trips") == 0, F.lit(NO_EXPERIENCE)).when(F.col("driver_route_eta_success") < 50, said(LOW_OWN_RATE, "driver_route_eta_success")),
+        F.when(F.col(route) < 60, said(LOW_ROUTE_RATE, route)),
+        F.when(F.col(driver) < 60, said(LOW_DRIVER_RATE, driver)),
+        F.when((F.col("hour") >= 22) | (F.col("hour") <= 5), F.lit(AT_NIGHT)),
     ))
     return scored.withColumns({
         "prediction": F.when(p >= 0.5, "on_time").otherwise("likely_delayed"), "risk_level": level, "risk_message": message, "contributing_factors": factors})

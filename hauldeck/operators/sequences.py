@@ -100,15 +100,21 @@ def decay_predictor(train: DataFrame) -> DataFrame:
 def decay_forecast(rows: DataFrame, fit: DataFrame) -> DataFrame:
     """Next duration per driver from the last ten trips, with an interval from the last five. fit: decay_predictor.
 
-    A shorter history is padded with zeros at its beginning, so its weights count for ten trips, too.
+    A shorter history is padded with zeros at its beginning: it has the
+    length and the weights of ten trips, and the zeros among the last five
+    widen the interval.
     """
     best = fit.filter("chosen = 1").agg(F.max(F.struct("decay", "slope", "intercept")).alias("b")).scalar()
     last = top_per(rows.select("driver_id", "n", "trip_duration_minutes"), ["driver_id"], [F.desc("n")], LENGTH, rank="_k")
     weight = F.pow(best["decay"], F.col("_k") - 1)
     all_weights = sum((F.pow(best["decay"], F.lit(k)) for k in range(LENGTH)), F.lit(0.0))
     out = last.groupBy("driver_id").agg(
-        F.count(F.lit(1)).alias("sequence_length_used"), (F.sum(weight * F.col("trip_duration_minutes")) / all_weights).alias("_w"),
-        F.stddev_pop(F.when(F.col("_k") <= 5, F.col("trip_duration_minutes"))).alias("_sd"))
+        F.lit(LENGTH).cast("bigint").alias("sequence_length_used"), (F.sum(weight * F.col("trip_duration_minutes")) / all_weights).alias("_w"),
+        F.array_sort(F.collect_list(F.when(F.col("_k") <= 5, F.col("trip_duration_minutes").cast("double")))).alias("_last"))
+    padded = F.concat("_last", F.array_repeat(F.lit(0.0), 5 - F.size("_last")))
+    added = lambda a, x: a + x
+    out = out.withColumn("_last", padded).withColumn("_m", F.aggregate("_last", F.lit(0.0), added) / 5)
+    out = out.withColumn("_sd", F.sqrt(F.aggregate(F.transform("_last", lambda x: (x - F.col("_m")) * (x - F.col("_m"))), F.lit(0.0), added) / 5))
     p = F.greatest(F.lit(0.0), F.col("_w") * best["slope"] + best["intercept"])
     return out.select("driver_id", "sequence_length_used", rnd(p).alias("predicted_duration_min"),
                       rnd(F.greatest(F.lit(0.0), p - 1.96 * F.col("_sd"))).alias("lower"), rnd(p + 1.96 * F.col("_sd")).alias("upper"))

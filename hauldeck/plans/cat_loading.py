@@ -125,11 +125,17 @@ RAW_COLUMNS = ["dispatch_entry_no", "driver_id", "driver_name", "driver_mobile",
 add("dead_column_profile", lambda f: scans.dead_columns(profile_input(f)), " union all ".join(f"select '{c}' as column_name from prof having count({c})=0 or count(distinct {c})=1" for c in RAW_COLUMNS))
 
 
+# The raw columns' types.
+RAW_TYPES = {"bigint": ["driver_id", "vehicle_id", "customer_id", "origin_id", "destination_id"], "double": ["trip_km", "l_quantity", "l_extendedprice"], "decimal(12,3)": ["load_weight_kg"],
+             "timestamp": ["trip_start", "trip_end_raw", "ata_in", "trip_eta", "dt_created", "dt_updated", "l_shipdate"]}
+
+
 def _profile_sql():
+    kinds = {c: kind for kind, columns in RAW_TYPES.items() for c in columns}
     parts = []
-    for c, kind, numeric in (("trip_km", "double", 1), ("driver_id", "bigint", 1), ("trip_status", "string", 0), ("ata_in", "timestamp", 0), ("l_quantity", "double", 1)):
-        x = f"cast({c} as double)"
-        nums = [f"avg({x})", f"stddev_samp({x})", f"min({x})", f"max({x})"] if numeric else ["cast(null as double)"] * 4
+    for c in RAW_COLUMNS[:-3]:
+        kind, x = kinds.get(c, "string"), f"cast({c} as double)"
+        nums = [f"avg({x})", f"stddev_samp({x})", f"min({x})", f"max({x})"] if kind in ("bigint", "double", "decimal(12,3)") else ["cast(null as double)"] * 4
         parts.append(
             f"select '{c}' as column_name, '{kind}' as data_type, count(*) as row_count, {i(f'sum(case when {c} is null then 1 else 0 end)')} as null_count,"
             f" {r(nums[0], 4)} as mean, {r(nums[1], 4)} as std, {nums[2]} as min, {nums[3]} as max from raw")
@@ -138,12 +144,12 @@ def _profile_sql():
 
 add(
     "column_profile",
-    lambda f: scans.column_profile(f.raw.select("trip_km", "driver_id", "trip_status", "ata_in", "l_quantity"))
-    .withColumns({"mean": rnd("mean", 4), "std": rnd("std", 4)}),
+    lambda f: scans.column_profile(f.raw.select(RAW_COLUMNS[:-3])).withColumns({"mean": rnd("mean", 4), "std": rnd("std", 4)}),
     _profile_sql(),
 )
 add(
-    "head_export", lambda f: exports.head_rows(f.trips.select("dispatch_entry_no", "driver_id", "trip_start"), ["dispatch_entry_no"], 100),
+    "head_export", lambda f: f.spark.read.schema("dispatch_entry_no string, driver_id bigint, trip_start timestamp").option("header", True).csv(
+        csv_folder(f, "head", lambda p: exports.head_export(f.trips.select("dispatch_entry_no", "driver_id", "trip_start"), p, ["dispatch_entry_no"], 100))),
     f"select dispatch_entry_no, driver_id, {ts('trip_start')} as trip_start from trips order by dispatch_entry_no limit 100",
 )
 add(
@@ -187,7 +193,14 @@ def report_file(f):
     return f.spark.read.option("header", True).csv(path)
 
 
-add("report_export", report_file)
+CTE["reported"] = """select t.dispatch_entry_no, t.trip_start, s.origin, s.destination, t.ata_in, s.avg_duration_min as p, cast(t.trip_duration_minutes as double) as y,
+ t.trip_start+to_microseconds(cast(round(s.avg_duration_min*60000000) as bigint)) as arrival from rel t join route_summary s on t.origin_id=s.origin_id and t.destination_id=s.destination_id"""
+add("report_export", lambda f: report_file(f).select(
+        "dispatch_entry_no", F.to_timestamp("trip_start").alias("trip_start"), "origin", "destination", F.to_timestamp("actual_arrival_ata_in").alias("actual_arrival_ata_in"), F.to_timestamp("predicted_arrival").alias("predicted_arrival"),
+        F.col("predicted_duration_minutes").cast("double").alias("predicted_duration_minutes"), F.col("actual_duration_minutes").cast("double").alias("actual_duration_minutes"), rnd(F.col("error_hours").cast("double"), 6).alias("error_hours"),
+        F.col("within_2h").cast("boolean").alias("within_2h"), F.col("within_1h").cast("boolean").alias("within_1h")),
+    f"""select dispatch_entry_no, {ts('trip_start')} as trip_start, origin, destination, {ts('ata_in')} as actual_arrival_ata_in, {ts('arrival')} as predicted_arrival, p as predicted_duration_minutes, y as actual_duration_minutes, {r('e', 6)} as error_hours,
+ cast(e<=2 as int)::bigint as within_2h, cast(e<=1 as int)::bigint as within_1h from (select *, abs(cast(epoch_us(arrival)-epoch_us(ata_in) as double))/3.6e9 as e from reported)""")
 add("quoted_export", lambda f: f.spark.read.option("header", True).csv(csv_folder(f, "quoted", lambda p: exports.quoted_export(f.route_summary, p))),
     "select columns(*)::varchar from route_summary")
 

@@ -174,6 +174,29 @@ add("sla_risk", lambda f: X.sla_risk(given_scores(f)).select(NO, "prediction", "
  case when hour>=22 or hour<=5 then 'Night-time trip — historically lower on-time rates' end) as contributing_factors from given_scores""")
 
 
+CTE["record"] = f"select driver_id, origin_id, destination_id, count(*) as driver_route_trips, {r('cast(sum(case when eta_met=1 then 1 else 0 end) as double)/count(*)*100')} as driver_route_eta_success from trips where {REL} and driver_id is not null group by 1,2,3"
+OR50 = lambda c: f"coalesce(nullif(cast({c} as double),0),50.0)"
+CTE["sla_serve"] = f"""select t.dispatch_entry_no, hour(trip_start) as hour, isodow(trip_start)-1 as day_of_week, case when isodow(trip_start)>=6 then 1 else 0 end as is_weekend, month(trip_start) as month, s.avg_duration_min as route_avg_duration, s.trip_count as route_trip_count,
+ {OR50('s.eta_success_rate')} as route_eta_success, s.avg_distance_km as route_avg_distance, ds.avg_duration_min as driver_avg_duration, ds.avg_speed_kmph as driver_avg_speed, {OR50('ds.eta_success_rate')} as driver_eta_success, ds.total_trips as driver_total_trips,
+ vs.avg_speed_kmph as vehicle_avg_speed, vs.total_trips as vehicle_total_trips, {OR50('vs.eta_success_rate')} as vehicle_eta_success, s.avg_duration_min as time_pattern_avg_duration, s.trip_count as time_pattern_trip_count, {OR50('s.eta_success_rate')} as time_pattern_eta_success,
+ t.trip_km as trip_km, h.driver_route_trips as driver_route_trips, {OR50('h.driver_route_eta_success')} as driver_route_eta_success, coalesce(s.eta_success_rate,0) as route_eta_known, coalesce(ds.eta_success_rate,0) as driver_eta_known
+ from requests t left join route_summary s on t.origin_id=s.origin_id and t.destination_id=s.destination_id left join driver_summary ds on t.driver_id=ds.driver_id left join vehicle_summary vs on t.vehicle_id=vs.vehicle_id
+ left join record h on t.driver_id=h.driver_id and t.origin_id=h.origin_id and t.destination_id=h.destination_id"""
+SERVED = [*X.SLA_FEATURES, "route_eta_known", "driver_eta_known"]
+
+
+def sla_served(f):
+    return f.stored("sla_served", lambda: X.sla_features_serving(requests(f), f))
+
+
+add("sla_features_serving", lambda f: rounded(sla_served(f), SERVED), f"select dispatch_entry_no, {filled(SERVED)} from sla_serve")
+add("sla_risk_serving", lambda f: X.sla_risk(sla_served(f).withColumn("probability", (F.col("driver_eta_success") + F.col("route_eta_success")) / 200)).select(NO, "risk_level", "contributing_factors"),
+    f"""select dispatch_entry_no, case when p>=0.85 then 'low' when p>=0.65 then 'medium' when p>=0.45 then 'high' else 'critical' end as risk_level,
+ concat_ws('|', case when coalesce(driver_route_trips,0)=0 then 'Driver has no experience on this route' when driver_route_eta_success<50 then concat('Driver''s route ETA success is low (',{PC('driver_route_eta_success')},'%)') end,
+ case when route_eta_known<60 then concat('This route has low overall ETA success (',{PC('route_eta_known')},'%)') end, case when driver_eta_known<60 then concat('Driver overall ETA success is low (',{PC('driver_eta_known')},'%)') end,
+ case when hour>=22 or hour<=5 then 'Night-time trip — historically lower on-time rates' end) as contributing_factors from (select *, (driver_eta_success+route_eta_success)/200 as p from sla_serve)""")
+
+
 def parts_of(f, name, rows):
     """Train and test rows, stored."""
     both = f.stored(f"{name}_split", lambda: M.split_80_20(rows()))
@@ -234,15 +257,13 @@ LAG = lambda c, k: f"lag({c},{k}) over (partition by driver_id order by n)"  # n
 
 
 def _sequences_flat(f):
+    """All steps' values: ten trips of seven figures each."""
     rows = S.trip_sequences(seq(f))
-    cols = [rnd(F.col("past")[k]["z_trip_duration_minutes"], 4).alias(f"d{k}") for k in range(10)]
-    cols += [rnd(F.col("past")[9][f"z_{c}"], 4).alias(f"last_{c}") for c in S.SEQUENCE_FEATURES[1:]]
-    return rows.select("driver_id", NO, "n", "target", *cols)
+    return rows.select("driver_id", NO, "n", "target", *[rnd(F.col("past")[k][f"z_{c}"], 4).alias(f"{c}_{k}") for k in range(10) for c in S.SEQUENCE_FEATURES])
 
 
 add("trip_sequences", _sequences_flat,
-    "select * from (select driver_id, dispatch_entry_no, n, target, " + ", ".join(f"{r(LAG('z_trip_duration_minutes', 10 - k), 4)} as d{k}" for k in range(10)) + ", "
-    + ", ".join(f"{r(LAG(f'z_{c}', 1), 4)} as last_{c}" for c in S.SEQUENCE_FEATURES[1:]) + " from seq_z) where n>10")
+    "select * from (select driver_id, dispatch_entry_no, n, target, " + ", ".join(f"{r(LAG(f'z_{c}', 10 - k), 4)} as {c}_{k}" for k in range(10) for c in S.SEQUENCE_FEATURES) + " from seq_z) where n>10")
 
 
 def decay_rows(f):
@@ -271,8 +292,8 @@ add("sequential_split", lambda f: decay_train(f).select("driver_id", NO, "is_tra
 add("decay_predictor", lambda f: rounded(S.decay_predictor(decay_train(f).filter("is_train = 1")), ["slope", "intercept", "mae"], 4),
     f"select decay, {r('slope', 4)} as slope, {r('intercept', 4)} as intercept, {r('mae', 4)} as mae, {i('case when mae=(select min(mae) from decay_f) then 1 else 0 end')} as chosen from decay_f")
 add("decay_forecast", lambda f: S.decay_forecast(seq(f), decay_fit(f)),
-    f"""select driver_id, {i('c')} as sequence_length_used, {r('greatest(0.0::double,p)')} as predicted_duration_min, {r('greatest(0.0::double,greatest(0.0::double,p)-1.96::double*sd)')} as lower, {r('greatest(0.0::double,p)+1.96::double*sd')} as upper from (
- select driver_id, sum(pow(b.decay,k-1)*y)/((1-pow(any_value(b.decay),10))/(1-any_value(b.decay)))*any_value(b.slope)+any_value(b.intercept) as p, stddev_pop(case when k<=5 then y end) as sd, count(*) as c from (
+    f"""select driver_id, 10::bigint as sequence_length_used, {r('greatest(0.0::double,p)')} as predicted_duration_min, {r('greatest(0.0::double,greatest(0.0::double,p)-1.96::double*sd)')} as lower, {r('greatest(0.0::double,p)+1.96::double*sd')} as upper from (
+ select driver_id, sum(pow(b.decay,k-1)*y)/((1-pow(any_value(b.decay),10))/(1-any_value(b.decay)))*any_value(b.slope)+any_value(b.intercept) as p, list_aggregate(list_resize(list(y order by k) filter (k<=5),5,0.0::double),'stddev_pop') as sd from (
  select driver_id, trip_duration_minutes as y, row_number() over (partition by driver_id order by n desc) as k from seq) s, (select * from decay_f order by mae limit 1) b where k<=10 group by 1)""")
 
 

@@ -118,12 +118,21 @@ add("trip_stats", lambda f: R.trip_stats(f.trips),
 DETAIL = ["dispatch_entry_no", "driver_name", "driver_mobile", "asset_id", "asset_type", "origin_name", "destination_name", "customer_name", "trip_start", "ata_in", "eta_met", "trip_km",
           "trip_duration_minutes_actual", "driver_total_trips", "driver_eta_success_rate", "driver_avg_speed_kmph", "driver_avg_duration_min", "route_trip_count", "route_avg_duration_min",
           "route_eta_success_rate", "route_avg_distance_km", "vehicle_total_trips", "vehicle_avg_speed_kmph", "vehicle_eta_success_rate"]
-add("trip_detail", lambda f: R.trip_detail(f.trips, f, f.driver_summary, f.route_summary, f.vehicle_summary).select(*DETAIL),
-    f"""select dispatch_entry_no, n.driver_name, n.driver_mobile, n.asset_id, n.asset_type, origin_name, destination_name, customer_name, {ts('trip_start')} as trip_start, {ts('ata_in')} as ata_in, {i('eta_met')} as eta_met,
+DETAIL_SQL = f"""select dispatch_entry_no, n.driver_name, n.driver_mobile, n.asset_id, n.asset_type, origin_name, destination_name, customer_name, {ts('trip_start')} as trip_start, {ts('ata_in')} as ata_in, {i('eta_met')} as eta_met,
  {d('trip_km')} as trip_km, date_sub('minute',trip_start,ata_in) as trip_duration_minutes_actual, dd.total_trips as driver_total_trips, dd.eta_success_rate as driver_eta_success_rate, dd.avg_speed_kmph as driver_avg_speed_kmph,
  dd.avg_duration_min as driver_avg_duration_min, rr.trip_count as route_trip_count, rr.avg_duration_min as route_avg_duration_min, rr.eta_success_rate as route_eta_success_rate, rr.avg_distance_km as route_avg_distance_km,
  vv.total_trips as vehicle_total_trips, vv.avg_speed_kmph as vehicle_avg_speed_kmph, vv.eta_success_rate as vehicle_eta_success_rate
- from named n left join driver_summary dd on n.driver_id=dd.driver_id left join route_summary rr on n.origin_id=rr.origin_id and n.destination_id=rr.destination_id left join vehicle_summary vv on n.vehicle_id=vv.vehicle_id""")
+ from named n left join driver_summary dd on n.driver_id=dd.driver_id left join route_summary rr on n.origin_id=rr.origin_id and n.destination_id=rr.destination_id left join vehicle_summary vv on n.vehicle_id=vv.vehicle_id"""
+add("trip_detail", lambda f: R.trip_detail(f.trips, f, f.driver_summary, f.route_summary, f.vehicle_summary).select(*DETAIL), DETAIL_SQL)
+
+
+def one_trip(f):
+    """The trip of the lowest number, read by its number: row groups without it are skipped by their Bloom filters."""
+    number = f.trips.agg(F.min("dispatch_entry_no")).first()[0]
+    return R.trip_detail(f.trips.filter(F.col("dispatch_entry_no") == number), f, f.driver_summary, f.route_summary, f.vehicle_summary).select(*DETAIL)
+
+
+add("trip_detail_one", one_trip, DETAIL_SQL + " where n.dispatch_entry_no=(select min(dispatch_entry_no) from trips)")
 add("trip_waypoints", lambda f: R.trip_waypoints(f.trips, f.waypoints),
     f"""select dispatch_entry_no, t.vehicle_id, {ts('recorded_at')} as recorded_at, {d('speed_kmph')} as speed_kmph, status, {d('distance_from_prev')} as distance_from_prev
  from trips t join waypoints w on t.vehicle_id=w.vehicle_id and w.recorded_at between t.trip_start and t.trip_end""")

@@ -44,13 +44,17 @@ class Fleet:
         size = files.agg(F.sum("length")).first()[0] or 0
         return max(size // (128 << 20) + 1, min(self.spark.sparkContext.defaultParallelism, size // (1 << 20) + 1))
 
-    def stored(self, name: str, build, cluster_by: list[str] | None = None, like: str | None = None) -> DataFrame:
+    def stored(self, name: str, build, cluster_by: list[str] | None = None, like: str | None = None, looked_up: str | None = None) -> DataFrame:
+        """A table that is written when first asked for; `looked_up` names a column whose row groups get a Bloom filter, so that a read of one value skips the others."""
         if name not in self._tables:
             df = build()
             if cluster_by:  # tight min/max per file
                 df = df.repartitionByRange(self._partitions_like(like), *cluster_by)
             path = f"{self.folder}/{name}"
-            df.write.mode("overwrite").parquet(path)
+            writer = df.write.mode("overwrite")
+            if looked_up:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{looked_up}", "true").option(f"parquet.bloom.filter.expected.ndv#{looked_up}", "1000000").option("parquet.bloom.filter.adaptive.enabled", "true")
+            writer.parquet(path)
             self._tables[name] = self.spark.read.schema(df.schema).parquet(path)
         return self._tables[name]
 
@@ -126,7 +130,7 @@ class Fleet:
 
     @property
     def trips(self) -> DataFrame:
-        return self.stored("trips", lambda: loading.trips_fact(self.first), ["trip_start", "dispatch_entry_no"], like="first")
+        return self.stored("trips", lambda: loading.trips_fact(self.first), ["trip_start", "dispatch_entry_no"], like="first", looked_up="dispatch_entry_no")
 
     @property
     def driver_summary(self) -> DataFrame:

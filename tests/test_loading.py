@@ -92,3 +92,15 @@ def test_upsert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, L.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_one_trip_is_found_by_bloom_filters(spark, fleet, tmp_path):
+    """The stored fact has a Bloom filter per row group: a number that lies between the ends but is not there reads no row."""
+    number = fleet.trips.agg(F.max("dispatch_entry_no")).first()[0]
+    absent = number[:-1] + "0"  # line numbers start at 1, so it sorts before the last and after most
+    assert fleet.trips.filter(F.col("dispatch_entry_no") == number).count() == 1
+    df = fleet.trips.filter(F.col("dispatch_entry_no") == absent).select("dispatch_entry_no", "trip_km")
+    assert df.collect() == []
+    plan = df._jdf.queryExecution().executedPlan()
+    leaf = (plan.executedPlan() if plan.nodeName().startswith("Adaptive") else plan).collectLeaves().head()
+    assert leaf.metrics().get("numOutputRows").get().value() == 0
