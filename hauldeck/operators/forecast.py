@@ -68,36 +68,43 @@ def exp_smoothing(daily: DataFrame, keys: list[str], keep: int = 30) -> DataFram
 def ridge_per_group(rows: DataFrame, keys: list[str], features: list[str], target: str = "trip_count") -> DataFrame:
     """Ridge coefficients per key (intercept unpenalised).
 
-    The cross products are ordinary sums, combined map-side; only one short
-    row per key reaches Python, where a small linear system is solved.
+    Spark's covariances are centred and mergeable, so they are combined
+    map-side without losing digits; one short row per key reaches Python,
+    where each Arrow batch is one stack of small systems, solved at once.
     """
     x = [F.col(c).cast("double") for c in features]
     y = F.col(target).cast("double")
     p = len(features)
-    pairs = [(a, b) for a in range(p) for b in range(a, p)]
     sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), F.sum(y).alias("_y"),
-        F.array(*[F.sum(c) for c in x]).alias("_x"), F.array(*[F.sum(c * y) for c in x]).alias("_xy"),
-        F.array(*[F.sum(x[a] * x[b]) for a, b in pairs]).alias("_xx"))
+        F.count(F.lit(1)).cast("double").alias("_n"), F.avg(y).alias("_y"), F.array(*[F.avg(c) for c in x]).alias("_x"),
+        F.array(*[F.covar_pop(c, y) for c in x]).alias("_xy"), F.array(*[F.covar_pop(a, b) for a in x for b in x]).alias("_xx"))
 
     def solve(batches):
         for pdf in batches:
-            coefs, intercepts = [], []
-            for n, sy, sx, sxy, sxx in zip(pdf["_n"], pdf["_y"], pdf["_x"], pdf["_xy"], pdf["_xx"], strict=True):
-                sx, sxy = np.asarray(sx, float), np.asarray(sxy, float)
-                g = np.zeros((p, p))
-                for (a, b), v in zip(pairs, sxx, strict=True):
-                    g[a, b] = g[b, a] = v
-                mean = sx / n
-                beta = np.linalg.solve(g - n * np.outer(mean, mean) + RIDGE * np.eye(p), sxy - mean * sy)
-                coefs.append(beta.tolist())
-                intercepts.append(float(sy / n - mean @ beta))
-            yield pdf[keys].assign(coef=coefs, intercept=intercepts)
+            n = pdf["_n"].to_numpy()[:, None]
+            stacked = lambda c: np.stack(pdf[c].to_numpy()) if len(pdf) else np.empty((0, p))
+            gram = stacked("_xx").reshape(-1, p, p) * n[:, :, None] + RIDGE * np.eye(p)
+            beta = np.linalg.solve(gram, (stacked("_xy") * n)[:, :, None])[:, :, 0]
+            yield pdf[keys].assign(coef=list(beta), intercept=pdf["_y"].to_numpy() - (stacked("_x") * beta).sum(1))
 
     fields = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
     return sums.mapInPandas(solve, f"{fields}, coef array<double>, intercept double")
 
 
+def solved(rows: DataFrame, model: DataFrame, keys: list[str], features: list[str], target: str = "trip_count") -> DataFrame:
+    """Whether each key's coefficients meet the normal equations: residuals sum to 0, and with each feature to RIDGE times its coefficient."""
+    line = F.col("intercept")
+    for n, c in enumerate(features):
+        line = line + F.element_at("coef", n + 1) * F.col(c).cast("double")
+    r = rows.join(model, keys).withColumn("_r", F.col(target).cast("double") - line)
+    sums = r.groupBy(*keys).agg(F.sum("_r").alias("_0"), F.sum(F.abs("_r")).alias("_a"), *[F.sum(F.col("_r") * F.col(c)).alias(f"_s{n}") for n, c in enumerate(features)],
+                                *[F.sum(F.abs(F.col("_r") * F.col(c))).alias(f"_a{n}") for n, c in enumerate(features)], F.first("coef").alias("coef"))
+    good = F.abs("_0") <= 1e-6 * (F.col("_a") + 1)
+    for n in range(len(features)):
+        good = good & (F.abs(F.col(f"_s{n}") - RIDGE * F.element_at("coef", n + 1)) <= 1e-6 * (F.col(f"_a{n}") + 1))
+    return sums.select(*keys, F.when(good, 1).otherwise(0).alias("solved"))
+
+
 def next_days(daily: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """Seven daily predictions per key after its last date, with the averages held at their last value."""
     rows = series_features(daily, keys)

@@ -46,6 +46,29 @@ add("demand_forecast", lambda f: D.demand_forecast(daily(f)))
 add("fleet_forecast", lambda f: D.fleet_forecast(daily(f)))
 
 
+def _ridge_solved(f):
+    rows = D.series_features(daily(f), R)
+    return D.solved(rows, D.ridge_per_group(rows, R, D.ROUTE_FEATURES), R, D.ROUTE_FEATURES)
+
+
+# what must hold for coefficients and forecasts, whatever the solver: the normal equations, and one week per series that adds up
+add("ridge_normal_equations", _ridge_solved, "select distinct origin_id, destination_id, 1::bigint as solved from demand_daily")
+
+
+def _weeks(rows, keys):
+    week = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("days"), F.datediff(F.max("date"), F.min("date")).alias("span"), F.min("date").alias("first_day"), F.min("predicted_trips").alias("least"),
+                                   F.max(F.col("total_predicted_week")).alias("total"), F.sum(F.col("predicted_trips").cast("decimal(20,1)")).cast("double").alias("added"))
+    good = (F.col("span") == 6) & (F.col("least") >= 0) & (F.abs(F.col("total") - F.col("added")) < 0.06)
+    return week.select(*keys, "days", "first_day", F.when(good, 1).otherwise(0).alias("adds_up"))
+
+
+add("demand_forecast_holds", lambda f: _weeks(route_forecast(f), R),
+    f"select origin_id, destination_id, 7::bigint as days, {day('(max(trip_date)+1)')} as first_day, 1::bigint as adds_up from demand_daily join top_volume using (origin_id, destination_id) group by 1,2")
+add("fleet_forecast_holds", lambda f: _weeks(D.fleet_forecast(daily(f)).withColumn("fleet", F.lit("all")), ["fleet"]), f"select 'all' as fleet, 7::bigint as days, {day('(max(trip_date)+1)')} as first_day, 1::bigint as adds_up from demand_daily")
+add("forecast_lookup_holds", lambda f: _weeks(D.forecast_lookup(route_forecast(f), f.route_summary), R).agg(F.count(F.lit(1)).alias("n_routes"), F.sum("adds_up").alias("adds_up")),
+    "select least(10,count(*)) as n_routes, least(10,count(*)) as adds_up from top_volume")
+
+
 def route_forecast(f):
     return f.stored("demand_forecast", lambda: D.demand_forecast(daily(f)))
 
@@ -54,8 +77,9 @@ add("forecast_lookup", lambda f: D.forecast_lookup(route_forecast(f), f.route_su
 
 
 def one_route(f, origin, destination):
-    """The route is picked first, so only its series is forecast."""
-    route = f.route_summary.filter((F.col("origin") == origin) & (F.col("destination") == destination))
+    """The route is picked first, so only its series is forecast; a route outside the busiest has no forecast."""
+    busiest = D.top_series(daily(f), R, 50, 14).select(*R)
+    route = f.route_summary.filter((F.col("origin") == origin) & (F.col("destination") == destination)).join(busiest, R, "left_semi")
     return D.forecast_lookup(D.demand_forecast(daily(f).join(route.select(*R), R, "left_semi"), k=1), route, origin, destination)
 
 

@@ -363,17 +363,17 @@ def as_customers(raw):
     return raw.withColumns({"cust_login_id": F.col("customer_name"), "cne_name": F.col("destination")})
 
 
-add("dim_drivers", lambda f: L.dim_drivers(f.raw), "select * from dim_d")
+add("dim_drivers", lambda f: L.dim_drivers(f.raw_table), "select * from dim_d")
 add("dim_vehicles", lambda f: L.dim_vehicles(f.raw_with_type, ROW_ORDER), "select * from dim_v")
-add("dim_locations", lambda f: L.dim_locations(f.raw), "select * from dim_l")
-add("dim_customers", lambda f: L.dim_customers(as_customers(f.raw), ROW_ORDER), "select * from dim_c")
+add("dim_locations", lambda f: L.dim_locations(f.raw_table), "select * from dim_l")
+add("dim_customers", lambda f: L.dim_customers(as_customers(f.raw_table), ROW_ORDER), "select * from dim_c")
 
 
 def stored_dims(f):
     """Dimensions are loaded before the trips that refer to them."""
     return (
-        f.stored("dim_drivers", lambda: L.dim_drivers(f.raw)), f.stored("dim_vehicles", lambda: L.dim_vehicles(f.raw_with_type, ROW_ORDER)),
-        f.stored("dim_locations", lambda: L.dim_locations(f.raw)), f.stored("dim_customers", lambda: L.dim_customers(as_customers(f.raw), ROW_ORDER)))
+        f.stored("dim_drivers", lambda: L.dim_drivers(f.raw_table)), f.stored("dim_vehicles", lambda: L.dim_vehicles(f.raw_with_type, ROW_ORDER)),
+        f.stored("dim_locations", lambda: L.dim_locations(f.raw_table)), f.stored("dim_customers", lambda: L.dim_customers(as_customers(f.raw_table), ROW_ORDER)))
 
 
 add("fk_resolve", lambda f: L.fk_resolve(as_customers(f.first), *stored_dims(f)).select(NO, "driver_id", "vehicle_id", "origin_id", "destination_id", "customer_id"),

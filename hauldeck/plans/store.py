@@ -83,7 +83,7 @@ class Fleet:
 
     @property
     def raw_with_type(self) -> DataFrame:
-        return self.raw.join(self.vehicles.select("asset_id", "asset_type"), "asset_id")
+        return self.raw_table.join(self.vehicles.select("asset_id", "asset_type"), "asset_id")
 
     @property
     def drivers(self) -> DataFrame:
