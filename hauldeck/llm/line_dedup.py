@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import content_key, stage
+from .shared import content_key, free_name, stage
 
 EDITS = 2
 SHORTEST = 24  # characters; shorter lines are matched exactly only
@@ -185,12 +185,13 @@ def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """All rows and columns; texts without the removed lines, n_chars (if there) counted anew. A text can become empty, a null text stays null."""
-    removed = stage(removed_lines(docs, edits).filter(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "removed"), "removed")
-    keyed = docs.withColumn("_key", content_key(F.col("text")))
-    both = keyed.join(removed, keyed["doc_id"].eqNullSafe(removed["_id"]) & (keyed["_key"] == removed["_doc"]), "left")
-    left = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = {c: F.col(c) for c in docs.columns} | {"text": text}
+    i, d, k, r = (free_name(n, docs.columns) for n in ("_id", "_doc", "_key", "_removed"))
+    removed = stage(removed_lines(docs, edits).filter(F.size("removed") > 0).select(F.col("doc_id").alias(i), F.col("doc").alias(d), F.col("removed").alias(r)), "removed")
+    keyed = docs.withColumn(k, content_key(F.col("text")))
+    both = keyed.join(removed, keyed["doc_id"].eqNullSafe(removed[i]) & (keyed[k] == removed[d]), "left")
+    left = F.filter(F.split("text", "\n"), lambda _, at: ~F.array_contains(r, at))
+    text = F.when(F.col(r).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in out:
         out["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return both.select(*(x.alias(c) for c, x in out.items()))

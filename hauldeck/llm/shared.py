@@ -38,6 +38,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """A name like this that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def content_key(text: Column) -> Column:
     """128 bits that stand for a text; null and empty texts are one."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

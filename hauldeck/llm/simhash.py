@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import content_key, same, sorted_groups, stage, texts_of
+from .shared import content_key, free_name, same, sorted_groups, stage, texts_of
 
 BITS = 64
 BLOCK = 8192  # fingerprints of a bucket that meet in one task, per side
@@ -175,13 +175,14 @@ def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
 
     Null, empty and wordless texts are one group, as their fingerprints are equal.
     """
-    keyed = docs.withColumn("_key", content_key(F.col("text")))
-    found = near_duplicates(keyed, width, radius, ["doc_id", "_key"])
-    counted = found.groupBy("root", "doc_id", "_key").agg(F.count(F.lit(1)).alias("n"))
-    least = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "n")).alias("k"))
-    first = stage(least.select("k.doc_id", "k._key", "k.n"), "first")
-    kept = keyed.join(first, same(keyed, first, ["doc_id", "_key"])).drop(first["doc_id"], first["_key"])
-    once = kept.filter("n = 1")
-    if not first.filter("n > 1").isEmpty():  # rows that are equal in id and text: one of them
-        once = once.unionByName(kept.filter("n > 1").dropDuplicates(["doc_id", "_key"]))
-    return once.select(docs.columns)
+    k, n = (free_name(x, docs.columns) for x in ("_key", "_n"))
+    keyed = docs.withColumn(k, content_key(F.col("text")))
+    found = near_duplicates(keyed, width, radius, ["doc_id", k])
+    counted = found.groupBy("root", "doc_id", k).agg(F.count(F.lit(1)).alias(n))
+    least = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", k, n)).alias("least"))
+    first = stage(least.select("least.doc_id", f"least.{k}", f"least.{n}"), "first")
+    kept = keyed.join(first, same(keyed, first, ["doc_id", k])).drop(first["doc_id"], first[k])
+    once = kept.filter(F.col(n) == 1)
+    if not first.filter(F.col(n) > 1).isEmpty():  # rows that are equal in id and text: one of them
+        once = once.unionByName(kept.filter(F.col(n) > 1).dropDuplicates(["doc_id", k]))
+    return once.select([f"`{c}`" for c in docs.columns])
