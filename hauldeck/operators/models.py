@@ -34,6 +34,7 @@ def train_test(rows: DataFrame, key: str = "dispatch_entry_no") -> tuple[DataFra
 
 
 VALIDATION = "is_validation"
+STILL_FALLING = 0.0001  # share of the validation error that a further tree must take off
 
 
 def _pipeline(estimator, features: list[str]) -> Pipeline:
@@ -46,8 +47,8 @@ def with_validation(rows: DataFrame, key: str, share: float = 0.1) -> DataFrame:
 
 
 def boosted_regressor(trees: int = 300, depth: int = 8, rate: float = 0.05, label: str = "target"):
-    """Up to `trees` trees; boosting ends when the error on the validation rows no longer falls by a hundredth."""
-    return GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=10, validationIndicatorCol=VALIDATION, seed=SEED)
+    """Up to `trees` trees; boosting ends when a tree takes less than STILL_FALLING off the error on the validation rows."""
+    return GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=10, validationIndicatorCol=VALIDATION, validationTol=STILL_FALLING, seed=SEED)
 
 
 def forest_regressor(trees: int = 300, depth: int = 8, label: str = "target"):
@@ -95,7 +96,7 @@ def eta_predict(model, requests: DataFrame, starts: DataFrame, least: float = 0.
 
 
 def classifier(train: DataFrame, features: list[str], trees: int = 300, depth: int = 8, rate: float = 0.05, key: str = "dispatch_entry_no") -> PipelineModel:
-    boosting = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=5, validationIndicatorCol=VALIDATION, seed=SEED)
+    boosting = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, minInstancesPerNode=5, validationIndicatorCol=VALIDATION, validationTol=STILL_FALLING, seed=SEED)
     return _pipeline(boosting, features).fit(with_validation(train, key))
 
 
