@@ -4,9 +4,11 @@ A line of n characters is split into tau + 1 segments. If two lines are within
 tau edits, one segment of the shorter (or equally long) line occurs unchanged
 in the longer one, and by the bounds of Li et al. (2011) only near its own
 place: so each line offers its segments and probes few substrings of itself,
-per length difference. Where up to MEMBERS lines meet, they are verified by a
-bit-parallel edit distance that keeps only the band of 2 tau + 1 diagonals
-(Hyyrö 2003); larger meetings use Spark's levenshtein with a threshold.
+per length difference. What meets is verified by a bit-parallel edit distance
+that keeps only the band of 2 tau + 1 diagonals (Hyyrö 2003), after two tests
+that no pair within tau edits can fail: an edit changes a count of characters
+by one at most, and touches one piece of a line at most. Up to MEMBERS lines
+that meet are taken as pairs, more in blocks.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,9 @@ EDITS = 2
 SHORTEST = 24  # characters; shorter lines are matched exactly only
 MEMBERS = 16  # lines that may meet at one substring pair by pair; more meet in blocks
 BLOCK = 64  # lines of a block
+CLASSES = 8  # classes of characters that are counted
+PIECES = 8  # pieces of a line that are looked for in the other one
+HALVINGS = 10  # steps of the search for the common beginning and end of two lines
 LOOKED_UP = 500_000  # keys of 8 bytes that may be broadcast; more are joined by a shuffle
 
 
@@ -41,19 +46,58 @@ def _pieces(shorter: int, edits: int):
 
 def _keys(lines: DataFrame, edits: int) -> DataFrame:
     """(key, id, offered): every substring under which a line may meet another; offered ones are its own segments."""
-    own, probed = [], []
+    each = []
     for shorter in range(edits + 1):
         for i, at, size, shift in _pieces(shorter, edits):
             piece = F.substring("line", (at + 1).cast("int"), size.cast("int"))
             key = F.xxhash64((F.col("n") - shorter).cast("long"), F.lit(i), piece)
             if shorter == 0 and shift == 0:
-                own.append(key)
+                each.append(F.struct(key.alias("key"), F.lit(1).alias("offered")))
             else:
-                probed.append(F.when((at >= 0) & (at + size <= F.col("n")), key))
+                each.append(F.struct(F.when((at >= 0) & (at + size <= F.col("n")), key).alias("key"), F.lit(0).alias("offered")))
     sized = lines.select("id", "line", F.length("line").alias("n"))
-    both = sized.select("id", F.array(*own).alias("own"), F.array_compact(F.array(*probed)).alias("probed"))
-    each = F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(1).alias("offered"))), F.transform(F.array_except("probed", "own"), lambda k: F.struct(k.alias("key"), F.lit(0).alias("offered")))))
-    return both.select("id", each.alias("k")).select("k.key", "id", "k.offered")
+    return sized.select("id", F.explode(F.array(*each)).alias("k")).select("k.key", "id", "k.offered").filter("key IS NOT NULL")
+
+
+def marks(line: Column) -> Column:
+    """For each class of characters (code points from the digits to kana, by remainder) how many characters of a line are not in it."""
+    classes = ["".join(map(chr, range(ord("0") + r, 0x3100, CLASSES))) for r in range(CLASSES)]
+    return F.struct(*(F.length(F.translate(line, c, "")).alias(f"c{r}") for r, c in enumerate(classes)))
+
+
+def alike(x: Column, y: Column, edits: int) -> Column:
+    """False only if the marks of two lines show more than `edits` edits: one edit changes each by one at most."""
+    out = F.lit(True)
+    for r in range(CLASSES):
+        out = out & (F.abs(x[f"c{r}"] - y[f"c{r}"]) <= edits)
+    return out
+
+
+def _same_pieces(left: Column, right: Column, edits: int) -> Column:
+    """False only if more than `edits` pieces of the left line are not near their place in the right one."""
+    size = F.floor(F.length(left) / PIECES).cast("int")
+    missing = F.lit(0)
+    for k in range(PIECES):
+        piece = F.substring(left, size * k + 1, size)
+        missing = missing + F.when(F.substring(right, F.greatest(F.lit(1), size * k + 1 - edits), size + 2 * edits).contains(piece), 0).otherwise(1)
+    return missing <= edits
+
+
+def _differing(left: Column, right: Column, edits: int) -> Column:
+    """x, y: the two lines without what they have in common at both ends, but for `edits` characters, so that their edit distance stays."""
+    least = F.least(F.length(left), F.length(right))
+    size = lambda k: F.ceil(least / F.call_function("shiftleft", F.lit(1), k)).cast("int")
+
+    def common(most: Column, same) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), F.lit(0), lambda n, k: n + F.when((n + size(k) <= most) & same(n, size(k)), size(k)).otherwise(0))
+
+    ahead = common(least, lambda n, s: F.substring(left, n + 1, s) == F.substring(right, n + 1, s))
+    ahead = F.greatest(F.lit(0), ahead - edits)
+    end = lambda line, n, s: F.substring(line, F.length(line) - n - s + 1, s)
+    let = lambda x, then: F.element_at(F.transform(F.array(x), then), 1)
+    cut = let(ahead, lambda a: F.struct(a.alias("a"), F.greatest(F.lit(0), common(least - a, lambda n, s: end(left, n, s) == end(right, n, s)) - edits).alias("z")))
+    part = lambda line, c: F.substring(line, c["a"] + 1, F.length(line) - c["a"] - c["z"])
+    return let(cut, lambda c: F.struct(part(left, c).alias("x"), part(right, c).alias("y")))
 
 
 def within(left: Column, right: Column, edits: int) -> Column:
@@ -63,6 +107,8 @@ def within(left: Column, right: Column, edits: int) -> Column:
     table; differences between neighbours are kept, one bit each for +1 and -1,
     and the distance is followed along the lowest diagonal, then along the last
     row. The characters are named once, so that no optimizer rule repeats the split at each step.
+    Lines of which more than `edits` pieces differ are passed over, and of the
+    others only what lies between their common ends is looked at.
     """
     width = 2 * edits + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
@@ -90,9 +136,10 @@ def within(left: Column, right: Column, edits: int) -> Column:
 
     first = F.struct(F.lit(full ^ ((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(edits).alias("d"))
     characters = lambda line: F.filter(F.split(line, ""), lambda c: c != "")
-    both = F.struct(characters(left).alias("p"), characters(right).alias("t"))
+    both = let(_differing(left, right, edits), lambda d: F.struct(characters(d["x"]).alias("p"), characters(d["y"]).alias("t")))
     distance = let(both, lambda chars: F.aggregate(F.sequence(F.lit(0), F.size(chars["t"]) - 1), first, lambda state, j: step(chars, state, j), lambda s: s["d"]))
-    return F.when(F.abs(F.length(left) - F.length(right)) > edits, False).otherwise(distance <= edits)
+    far = (F.abs(F.length(left) - F.length(right)) > edits) | ~_same_pieces(left, right, edits)
+    return F.when(far, False).otherwise(distance <= edits)
 
 
 def _looked_up(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
@@ -103,21 +150,21 @@ def _looked_up(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """The pairs (a, b) of line ids that are within the edits, as content keys."""
     ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = stage(_looked_up(lines, ids, "id").distinct(), "texts")
-    left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").filter(within(F.col("x"), F.col("y"), edits))
+    texts = stage(_looked_up(lines, ids, "id").distinct().select("id", "line", marks(F.col("line")).alias("marks")), "texts")
+    left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("marks").alias("m"))
+    right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("marks").alias("o"))
+    both = pairs.join(left, "a").join(right, "b").filter(F.when(alike(F.col("m"), F.col("o"), edits), within(F.col("x"), F.col("y"), edits)).otherwise(False))
     return both.select(content_key(F.col("x")).alias("a"), content_key(F.col("y")).alias("b"))
 
 
 def _block_links(members: DataFrame, roots: DataFrame, edits: int) -> DataFrame:
-    """For each line of a large meeting its first partner of another class, per pair of blocks; found by Spark's levenshtein with a threshold, not by within()."""
+    """For each line of a large meeting its first partner of another class, per pair of blocks."""
     now = members.join(roots, members["line_id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "line_id"))
     mixed = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key")
-    blocks = now.join(mixed, "key").groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("line_id", "label", "offered", "line")).alias("m"))
+    blocks = now.join(mixed, "key").groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("line_id", "label", "offered", "marks", "line")).alias("m"))
     left = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("x"))
     right = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("m").alias("y"))
-    near = lambda x: F.filter("y", lambda y: (x["label"] != y["label"]) & (x["offered"] + y["offered"] > 0) & (F.levenshtein(x["line"], y["line"], edits) >= 0))
+    near = lambda x: F.filter("y", lambda y: (x["label"] != y["label"]) & (x["offered"] + y["offered"] > 0) & F.when(alike(x["marks"], y["marks"], edits), within(x["line"], y["line"], edits)).otherwise(False))
     one = F.transform("x", lambda x: F.struct(x["line_id"].alias("a"), F.get(near(x), F.lit(0))["line_id"].alias("b")))
     return left.join(right, ["key", "i"]).select(F.explode(one).alias("l")).select("l.a", "l.b").filter("b IS NOT NULL")
 
@@ -149,8 +196,8 @@ def similar_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     if large.isEmpty():
         return roots
     count = F.ceil(F.col("n") / BLOCK).cast("int")
-    named = _looked_up(lines, stage(large.select("id").distinct(), "ids"), "id").distinct()
-    members = stage(large.join(named, "id").select("key", "offered", "line", content_key(F.col("line")).alias("line_id"), count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("block")), "members")
+    named = _looked_up(lines, stage(large.select("id").distinct(), "ids"), "id").distinct().withColumn("marks", marks(F.col("line")))
+    members = stage(large.join(named, "id").select("key", "offered", "line", "marks", content_key(F.col("line")).alias("line_id"), count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("block")), "members")
     while True:
         more = stage(_block_links(members, roots, edits), "similar")
         if more.isEmpty():
