@@ -6,11 +6,14 @@ in the longer one, and by the bounds of Li et al. (2011) only near its own
 place: so each line offers its segments and probes few substrings of itself,
 per length difference. What meets is verified by a bit-parallel edit distance
 that keeps only the band of 2 tau + 1 diagonals (Hyyrö 2003), after two tests
-that no pair within tau edits can fail: an edit changes a count of characters
-by one at most, and touches one piece of a line at most. Up to MEMBERS lines
+that no pair within tau edits can fail: an edit changes the counts of two
+characters by one at most, and touches one piece of a line at most. Up to MEMBERS lines
 that meet are taken as pairs, more in blocks.
 """
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ EDITS = 2
 SHORTEST = 24  # characters; shorter lines are matched exactly only
 MEMBERS = 16  # lines that may meet at one substring pair by pair; more meet in blocks
 BLOCK = 64  # lines of a block
-CLASSES = 8  # classes of characters that are counted
+COUNTED = "etaoinshrdlcumgbоаеитالأ的の一"  # characters that are counted; lines without any are told apart by their pieces only
 PIECES = 8  # pieces of a line that are looked for in the other one
 HALVINGS = 10  # steps of the search for the common beginning and end of two lines
 LOOKED_UP = 500_000  # keys of 8 bytes that may be broadcast; more are joined by a shuffle
@@ -60,27 +63,26 @@ def _keys(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def marks(line: Column) -> Column:
-    """For each class of characters (code points from the digits to kana, by remainder) how many characters of a line are not in it."""
-    classes = ["".join(map(chr, range(ord("0") + r, 0x3100, CLASSES))) for r in range(CLASSES)]
-    return F.struct(*(F.length(F.translate(line, c, "")).alias(f"c{r}") for r, c in enumerate(classes)))
+    """How often a line has each counted character."""
+    return F.struct(*((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).alias(f"c{r}") for r, c in enumerate(COUNTED)))
 
 
 def alike(x: Column, y: Column, edits: int) -> Column:
-    """False only if the marks of two lines show more than `edits` edits: one edit changes each by one at most."""
-    out = F.lit(True)
-    for r in range(CLASSES):
-        out = out & (F.abs(x[f"c{r}"] - y[f"c{r}"]) <= edits)
-    return out
+    """False only if the marks of two lines show more than `edits` edits, each of which changes two counts by one at most."""
+    differ = [F.abs(x[f"c{r}"] - y[f"c{r}"]) for r in range(len(COUNTED))]
+    return reduce(and_, (d <= edits for d in differ)) & (reduce(add, differ) <= 2 * edits)
 
 
 def _same_pieces(left: Column, right: Column, edits: int) -> Column:
     """False only if more than `edits` pieces of the left line are not near their place in the right one."""
-    size = F.floor(F.length(left) / PIECES).cast("int")
-    missing = F.lit(0)
-    for k in range(PIECES):
-        piece = F.substring(left, size * k + 1, size)
-        missing = missing + F.when(F.substring(right, F.greatest(F.lit(1), size * k + 1 - edits), size + 2 * edits).contains(piece), 0).otherwise(1)
-    return missing <= edits
+    def missing(size: Column) -> Column:
+        out = F.lit(0)
+        for k in range(PIECES):
+            piece = F.substring(left, size * k + 1, size)
+            out = out + F.when(F.substring(right, F.greatest(F.lit(1), size * k + 1 - edits), size + 2 * edits).contains(piece), 0).otherwise(1)
+        return out
+
+    return F.element_at(F.transform(F.array(F.floor(F.length(left) / PIECES).cast("int")), missing), 1) <= edits
 
 
 def _differing(left: Column, right: Column, edits: int) -> Column:
@@ -162,8 +164,9 @@ def _block_links(members: DataFrame, roots: DataFrame, edits: int) -> DataFrame:
     now = members.join(roots, members["line_id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "line_id"))
     mixed = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key")
     blocks = now.join(mixed, "key").groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("line_id", "label", "offered", "marks", "line")).alias("m"))
-    left = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("x"))
-    right = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("m").alias("y"))
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be merged into one task
+    left = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("x")).repartition(tasks, "key", "i")
+    right = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("m").alias("y")).repartition(tasks, "key", "i")
     near = lambda x: F.filter("y", lambda y: (x["label"] != y["label"]) & (x["offered"] + y["offered"] > 0) & F.when(alike(x["marks"], y["marks"], edits), within(x["line"], y["line"], edits)).otherwise(False))
     one = F.transform("x", lambda x: F.struct(x["line_id"].alias("a"), F.get(near(x), F.lit(0))["line_id"].alias("b")))
     return left.join(right, ["key", "i"]).select(F.explode(one).alias("l")).select("l.a", "l.b").filter("b IS NOT NULL")
