@@ -38,20 +38,18 @@ class Fleet:
     def given(self, name: str) -> DataFrame:
         return driver_tables.given(self.spark, self.sf_dir, name)
 
-    def _partitions_like(self, name: str) -> int:
-        """Partitions for a table about as large as a stored one: 128 MB each, smaller ones only to use all cores."""
-        files = self.spark.read.format("binaryFile").load(f"{self.folder}/{name}").select("length")  # lists, reads no content
-        size = files.agg(F.sum("length")).first()[0] or 0
-        return max(size // (128 << 20) + 1, min(self.spark.sparkContext.defaultParallelism, size // (1 << 20) + 1))
-
-    def stored(self, name: str, build, cluster_by: list[str] | None = None, like: str | None = None, looked_up: str | None = None) -> DataFrame:
-        """A table that is written when first asked for; `looked_up` names a column whose row groups get a Bloom filter, so that a read of one value skips the others."""
+    def stored(self, name: str, build, order_by: list[str] | None = None, looked_up: str | None = None) -> DataFrame:
+        """A table that is written when first asked for.
+
+        `order_by` orders every file in the task that writes it, without moving rows, so that a range of values is a few pages
+        of a file; `looked_up` names a column whose row groups get a Bloom filter, so that a read of one value skips the others.
+        """
         if name not in self._tables:
             df = build()
-            if cluster_by:  # tight min/max per file
-                df = df.repartitionByRange(self._partitions_like(like), *cluster_by)
+            if order_by:
+                df = df.sortWithinPartitions(*order_by)
             path = f"{self.folder}/{name}"
-            writer = df.write.mode("overwrite")
+            writer = df.write.mode("overwrite").option("compression", "zstd")
             if looked_up:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{looked_up}", "true").option(f"parquet.bloom.filter.expected.ndv#{looked_up}", "1000000").option("parquet.bloom.filter.adaptive.enabled", "true")
             writer.parquet(path)
@@ -126,11 +124,11 @@ class Fleet:
     @property
     def first(self) -> DataFrame:
         """Deduplicated raw rows."""
-        return self.stored("first", lambda: loading.trip_dedup(self.raw, driver_tables.FIRST_ROW_ORDER))
+        return self.stored("first", lambda: driver_tables.first_trips(self.spark, self.sf_dir))
 
     @property
     def trips(self) -> DataFrame:
-        return self.stored("trips", lambda: loading.trips_fact(self.first), ["trip_start", "dispatch_entry_no"], like="first", looked_up="dispatch_entry_no")
+        return self.stored("trips", lambda: loading.trips_fact(self.first), ["trip_start", "dispatch_entry_no"], looked_up="dispatch_entry_no")
 
     @property
     def driver_summary(self) -> DataFrame:

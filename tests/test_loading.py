@@ -104,3 +104,42 @@ def test_one_trip_is_found_by_bloom_filters(spark, fleet, tmp_path):
     plan = df._jdf.queryExecution().executedPlan()
     leaf = (plan.executedPlan() if plan.nodeName().startswith("Adaptive") else plan).collectLeaves().head()
     assert leaf.metrics().get("numOutputRows").get().value() == 0
+
+
+def test_first_trips_equal_dedup_of_raw_rows(spark, tmp_path):
+    """Lines and orders that come twice, null keys and null line numbers; repeated lines are found before rows are widened, and rows move once."""
+    from hauldeck.sources import driver_tables as D
+
+    day = dt.datetime(1995, 1, 1)
+    lines = [(1, 5, 1, 1, 2.0, 30.0, day), (1, 4, 1, 1, 2.0, 30.0, day), (1, 4, 1, 1, 2.0, 30.0, day), (1, 9, 2, 2, 1.0, 3.0, day), (2, 3, 2, 1, 1.0, 3.0, day), (2, 1, 7, 1, 1.0, 3.0, day),
+             (2, 1, None, 1, 1.0, 3.0, day), (2, None, 1, 2, 1.0, 3.0, None), (2, 2, 1, 2, None, 3.0, day), (3, 1, 1, None, 1.0, 3.0, day), (None, 1, 1, 1, 1.0, 3.0, day), (11, 1, 1, 1, 1.0, 3.0, day), (1, 1, 1, 11, 1.0, 3.0, day)]
+    made = {
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"),
+        "orders": ([(1, 1, "F", day), (1, 1, "F", day), (2, 2, "O", day), (3, 1, "F", day), (11, 1, "P", day)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"),
+        "customer": ([(1, "c1", 0), (2, "c2", 1), (2, "c2", 1)], "c_custkey long, c_name string, c_nationkey int"),
+        "supplier": ([(1, "s1", 0), (2, "s2", 1)], "s_suppkey long, s_name string, s_nationkey int"),
+        "nation": ([(0, "N0"), (1, "N1")], "n_nationkey int, n_name string"),
+    }
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    raw, first = D.raw_trips(spark, str(tmp_path)), D.first_trips(spark, str(tmp_path))
+    assert raw.count() > first.count() == 6 and raw.columns == first.columns
+    assert sorted(map(str, first.collect())) == sorted(map(str, L.trip_dedup(raw, D.FIRST_ROW_ORDER).collect()))
+    assert "hashpartitioning(dispatch_entry_no" not in first._jdf.queryExecution().executedPlan().toString()
+
+
+def test_route_means_do_not_move_the_trips(fleet):
+    plan = L.screened_trips(fleet.first)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_vehicles_of_a_driver_are_counted_apart(spark):
+    from decimal import Decimal
+
+    from hauldeck.operators import summaries as S
+
+    rows = [(1, v, "available", 1, Decimal(10 + k), Decimal(40), Decimal(5), Decimal(1)) for k, v in enumerate([7, 7, 8, None])] + [(2, None, "available", 0, Decimal(3), None, None, None)]
+    trips = spark.createDataFrame(rows, "driver_id long, vehicle_id long, eta_data_status string, eta_met int, trip_duration_minutes decimal(12,2), avg_speed_kmph decimal(12,2), trip_km decimal(12,2), eta_delay_minutes decimal(12,2)")
+    found = S.driver_figures(trips)
+    assert {r.driver_id: (r.total_trips, r.vehicles_used, r.max_duration_min, r.avg_distance_km) for r in found.collect()} == {1: (4, 2, 13.0, 5.0), 2: (1, 0, 3.0, None)}
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString() and "count(distinct" not in found._jdf.queryExecution().executedPlan().toString()
