@@ -57,6 +57,23 @@ def test_planted_outliers_score_highest(spark, tmp_path):
     assert loaded.transform(table.limit(0)).count() == 0
 
 
+def test_scores_walk_every_tree_to_its_leaf():
+    """Rows beyond one block, ties with thresholds, missing and infinite values, a tree of one leaf: the same sums as a walk from node to node."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(A.SCORED_AT_ONCE + 500, len(A.ANOMALY_FEATURES))), 1)
+    trees = [np.array(A.grow_tree(x[rng.choice(len(x), n)], k)) for k, n in enumerate([256, 256, 40, 1, 2])]
+    trees[0][trees[0][:, 0] >= 0, 1] = np.round(trees[0][trees[0][:, 0] >= 0, 1], 1)
+    x[::97, 2], x[::89, 1], x[::83, 0] = np.nan, np.inf, -np.inf
+    want = np.zeros(len(x))
+    for t in trees:
+        for i, r in enumerate(x):
+            at = 0
+            while t[at, 0] >= 0:
+                at = int(t[at, 2] if r[int(t[at, 0])] <= t[at, 1] else t[at, 3])
+            want[i] += t[at, 4]
+    assert np.array_equal(A.path_sums(x, [A.packed_tree(t) for t in trees]), want)
+
+
 def test_arrival_model_beats_the_mean(fleet):
     train, test = M.train_test(X.eta_features(fleet.trips, fleet))
     model, table = M.trained_regressor(train, test, X.ETA_FEATURES, M.boosted_regressor(trees=60, depth=4, rate=0.1))
