@@ -105,3 +105,19 @@ def test_quoted_file(spark, tmp_path):
 def test_table_counts_of_missing_table(spark):
     rows = {r[0]: r[1] for r in scans.table_counts(spark, {"a": spark.range(3), "gone": lambda: spark.read.parquet("/nowhere/x")}).collect()}
     assert rows == {"a": 3, "gone": -1}
+
+
+def test_waypoint_files_are_spread_over_tasks(spark, monkeypatch):
+    """Many small files cost as much as their number: no task writes more than its share of vehicles, however few bytes they have."""
+    import collections
+    import glob
+    import os
+
+    from hauldeck.plans import cat_loading
+    from hauldeck.plans.store import Fleet
+
+    monkeypatch.setattr(cat_loading, "FILES_PER_TASK", 3)
+    fleet = Fleet(spark, "/root/testdata/sf0.001")
+    files = glob.glob(f"{cat_loading.waypoint_export(fleet).removeprefix('file:')}/*/part-*")
+    per_task = collections.Counter(os.path.basename(x).split("-")[1] for x in files)
+    assert len(files) > 10 and max(per_task.values()) <= 12 and len(per_task) > 2
