@@ -113,3 +113,20 @@ def test_waypoints_of_trips_of_any_length(spark):
     day = lambda c: F.unix_date(F.to_date(c)).cast("long")
     pieces = t.filter("trip_end >= trip_start").select("dispatch_entry_no", F.size(R.day_pieces(day("trip_start"), day("trip_end"))).alias("n"))
     assert {r["dispatch_entry_no"]: r["n"] for r in pieces.collect()}["wrong"] <= 2 * 31 * 3 + 12
+
+
+@pytest.mark.parametrize("share", [0.8, 0.5, 0.0, 1.0])
+def test_sequential_split_numbers_one_driver_only(spark, share, monkeypatch):
+    """A driver with most trips, ties in time, nulls: the first share in (driver, time) order; others than the cut's driver are not moved."""
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(d, f"d{d}-{i}", t0 + dt.timedelta(hours=7 * (i // 2))) for d, n in ((1, 5), (3, 60), (4, 20), (9, 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "driver_id long, dispatch_entry_no string, trip_start timestamp").repartition(3)
+    seen = []
+    numbered = S.numbered
+    monkeypatch.setattr(S, "numbered", lambda rows, *a: (seen.append(rows.select("driver_id").distinct().count()), numbered(rows, *a))[1])
+    got = {r.dispatch_entry_no: r.is_train for r in S.sequential_split(df, share).collect()}
+    placed = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
+    cut = int(len(rows) * share)
+    assert got == {r[1]: int(k < cut) for k, r in enumerate(placed)} and seen == [1]
