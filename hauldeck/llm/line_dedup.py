@@ -36,30 +36,29 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "doc", F.posexplode(F.split("_t", "\n")).alias("pos", "line"))
 
 
-def _pieces(shorter: int, edits: int):
-    """(segment, start, length, shift) of the substrings to probe for lines that are shorter by so many characters; 0-based columns."""
-    parts, n = edits + 1, F.col("n") - shorter
-    base, longer = F.floor(n / parts), n % parts
-    for i in range(parts):
-        start = i * base + F.greatest(F.lit(0), i - (parts - longer))
-        size = base + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-            yield i, start + shift, size, shift
+def _probes(edits: int) -> Column:
+    """(shorter, segment, shift) of the substrings to probe for lines that are shorter by so many characters."""
+    parts, each = edits + 1, []
+    for shorter in range(edits + 1):
+        for i in range(parts):
+            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
+                each.append(F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("segment"), F.lit(shift).alias("shift")))
+    return F.array(*each)
 
 
 def _keys(lines: DataFrame, edits: int) -> DataFrame:
-    """(key, id, offered): every substring under which a line may meet another; offered ones are its own segments."""
-    each = []
-    for shorter in range(edits + 1):
-        for i, at, size, shift in _pieces(shorter, edits):
-            piece = F.substring("line", (at + 1).cast("int"), size.cast("int"))
-            key = F.xxhash64((F.col("n") - shorter).cast("long"), F.lit(i), piece)
-            if shorter == 0 and shift == 0:
-                each.append(F.struct(key.alias("key"), F.lit(1).alias("offered")))
-            else:
-                each.append(F.struct(F.when((at >= 0) & (at + size <= F.col("n")), key).alias("key"), F.lit(0).alias("offered")))
-    sized = lines.select("id", "line", F.length("line").alias("n"))
-    return sized.select("id", F.explode(F.array(*each)).alias("k")).select("k.key", "id", "k.offered").filter("key IS NOT NULL")
+    """(key, id, offered): every substring under which a line may meet another; offered ones are its own segments.
+
+    The probes are rows, so that one short expression cuts them all: one expression per probe makes a method that the JVM does not compile.
+    """
+    parts = edits + 1
+    probed = lines.select("id", "line", F.length("line").alias("n"), F.explode(_probes(edits)).alias("p")).select("id", "line", "n", "p.*")
+    size, longer = F.floor((F.col("n") - F.col("shorter")) / parts).cast("int"), (F.col("n") - F.col("shorter")) % parts
+    late = F.greatest(F.lit(0), F.col("segment") - parts + longer)  # the last segments are longer by one
+    placed = probed.select("id", "line", "n", "shorter", "segment", "shift", (F.col("segment") * size + late + F.col("shift")).alias("at"), (size + F.when(F.col("segment") >= parts - longer, 1).otherwise(0)).alias("size"))
+    inside = placed.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
+    key = F.xxhash64((F.col("n") - F.col("shorter")).cast("long"), "segment", F.substring("line", F.col("at") + 1, F.col("size")))
+    return inside.select(key.alias("key"), "id", F.when((F.col("shorter") == 0) & (F.col("shift") == 0), 1).otherwise(0).alias("offered"))
 
 
 def marks(line: Column) -> Column:

@@ -93,3 +93,14 @@ def test_lines_of_white_space_stay(made):  # noqa: F811
     docs = [(1, "a line of text\n\t\n \r\nend one"), (2, "another line\n\t\n \r\nend two"), (3, "\t")]
     assert {r.doc_id: r.removed for r in line_dedup.removed_lines(made(docs)).collect()} == {1: [], 2: [], 3: []}
     assert {r.doc_id: r.text for r in line_dedup.without_repeated_lines(made(docs)).collect()} == dict(docs)
+
+
+def test_key_code_is_small_enough_to_be_compiled(spark):
+    """The JVM never compiles a method of more than 8,000 bytes; one expression per probe made a larger one."""
+    docs = spark.createDataFrame([(1, "a line that is long enough to be matched")], "doc_id long, text string")
+    lines = line_dedup.lines_of(docs).select(F.xxhash64("line").alias("id"), "line")
+    keys = line_dedup._keys(lines, line_dedup.EDITS)
+    assert keys.count() == 12 and keys.filter("offered = 1").count() == line_dedup.EDITS + 1
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    parts = debug.codegenStringSeq(keys._jdf.queryExecution().executedPlan())
+    assert parts.size() and all(parts.apply(i)._3().maxMethodCodeSize() <= 8000 for i in range(parts.size()))
