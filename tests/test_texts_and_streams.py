@@ -86,3 +86,14 @@ def test_open_days_are_marked(spark, fleet):
     latest = fleet.trips.agg(F.max("trip_start")).first()[0]
     rows = refresh.daily_with_open_days(P.state_of(fleet.trips, P.DAILY), F.lit(latest)).collect()
     assert len(rows) == S.daily_fleet_stats(fleet.trips).count() and 0 < sum(r["is_provisional"] for r in rows) <= 8
+
+
+def test_streams_move_only_what_the_states_read(fleet):
+    from hauldeck.plans import cat_rest
+
+    wanted = [P.DAILY, P.DRIVER]
+    narrow = fleet.trips.select(refresh.read_columns(fleet.trips.columns, wanted))
+    for p in wanted:
+        assert sorted(map(str, P.state_of(narrow, p).collect())) == sorted(map(str, P.state_of(fleet.trips, p).collect()))
+    batches, base = cat_rest._streamed(fleet)
+    assert batches > 1 and fleet.spark.read.parquet(f"{base}/in").columns == narrow.columns and len(narrow.columns) < len(fleet.trips.columns)
