@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from corpus_cases import LONG, made  # noqa: F401
 from hauldeck.llm import masked_lm as m
 
@@ -62,3 +63,35 @@ def test_windows_stay_inside_a_text():
 def test_empty_and_long(made):  # noqa: F811
     assert m.train_and_score(made([])).count() == 0
     assert m.train_and_score(made([(1, LONG)])).first().n_tokens == 40_001
+
+
+@pytest.mark.parametrize("listed", [0, 300, m.LISTED])
+def test_rare_words_have_their_part_of_the_hashed_id(spark, made, monkeypatch, listed):  # noqa: F811
+    """Beside the OWN most frequent words: the probabilities of the words of one hashed id are in proportion to their counts, and add up to it."""
+    monkeypatch.setattr(m, "LISTED", listed)
+    rare = [f"rare{i}" for i in range(900)]
+    texts = [(i, " ".join(f"own{(i * 7 + k) % m.OWN}" for k in range(40))) for i in range(200)]
+    texts += [(1000 + i, f"own1 own2 {w} {'Own3 ' + w if i % 3 == 0 else 'own3'}") for i, w in enumerate(rare)] + [(None, rare[0].upper()), (7, None), (7, ""), (8, rare[1]), (8, rare[1])]
+    model = m.train(made(texts))
+    counts = {}
+    for _, t in texts:
+        for w in (t or "").lower().encode().split():
+            counts[w] = counts.get(w, 0) + 1
+    assert len(model.ids) == m.OWN and all(w.startswith(b"own") for w in model.ids)
+    of_id = {}
+    for w, n in counts.items():
+        if w not in model.ids:
+            of_id[m.id_of(w, {})] = of_id.get(m.id_of(w, {}), 0) + n
+    assert max(of_id.values()) > 3
+
+    def want(text):
+        words = (text or "").encode().lower().split()
+        part = [0.0 if w in model.ids else math.log(counts.get(w, 1) / max(1, of_id.get(m.id_of(w, {}), 0))) for w in words]
+        return len(words), sum(plain_scores(text, model)) + sum(part)
+
+    new = [*texts, (9, "own1 neverseen own2")]
+    got = sorted((str(r.doc_id), r.n_tokens, r.log_likelihood, r.mean_log_likelihood) for r in m.score(made(new), model).collect())
+    expected = sorted((str(i), *want(t)) for i, t in new)
+    assert len(got) == len(expected)
+    for (a, n, s, mean), (b, k, t) in zip(got, expected, strict=True):
+        assert (a, n) == (b, k) and abs(s - t) < 1e-3 * (1 + n) and (mean is None if not n else abs(mean - s / n) < 1e-9)
