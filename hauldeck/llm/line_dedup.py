@@ -158,17 +158,24 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return both.select(content_key(F.col("x")).alias("a"), content_key(F.col("y")).alias("b"))
 
 
-def _block_links(members: DataFrame, roots: DataFrame, edits: int) -> DataFrame:
-    """For each line of a large meeting its first partner of another class, per pair of blocks."""
+def _block_links(members: DataFrame, roots: DataFrame, edits: int, linked: DataFrame | None = None) -> DataFrame:
+    """(key, i, j, a, b): for each line of a large meeting its first partner of another class, per pair of blocks.
+
+    Classes only grow, so a pair of blocks without a link has none in any later round: `linked` are those of the last one that had any.
+    """
     now = members.join(roots, members["line_id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "line_id"))
     mixed = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key")
     blocks = now.join(mixed, "key").groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("line_id", "label", "offered", "marks", "line")).alias("m"))
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be merged into one task
     left = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("x")).repartition(tasks, "key", "i")
-    right = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("m").alias("y")).repartition(tasks, "key", "i")
+    if linked is None:
+        right = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("m").alias("y"))
+    else:
+        right = linked.select("key", "i", "j").distinct().join(blocks.select("key", F.col("block").alias("j"), F.col("m").alias("y")), ["key", "j"]).select("key", "i", "j", "y")
+    right = right.repartition(tasks, "key", "i")
     near = lambda x: F.filter("y", lambda y: (x["label"] != y["label"]) & (x["offered"] + y["offered"] > 0) & F.when(alike(x["marks"], y["marks"], edits), within(x["line"], y["line"], edits)).otherwise(False))
     one = F.transform("x", lambda x: F.struct(x["line_id"].alias("a"), F.get(near(x), F.lit(0))["line_id"].alias("b")))
-    return left.join(right, ["key", "i"]).select(F.explode(one).alias("l")).select("l.a", "l.b").filter("b IS NOT NULL")
+    return left.join(right, ["key", "i"]).select("key", "i", "j", F.explode(one).alias("l")).select("key", "i", "j", "l.a", "l.b").filter("b IS NOT NULL")
 
 
 def similar_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -177,8 +184,8 @@ def similar_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     A class holds all lines that are linked, directly or through others. Where
     up to MEMBERS lines meet, their pairs are verified. Larger meetings are
     split into blocks: in each round every line gives one link to another
-    class per pair of blocks, and the rounds end when no two classes are left
-    that have a link. So no link between classes is lost, and no meeting is
+    class per pair of blocks that had one in the round before, and the rounds
+    end when no two classes are left that have a link. So no link between classes is lost, and no meeting is
     written out as pairs.
     """
     lines = lines_of(docs).filter(F.length("line") >= SHORTEST).select(F.xxhash64("line").alias("id"), "line")
@@ -200,11 +207,12 @@ def similar_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     count = F.ceil(F.col("n") / BLOCK).cast("int")
     named = _looked_up(lines, stage(large.select("id").distinct(), "ids"), "id").distinct().withColumn("marks", marks(F.col("line")))
     members = stage(large.join(named, "id").select("key", "offered", "line", "marks", content_key(F.col("line")).alias("line_id"), count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("block")), "members")
+    more = None
     while True:
-        more = stage(_block_links(members, roots, edits), "similar")
+        more = stage(_block_links(members, roots, edits, more), "similar")
         if more.isEmpty():
             return roots
-        links = links.union(more)
+        links = links.union(more.select("a", "b"))
         roots = connected(links)
 
 
