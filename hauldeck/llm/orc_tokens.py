@@ -4,36 +4,61 @@ Files are ranges of documents, each sorted, so stripes are read in parallel
 and their statistics and Bloom filters skip what a lookup does not need.
 """
 
+import json
 import zlib
+from array import array
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Memory, blocks, held, id_lists
 
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
-BLOCK_BYTES, AT_ONCE, REMEMBERED = 4 << 20, 1000, 250_000
+BLOCK_BYTES, REMEMBERED = 6 << 20, 300_000
+#: The characters that stand for bytes in a byte-level model, as a table for str.translate.
+SHOWN = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 512), strict=False))
+
+
+def _finder(definition: str):
+    """Finds a text's matches, if the definition says that the text is composed, its white space made spaces, lower-cased, and each match of its pattern goes to the model, bytes as characters. Else None."""
+    d = json.loads(definition)
+    steps, cuts = (d["normalizer"] or {}).get("normalizers"), (d["pre_tokenizer"] or {}).get("pretokenizers")
+    composed = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    matched = [{"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    special = all(t["content"].startswith("<") for t in d["added_tokens"])
+    return regex.compile(pattern).findall if steps == composed and cuts == matched and special and d["post_processor"] is None else None
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space and never joins across a space: each word is given to the library once."""
+    """Encodes texts with a tokenizer that drops white space and never joins across a space: each word is given to the library once.
+
+    Of a word of plain form the matches of the tokenizer's pattern go to the library's model, each once; most of the whole call's time is spent before the model.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.pieces = Tokenizer.from_str(definition), Memory(REMEMBERED), Memory(REMEMBERED)
+        self.tokenizer, self.known = Tokenizer.from_str(definition), Memory(REMEMBERED)
+        self.model, self.matches = self.tokenizer.model, _finder(definition)
 
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """Pieces with the same ids as the word: stops at its end stand alone, and case is no matter outside special tokens.
+    def _parts(self, word: str) -> tuple[str, ...] | list[str]:
+        """Pieces with the same ids as the word: the matches of printable ASCII words; of others ASCII punctuation at the end stands alone. Case is no matter outside special tokens.
 
         The library composes characters before it lower-cases them, and some have a composed form in lower case only. So words that are not composed, before or after, keep their case.
         """
-        core = word.rstrip(".,!?")
+        if self.matches and word.isascii():
+            if word.isalpha():
+                return (word.lower(),)
+            if "<" not in word and word.isprintable():
+                return self.matches(word.lower())
+        core = word.rstrip(punctuation if self.matches else ".,!?")
         lower = core.lower()
         if not core or not lower[-1].isalnum() or "<" in word:  # İ becomes i and a mark, which the library joins with a stop
             return (word,)
@@ -42,19 +67,38 @@ class WordEncoder:
             core = lower
         return (core, tail) if tail else (core,)
 
+    def _ids(self, piece: str) -> bytes:
+        """The piece's ids, from the model alone if the library changes nothing in it and it is one match: of printable ASCII pieces that holds by _parts."""
+        shown = None
+        if self.matches:
+            if piece.isascii():
+                shown = piece if piece.isalpha() or "<" not in piece and piece.isprintable() else None
+            elif piece.isalpha() and piece == piece.lower() and is_normalized("NFC", piece):
+                shown = piece.encode().decode("latin-1").translate(SHOWN)
+        if shown is None:
+            return array("i", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        return array("i", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def block(self, texts: pa.StringArray, end: int) -> pa.ListArray:
+        if self.matches:  # all white space becomes a space
+            texts = pc.replace_substring(texts, "\n", " ")
         parts = pc.split_pattern(texts, " ")
         coded = parts.values.dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
-        new = {w: self._parts(w) for w in self.known.missing(words)}
-        unknown = self.pieces.missing({p for pieces in new.values() for p in pieces})
-        for i in range(0, len(unknown), AT_ONCE):  # the library's results are large, so few at a time
-            some = unknown[i : i + AT_ONCE]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.pieces.new[w] = np.array(e.ids, np.int32).tobytes()
-        for w, pieces in new.items():
-            self.known.new[w] = b"".join([self.pieces.new[p] for p in pieces])
-        values = [self.known.new[w] for w in words] + [np.int32(end).tobytes()]
+        cut = []
+        for w in self.known.missing(words):
+            pieces = self._parts(w)
+            if len(pieces) == 1 and pieces[0] == w:
+                self.known.new[w] = self._ids(w)
+            else:
+                cut.append((w, pieces))
+        known, old = self.known.new, self.known.old
+        for w, pieces in cut:
+            for p in pieces:  # a piece is a word of its own, so both are remembered together
+                if p not in known:
+                    known[p] = old[p] if p in old else self._ids(p)
+            known[w] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+        values = [known[w] for w in words] + [np.int32(end).tobytes()]
         # the end id is one more word of each text
         ends = parts.offsets.to_numpy()[1:]
         codes = np.insert(coded.indices.to_numpy(), ends, len(words))

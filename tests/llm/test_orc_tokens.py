@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -40,3 +41,23 @@ def test_files_and_positions(spark, made, tmp_path, count):  # noqa: F811
         assert sorted(r.ids for r in orc_tokens.lookup(spark, path, [14, 1002]).collect()) == sorted(ids[r] for r in rows if r[0] in (14, 1002))
         assert "PushedFilters: [In(doc_id" in orc_tokens.lookup(spark, path, [14, 1002])._jdf.queryExecution().executedPlan().toString()
         assert sum(orc.ORCFile(p).nrows for p in tmp_path.glob("t/*.orc")) == len(rows)
+
+
+def test_plain_words_need_the_model_only():
+    """Of words of plain form, whatever their script, only matches go to the model; the ids are those of whole texts."""
+    texts = ["Plain words, it's 12 of them: a-b $$$ 'VEry' end.", "größer ÄHNLICH слово كلمة 单词", "", "a"]
+    encoder = orc_tokens.WordEncoder(DEFINITION)
+    encoder.tokenizer = None  # the whole call is not needed
+    assert encoder.block(pa.array(texts), 2).to_pylist() == [[*e.ids, 2] for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_every_character_inside_a_word():
+    texts = [f"a{chr(c)}B" for c in range(32, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or chr(c).isalpha() or c % 97 == 0)]
+    assert ENCODER.block(pa.array(texts), 2).to_pylist() == [[*e.ids, 2] for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("changed", [lambda d: d["normalizer"]["normalizers"].pop(), lambda d: d["pre_tokenizer"]["pretokenizers"].reverse(), lambda d: d.update(normalizer=None)])
+def test_other_definitions_go_through_the_library(changed):
+    definition = json.loads(DEFINITION)
+    changed(definition)
+    assert orc_tokens._finder(DEFINITION) and orc_tokens._finder(json.dumps(definition)) is None
