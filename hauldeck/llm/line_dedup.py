@@ -24,6 +24,7 @@ EDITS = 2
 SHORTEST = 24  # characters; shorter lines are matched exactly only
 MEMBERS = 16  # lines that may meet at one substring pair by pair; more meet in blocks
 BLOCK = 64  # lines of a block
+LINKS = 4  # links that a line gives at once per pair of blocks
 COUNTED = "etaoinshrdlcumgbоаеитالأ的の一"  # characters that are counted; lines without any are told apart by their pieces only
 PIECES = 8  # pieces of a line that are looked for in the other one
 HALVINGS = 10  # steps of the search for the common beginning and end of two lines
@@ -159,9 +160,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 
 
 def _block_links(members: DataFrame, roots: DataFrame, edits: int, linked: DataFrame | None = None) -> DataFrame:
-    """(key, i, j, a, b): for each line of a large meeting its first partner of another class, per pair of blocks.
+    """(key, i, j, a, b, more): for each line of a large meeting its first LINKS partners of other classes, per pair of blocks; `more` if there may be others.
 
-    Classes only grow, so a pair of blocks without a link has none in any later round: `linked` are those of the last one that had any.
+    Classes only grow, so a line that gave fewer links than LINKS to a block has no other there in any later round: `linked` are the last round's links of those that may have.
     """
     now = members.join(roots, members["line_id"] == roots["node"], "left").withColumn("label", F.coalesce("root", "line_id"))
     mixed = now.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key")
@@ -171,11 +172,13 @@ def _block_links(members: DataFrame, roots: DataFrame, edits: int, linked: DataF
     if linked is None:
         right = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("m").alias("y"))
     else:
-        right = linked.select("key", "i", "j").distinct().join(blocks.select("key", F.col("block").alias("j"), F.col("m").alias("y")), ["key", "j"]).select("key", "i", "j", "y")
+        asked = linked.groupBy("key", "i", "j").agg(F.collect_set("a").alias("asked"))  # lines of one block
+        right = asked.join(blocks.select("key", F.col("block").alias("j"), F.col("m").alias("y")), ["key", "j"]).select("key", "i", "j", "y", "asked")
     right = right.repartition(tasks, "key", "i")
     near = lambda x: F.filter("y", lambda y: (x["label"] != y["label"]) & (x["offered"] + y["offered"] > 0) & F.when(alike(x["marks"], y["marks"], edits), within(x["line"], y["line"], edits)).otherwise(False))
-    one = F.transform("x", lambda x: F.struct(x["line_id"].alias("a"), F.get(near(x), F.lit(0))["line_id"].alias("b")))
-    return left.join(right, ["key", "i"]).select("key", "i", "j", F.explode(one).alias("l")).select("key", "i", "j", "l.a", "l.b").filter("b IS NOT NULL")
+    x = F.col("x") if linked is None else F.filter("x", lambda x: F.array_contains("asked", x["line_id"]))
+    some = F.transform(x, lambda x: F.struct(x["line_id"].alias("a"), F.slice(F.transform(near(x), lambda y: y["line_id"]), 1, LINKS).alias("b")))
+    return left.join(right, ["key", "i"]).select("key", "i", "j", F.explode(some).alias("l")).select("key", "i", "j", "l.a", F.explode("l.b").alias("b"), (F.size("l.b") == LINKS).alias("more"))
 
 
 def similar_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -183,9 +186,9 @@ def similar_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
     A class holds all lines that are linked, directly or through others. Where
     up to MEMBERS lines meet, their pairs are verified. Larger meetings are
-    split into blocks: in each round every line gives one link to another
-    class per pair of blocks that had one in the round before, and the rounds
-    end when no two classes are left that have a link. So no link between classes is lost, and no meeting is
+    split into blocks: in each round every line gives up to LINKS links to other
+    classes per pair of blocks, and lines that gave so many are asked again
+    once the classes are joined, until there are none. So no link between classes is lost, and no meeting is
     written out as pairs.
     """
     lines = lines_of(docs).filter(F.length("line") >= SHORTEST).select(F.xxhash64("line").alias("id"), "line")
@@ -209,11 +212,14 @@ def similar_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     members = stage(large.join(named, "id").select("key", "offered", "line", "marks", content_key(F.col("line")).alias("line_id"), count.alias("blocks"), F.pmod(F.xxhash64("id"), count).cast("int").alias("block")), "members")
     more = None
     while True:
-        more = stage(_block_links(members, roots, edits, more), "similar")
-        if more.isEmpty():
+        given = stage(_block_links(members, roots, edits, more), "similar")
+        if given.isEmpty():
             return roots
-        links = links.union(more.select("a", "b"))
+        links = links.union(given.select("a", "b"))
         roots = connected(links)
+        more = given.filter("more")
+        if more.isEmpty():
+            return roots
 
 
 def marked_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:

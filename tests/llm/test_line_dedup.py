@@ -53,6 +53,25 @@ def test_equals_brute_force(made, monkeypatch, members, block):
     assert sum(map(len, expected.values())) > 60 and got == expected
 
 
+@pytest.mark.parametrize("links", [1, 2])
+def test_rounds_equal_brute_force(made, monkeypatch, links):
+    """Lines that gave as many links as they may are asked again, however few that are."""
+    for name, value in (("MEMBERS", 2), ("BLOCK", 5), ("LINKS", links)):
+        monkeypatch.setattr(line_dedup, name, value)
+    docs = some_docs()
+    assert {(r.doc_id, bytes(r.doc)): r.removed for r in line_dedup.removed_lines(made(docs)).collect()} == expected_removed(docs, line_dedup.EDITS)
+
+
+def test_lines_of_few_links_are_asked_once(made, monkeypatch):
+    """24 lines meet at their beginning, each has one partner: the first round finds all links and is the last."""
+    rng, rounds, real = random.Random(4), [], line_dedup._block_links
+    monkeypatch.setattr(line_dedup, "_block_links", lambda *a: rounds.append(1) or real(*a))
+    ends = ["".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(12)]
+    docs = [(2 * k + copy, "one common beginning" + end[:-1] + "xy"[copy]) for k, end in enumerate(ends) for copy in (0, 1)]
+    got = {r.doc_id: r.removed for r in line_dedup.removed_lines(made(docs)).collect()}
+    assert got == {i: [0] if i % 2 else [] for i in range(24)} and len(rounds) == 1
+
+
 def test_shuffle_instead_of_broadcast(made, monkeypatch):
     monkeypatch.setattr(line_dedup, "LOOKED_UP", 0)
     docs = some_docs()
