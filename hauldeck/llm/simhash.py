@@ -70,6 +70,11 @@ def _buckets(fps: DataFrame, family: list[int]) -> DataFrame:
     return fps.withColumn("_b", each).select("_b.t", "_b.key", *fps.columns)
 
 
+def _never_broadcast(keyed: DataFrame) -> DataFrame:
+    """Rows that an explode has multiplied: Spark sizes them as if it had not, and would send many times its limit through the driver."""
+    return keyed.hint("merge")
+
+
 def _inside(fps: DataFrame, radius: int) -> DataFrame:
     """Links between fingerprints that differ in one group of `radius` neighbouring bits only.
 
@@ -78,7 +83,7 @@ def _inside(fps: DataFrame, radius: int) -> DataFrame:
     groups = [_signed(~(((1 << min(radius, BITS - a)) - 1) << a) & (1 << 64) - 1) for a in range(0, BITS, radius)]
     keyed = _buckets(fps, groups)
     low = keyed.groupBy("t", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    return keyed.join(low, ["t", "key"]).filter("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    return _never_broadcast(keyed).join(low, ["t", "key"]).filter("fp != low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
 
 
 def _meetings(fps: DataFrame, radius: int) -> DataFrame:
@@ -86,6 +91,12 @@ def _meetings(fps: DataFrame, radius: int) -> DataFrame:
     return dealt(_buckets(fps, masks(radius)))
 
 
+def _mixed(keyed: DataFrame) -> DataFrame:
+    """The rows of buckets with more than one label, and the number `n` of the bucket's rows."""
+    mixed = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("t", "key", "n")
+    return _never_broadcast(keyed).join(mixed, ["t", "key"])
+
+
 def dealt(keyed: DataFrame, size: int | None = None) -> DataFrame:
     """Rows (t, key, i, j, fp, label), dealt so that every two members of a bucket (t, key) with different labels share a group (t, key, i, j).
 
@@ -95,8 +106,7 @@ def dealt(keyed: DataFrame, size: int | None = None) -> DataFrame:
     meet each block i and each other. So no group exceeds about two blocks.
     """
     size = size or BLOCK
-    mixed = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("t", "key", "n")
-    rows = stage(keyed.join(mixed, ["t", "key"]), "buckets")
+    rows = stage(_mixed(keyed), "buckets")
     small = rows.filter(F.col("n") <= size).select("t", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "label")
     large = rows.filter(F.col("n") > size)
     by_label = large.groupBy("t", "key", "label").agg(F.count(F.lit(1)).alias("c"))

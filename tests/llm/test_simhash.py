@@ -68,6 +68,13 @@ def test_large_buckets_meet_in_blocks(spark, monkeypatch):
                 assert (a, b) in met
 
 
+def test_exploded_rows_are_not_broadcast(spark):
+    """Spark takes rows of many masks for as few as the fingerprints they come from; broadcast, they fill the driver."""
+    fps = spark.range(300).selectExpr("id * 7 % 256 as fp", "id % 5 as label")
+    for df in (simhash._inside(fps.select("fp"), 4), simhash._mixed(simhash._buckets(fps, simhash.masks(4)))):
+        assert df.collect() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_of_each(made, spark):
     text = " ".join(f"t{i}" for i in range(200))
     rows = [(5, text), (3, text), (3, text), (9, text + " end"), (1, "another text that stands alone here"), (None, text), (8, None), (4, "")]
