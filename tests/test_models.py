@@ -3,6 +3,8 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from hauldeck.operators import anomaly as A
@@ -85,6 +87,19 @@ def test_arrival_model_beats_the_mean(fleet):
     assert len(top) == 22 and top[0]["importance"] >= top[-1]["importance"]
 
 
+def test_forest_grown_in_groups_is_one_forest(spark, monkeypatch, tmp_path):
+    """Ten trees, at most four at a time: all there, of their own samples, averaged, saved and loaded as one model."""
+    monkeypatch.setattr(M, "TREES_AT_ONCE", 4)
+    rows = spark.range(400).selectExpr("id as dispatch_entry_no", "cast(id % 20 as double) as a", "cast(id % 7 as double) as b", "cast(id % 20 as double) * 3 + id % 7 as target")
+    model, table = M.trained_regressor(rows, rows, ["a", "b"], M.forest_regressor(trees=10, depth=4))
+    model.write().save(str(tmp_path / "forest"))
+    forest = PipelineModel.load(str(tmp_path / "forest")).stages[-1]
+    point = Vectors.dense([7.0, 3.0])
+    assert table.first()["n_trees"] == forest.getNumTrees == 10 and len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) == 10
+    assert abs(forest.predict(point) - np.mean([t.predict(point) for t in forest.trees])) < 1e-9
+    assert table.first()["mae"] < 8 and abs(forest.featureImportances.toArray().sum() - 1) < 1e-9
+
+
 def test_split_is_stratified(fleet):
     rows = M.split_80_20(X.sla_features(X.sla_input(fleet.trips, fleet), X.driver_route_history(fleet.trips)))
     shares = [r["s"] for r in rows.groupBy("label").agg(F.avg("is_test").alias("s")).collect()]
